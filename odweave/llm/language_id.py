@@ -104,9 +104,14 @@ def _counts_of(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters = letter_table()
         for texts in batches:
-            got = [ngram_counts(t if isinstance(t, str) else None, letters) for t in texts]
-            at = [np.flatnonzero(c) for c, _ in got]
-            yield pd.DataFrame({"i": [a.astype(np.int32) for a in at], "n": [np.minimum(c[a], 2**31 - 1).astype(np.int32) for (c, _), a in zip(got, at, strict=True)], "letters": [n for _, n in got]})
+            where, how, size = [], [], []
+            for t in texts:  # only what isn't zero is kept, text by text
+                c, n = ngram_counts(t if isinstance(t, str) else None, letters)
+                at = np.flatnonzero(c)
+                where.append(at.astype(np.int32))
+                how.append(np.minimum(c[at], 2**31 - 1).astype(np.int32))
+                size.append(n)
+            yield pd.DataFrame({"i": where, "n": how, "letters": size})
 
     return run(text)
 
@@ -127,8 +132,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     rates = spark.createDataFrame([(x, min(1.0, sample / sizes[x])) for x in languages], "_r string, rate double")
     draw = F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     drawn = known.join(F.broadcast(rates), F.col("_l") == F.col("_r")).filter(draw < F.col("rate")).select("_l", _counts_of(F.col("_t")).alias("c")).filter("c.letters > 0")
-    # A share of each language that the parameters bound, gathered as sparse counts.
-    got = sorted(((r._l, r.c.letters, r.c.i, r.c.n) for r in drawn.limit(2 * sample * len(languages)).collect()), key=lambda r: (r[0], r[1], r[2], r[3]))
+    # About `sample` texts of each language, gathered as sparse counts.
+    got = sorted(((r._l, r.c.letters, r.c.i, r.c.n) for r in drawn.collect()), key=lambda r: (r[0], r[1], r[2], r[3]))
     if not got:
         return None
     df = np.zeros(BUCKETS)
