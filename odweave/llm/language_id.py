@@ -131,9 +131,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     languages = sorted(sizes)
     rates = spark.createDataFrame([(x, min(1.0, sample / sizes[x])) for x in languages], "_r string, rate double")
     draw = F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.join(F.broadcast(rates), F.col("_l") == F.col("_r")).filter(draw < F.col("rate")).select("_l", _counts_of(F.col("_t")).alias("c")).filter("c.letters > 0")
-    # About `sample` texts of each language, gathered as sparse counts.
-    got = sorted(((r._l, r.c.letters, r.c.i, r.c.n) for r in drawn.collect()), key=lambda r: (r[0], r[1], r[2], r[3]))
+    drawn = known.join(F.broadcast(rates), F.col("_l") == F.col("_r")).filter(draw < F.col("rate")).select("_l", _counts_of(F.col("_t")).alias("c"))
+    # About `sample` texts of each language, gathered as sparse counts. A filter on the counts would be pushed
+    # below the sampling, and all texts would be counted.
+    got = sorted(((r._l, r.c.letters, r.c.i, r.c.n) for r in drawn.collect() if r.c.letters), key=lambda r: (r[0], r[1], r[2], r[3]))
     if not got:
         return None
     df = np.zeros(BUCKETS)
