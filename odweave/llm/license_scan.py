@@ -79,7 +79,7 @@ def _anchors(scales: list[dict], containment: float) -> list[str]:
             for x in left:
                 for w in x:
                     most[w] = most.get(w, 0) + 1
-            word = max(most, key=lambda w: (len(w) > 3, most[w], len(w), w))
+            word = max(most, key=lambda w: (len(w) > 6, most[w], len(w), w))  # long words are rare in other texts
             found.append(word)
             left = [x for x in left if word not in x]
     return found
