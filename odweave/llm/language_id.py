@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Hash buckets, centroids of a language, sampled texts of a language at most about, and languages at most.
 BUCKETS, CENTROIDS, SAMPLE, LANGUAGES = 8_192, 3, 400, 400
 #: Texts whose best cosine is below this share of the worst that sampled texts of as many letters show are rejected.
-REJECT = 0.5
+REJECT = 0.3
 UNDETERMINED = "und"
 _SEED = 17
 _CHUNK = 1 << 20
