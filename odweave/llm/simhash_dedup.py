@@ -28,6 +28,8 @@ from ..plans.storage import materialize, parallelism
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Rows of an index node; groups up to this size are compared by shifts; groups beyond the last are dealt anew by further bits.
 FAN, SMALL, LARGE = 16, 48, 100_000
+#: Pairs of a query and an index node that a search holds at about once.
+FRONTIER = 1 << 18
 
 
 def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -130,6 +132,7 @@ class GrayIndex:
         node = np.tile(np.arange(top), len(queries))
         acc = np.zeros(len(q), np.int64)
         above = np.zeros(len(q), np.uint64)
+        self.widest = 0
         for level in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[level]
             acc = acc + np.bitwise_count((queries[q] ^ pattern[node]) & (mask[node] & ~above))
@@ -140,6 +143,7 @@ class GrayIndex:
             child = (node[:, None] * self.fan + np.arange(self.fan)[None, :]).ravel()
             q, acc = np.repeat(q, self.fan), np.repeat(acc, self.fan)
             inside = child < below
+            self.widest = max(self.widest, len(child))
             q, node, acc, above = q[inside], child[inside], acc[inside], above[inside]
         acc = acc + np.bitwise_count((queries[q] ^ self.fps[node]) & ~above)
         keep = (acc <= self.radius) & (labels[node] != own[q])
@@ -161,10 +165,15 @@ def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
 def link_group(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (fingerprint, first of its component) among distinct fingerprints in Gray order, by way of the index."""
     index, labels = GrayIndex(fps, radius), np.arange(len(fps))
-    for a in range(0, len(fps), 512):
-        b = min(len(fps), a + 512)
+    # So few queries at once that even without pruning the search stays within bounds; more once it prunes.
+    step = max(1, min(512, FRONTIER // len(fps)))
+    a = 0
+    while a < len(fps):
+        b = min(len(fps), a + step)
         q, m = index.search(fps[a:b], labels, labels[a:b])
         labels = _join_labels(labels, q + a, m)
+        a = b
+        step = min(512, 2 * step) if index.widest < FRONTIER // 4 else max(1, min(step, FRONTIER // len(fps)))
     moved = np.flatnonzero(labels != np.arange(len(fps)))
     return fps[moved], fps[labels[moved]]
 
