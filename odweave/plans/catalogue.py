@@ -1,6 +1,460 @@
-"""Registered queries of the library, and the DuckDB SQL that gives the same rows."""
+"""Registered queries of the library. Each runs over whole tables; oracles.py has the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.calendar import week_iso, week_simple, weekday_monday
+from ..operators import clusterers, distance, knn, network, snn, spatial, synth, temporal, validation
+from ..operators.components import connected_components
+from ..sources import fixtures as fx
+from ..sources import readers, sinks
+from .oracles import CUTOFF, EPS, HULL_RING, K, MINPTS, ORACLES, SWEEP  # noqa: F401
+from .storage import materialize
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _pairs(spark: SparkSession, d: str, measure: str = "manhattan") -> DataFrame:
+    return distance.flow_pairs(fx.flows(spark, d), measure)
+
+
+def _summary(pairs: DataFrame, digits: int | None = None) -> DataFrame:
+    s = F.sum("d") if digits is None else F.round(F.sum("d"), digits)
+    low, high = (F.min("d"), F.max("d")) if digits is None else (F.round(F.min("d"), 6), F.round(F.max("d"), 6))
+    return pairs.groupBy("i").agg(F.count("d").alias("n"), s.alias("sum_d"), low.alias("min_d"), high.alias("max_d"))
+
+
+for _measure, _digits in (("manhattan", None), ("manhattan_exact", 3), ("chebyshev", None), ("euclid4d", None), ("length", None), ("direction", 4), ("euclid4d_norm", 3)):
+    QUERIES[f"flow_pairs_{_measure}"] = lambda spark, d, m=_measure, n=_digits: _summary(_pairs(spark, d, m), n)
+
+
+@query
+def flow_pairs_geom(spark, d):  # noqa: ANN001, ANN201
+    return _summary(distance.geometric_pairs(fx.flows(spark, d)), 4)
+
+
+@query
+def distance_minmax(spark, d):  # noqa: ANN001, ANN201
+    return _summary(distance.rescaled(_pairs(spark, d), ["d"]), 4)
+
+
+@query
+def distance_histogram(spark, d):  # noqa: ANN001, ANN201
+    return validation.density_histogram(_pairs(spark, d))
+
+
+def _knn(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+    return materialize(knn.nearest(_pairs(spark, d), k), "knn")
+
+
+def _planar(spark: SparkSession, d: str) -> DataFrame:
+    return distance.vector_pairs(fx.table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("flow_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")), "flow_id", ["x", "y"])
+
+
+@query
+def knn_flows(spark, d):  # noqa: ANN001, ANN201
+    return knn.nearest(_pairs(spark, d), K)
+
+
+@query
+def knn_flows_double(spark, d):  # noqa: ANN001, ANN201
+    return knn.nearest(_planar(spark, d), K, whole=False)
+
+
+@query
+def knn_wide(spark, d):  # noqa: ANN001, ANN201
+    return knn.wide(knn.nearest(_pairs(spark, d), 5), fx.flows(spark, d), "flow_id", 5)
+
+
+@query
+def knn_distance_rows(spark, d):  # noqa: ANN001, ANN201
+    return knn.distance_rows(knn.nearest(_pairs(spark, d), 5), 5)
+
+
+@query
+def snn_density(spark, d):  # noqa: ANN001, ANN201
+    return snn.density(_knn(spark, d), fx.flows(spark, d), "flow_id", EPS)
+
+
+@query
+def dr_edges(spark, d):  # noqa: ANN001, ANN201
+    return snn.reachable_edges(_knn(spark, d), EPS)
+
+
+@query
+def core_flows(spark, d):  # noqa: ANN001, ANN201
+    return snn.density(_knn(spark, d), fx.flows(spark, d), "flow_id", EPS).filter(F.col("shared_density") >= MINPTS)
+
+
+@query
+def core_components(spark, d):  # noqa: ANN001, ANN201
+    edges = materialize(snn.reachable_edges(_knn(spark, d), EPS), "edges")
+    cores = edges.groupBy(F.col("from").alias("flow")).agg(F.count("*").alias("n")).filter(F.col("n") >= MINPTS)
+    return snn.core_components(edges, cores)
+
+
+@query
+def snn_clusters(spark, d):  # noqa: ANN001, ANN201
+    return snn.snn_clusters(_pairs(spark, d), fx.flows(spark, d), "flow_id", K, EPS, MINPTS)
+
+
+@query
+def snn_clusters_double(spark, d):  # noqa: ANN001, ANN201
+    return snn.snn_clusters(_planar(spark, d), fx.flows(spark, d), "flow_id", K, EPS, MINPTS, whole=False)
+
+
+@query
+def jarvis_patrick_flows(spark, d):  # noqa: ANN001, ANN201
+    return snn.jarvis_patrick(_knn(spark, d), fx.flows(spark, d), "flow_id", EPS, MINPTS)
+
+
+@query
+def rkd_curve(spark, d):  # noqa: ANN001, ANN201
+    return knn.ratio_curve(_knn(spark, d, 20), 20).withColumn("rkd", F.round("rkd", 9))
+
+
+@query
+def kdist_graph(spark, d):  # noqa: ANN001, ANN201
+    return knn.kth_distances(_knn(spark, d), K - 1)
+
+
+@query
+def dbscan_flows(spark, d):  # noqa: ANN001, ANN201
+    return clusterers.dbscan(_pairs(spark, d), fx.flows(spark, d), "flow_id", 700, 7)
+
+
+@query
+def lof_clean(spark, d):  # noqa: ANN001, ANN201
+    f = fx.flows(spark, d)
+    return clusterers.lof(f, "flow_id", "truth", "ox", "oy").withColumn("lof", F.round("lof", 6)).filter("lof < 2")
+
+
+@query
+def kmeans_flows(spark, d):  # noqa: ANN001, ANN201
+    return clusterers.kmeans(fx.flows(spark, d), "flow_id", ["ox", "oy", "dx", "dy"], 10)
+
+
+@query
+def hdbscan_flows(spark, d):  # noqa: ANN001, ANN201
+    return clusterers.hdbscan(fx.flows(spark, d), "flow_id", ["ox", "oy", "dx", "dy"], 5)
+
+
+@query
+def optics_flows(spark, d):  # noqa: ANN001, ANN201
+    return clusterers.optics(fx.flows(spark, d), "flow_id", ["ox", "oy", "dx", "dy"], 1500.0, 7, 900.0)
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return fx.flows(spark, d).select(F.col("flow_id").alias("id"), (F.col("truth") + 1).alias("cluster"))
+
+
+@query
+def silhouette_flows(spark, d):  # noqa: ANN001, ANN201
+    return validation.silhouette(_pairs(spark, d), _truth(spark, d)).withColumn("sil", F.round("sil", 9))
+
+
+@query
+def silhouette_by_cluster(spark, d):  # noqa: ANN001, ANN201
+    return validation.silhouette_means(validation.silhouette(_pairs(spark, d), _truth(spark, d))).withColumn("mean_sil", F.round("mean_sil", 9))
+
+
+@query
+def ari(spark, d):  # noqa: ANN001, ANN201
+    return validation.adjusted_rand(fx.table(spark, d, "labels").select("quality", "toxic"), "quality", "toxic").withColumn("ari", F.round("ari", 9))
+
+
+@query
+def external_indices(spark, d):  # noqa: ANN001, ANN201
+    got = validation.external_indices(fx.table(spark, d, "labels").select("quality", "toxic"), "quality", "toxic")
+    return got.select(*[F.round(c, 8).alias(c) for c in got.columns])
+
+
+@query
+def internal_indices(spark, d):  # noqa: ANN001, ANN201
+    f = fx.flows(spark, d).select(F.col("flow_id").alias("id"), "ox", "oy", "dx", "dy", (F.col("truth") + 1).alias("cluster"))
+    got = validation.internal_indices(f, ["ox", "oy", "dx", "dy"], "cluster", _pairs(spark, d, "manhattan_exact"))
+    return got.select(*[F.round(c, 8).alias(c) for c in got.columns])
+
+
+@query
+def cluster_counts(spark, d):  # noqa: ANN001, ANN201
+    return validation.cluster_counts(snn_clusters(spark, d).withColumnRenamed("cluster_pred", "cluster"))
+
+
+@query
+def parameter_grid(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return validation.parameter_grid(spark, list(range(2, 26)), list(range(2, 21)), list(range(2, 21)))
+
+
+@query
+def snn_sweep(spark, d):  # noqa: ANN001, ANN201
+    got = validation.snn_sweep(_knn(spark, d), fx.flows(spark, d), "flow_id", "truth", SWEEP)
+    return got.withColumn("ari", F.round("ari", 9))
+
+
+@query
+def node_distance_matrix(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return network.node_distances(fx.grid_edges(spark), CUTOFF)
+
+
+@query
+def components_of_network(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return connected_components(fx.grid_edges_thinned(spark), "source", "target")
+
+
+@query
+def largest_component(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return network.largest_component(fx.grid_edges_thinned(spark)).select("id", "source", "target")
+
+
+@query
+def dangling_edges(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return network.dangling_removed(fx.grid_edges_thinned(spark)).select("id", "source", "target")
+
+
+@query
+def shortest_path_lengths(spark, d):  # noqa: ANN001, ANN201, ARG001
+    wanted = spark.range(1, 401).select(F.lit(1).cast("long").alias("start"), F.col("id").alias("stop"))
+    return network.shortest_paths(fx.grid_edges(spark), wanted).select("start", "stop", "m", (F.size("nodes") - 1).alias("n_edges"))
+
+
+@query
+def snap_od_points(spark, d):  # noqa: ANN001, ANN201
+    points = spatial.od_points(fx.trips(spark, d), "trip_id").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return network.snap(points, fx.grid_edges(spark)).withColumn("dist", F.round("dist", 6)).select("id", "edge_id", "dist", "dist_to_start", "dist_to_end")
+
+
+def _on_network(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    p = fx.flow_points(spark, d)
+    p = p.select("id", "x", "y") if kind is None else p.filter(F.col("type") == kind).select(F.col("flow_id").alias("id"), "x", "y")
+    return materialize(network.with_nodes(network.snap(p, fx.grid_edges(spark)), fx.grid_edges(spark)), "on-network")
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    return materialize(network.node_distances(fx.grid_edges(spark), CUTOFF), "node-distances")
+
+
+@query
+def point_network_distance(spark, d):  # noqa: ANN001, ANN201
+    return _summary(network.point_distances(_on_network(spark, d), _nodes(spark)))
+
+
+def _flow_network(spark: SparkSession, d: str, squared: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    return network.flow_distances(_on_network(spark, d, "origin"), _on_network(spark, d, "dest"), _nodes(spark), squared, pairs)
+
+
+@query
+def flow_network_distance(spark, d):  # noqa: ANN001, ANN201
+    return _flow_network(spark, d)
+
+
+@query
+def flow_network_distance_squared(spark, d):  # noqa: ANN001, ANN201
+    return _flow_network(spark, d, squared=True)
+
+
+@query
+def flow_network_distance_coalesced(spark, d):  # noqa: ANN001, ANN201
+    return _summary(_flow_network(spark, d, pairs=_pairs(spark, d)))
+
+
+@query
+def snn_clusters_network(spark, d):  # noqa: ANN001, ANN201
+    return snn.snn_clusters(_flow_network(spark, d), fx.flows(spark, d), "flow_id", K, 3, 2)
+
+
+@query
+def sampled_network_points(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return network.sampled_points(fx.grid_edges(spark), 300.0).select("id", "edge_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "dist_to_start", "dist_to_end")])
+
+
+@query
+def edge_clusters(spark, d):  # noqa: ANN001, ANN201
+    edges = fx.grid_edges(spark)
+    s = network.sampled_points(edges, 500.0).select("id", F.col("edge_id"), F.col("dist_to_start"), F.col("dist_to_end"))
+    clustered = _on_network(spark, d, "origin").join(fx.flows(spark, d).select(F.col("flow_id").alias("id"), (F.col("truth") + 1).alias("cluster")), "id")
+    return network.edge_clusters(network.with_nodes(s, edges), clustered, _nodes(spark), edges)
+
+
+@query
+def network_cut_at_points(spark, d):  # noqa: ANN001, ANN201
+    at = network.snap(fx.flow_points(spark, d).select("id", "x", "y"), fx.grid_edges(spark)).select("edge_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return network.blended(fx.grid_edges(spark), at).select("id", "part", F.round("from_t", 6).alias("from_t"), F.round("to_t", 6).alias("to_t"))
+
+
+@query
+def trips_in_hull(spark, d):  # noqa: ANN001, ANN201
+    return spatial.within(fx.trips(spark, d), HULL_RING, both=True).select("trip_id")
+
+
+@query
+def trips_touching_polygon(spark, d):  # noqa: ANN001, ANN201
+    return spatial.minute_of_day(spatial.within(fx.trips(spark, d), HULL_RING, both=False), "start_datetime").select("trip_id", F.round("scaled_minute", 9).alias("scaled_minute"))
+
+
+@query
+def flow_angles(spark, d):  # noqa: ANN001, ANN201
+    c = F.col
+    return fx.trips(spark, d).select("trip_id", F.round(geo.flow_angle(c("ox"), c("oy"), c("dx"), c("dy")), 6).alias("angle"), F.round(geo.distance(c("ox"), c("oy"), c("dx"), c("dy")), 6).alias("trip_distance"))
+
+
+@query
+def cluster_hulls(spark, d):  # noqa: ANN001, ANN201
+    return spatial.hulls(fx.trips(spark, d).select("cluster", F.col("ox").alias("x"), F.col("oy").alias("y")), "cluster")
+
+
+@query
+def cluster_overlap(spark, d):  # noqa: ANN001, ANN201
+    return spatial.hull_overlaps(materialize(cluster_hulls(spark, d), "hulls"))
+
+
+@query
+def cluster_matching(spark, d):  # noqa: ANN001, ANN201
+    t = fx.trips(spark, d)
+    a = materialize(spatial.hulls(t.select("cluster", F.col("ox").alias("x"), F.col("oy").alias("y")), "cluster"), "hulls-a")
+    b = materialize(spatial.hulls(t.select("cluster", F.col("dx").alias("x"), F.col("dy").alias("y")), "cluster"), "hulls-b")
+    line = spatial.central_lines(t, "cluster")
+    return spatial.matching_clusters(a, b, line, line)
+
+
+@query
+def central_lines(spark, d):  # noqa: ANN001, ANN201
+    got = spatial.central_lines(fx.trips(spark, d), "cluster")
+    return got.select("cluster", *[F.round(c, 6).alias(c) for c in ("ox", "oy", "dx", "dy", "angle")])
+
+
+@query
+def representative_lines(spark, d):  # noqa: ANN001, ANN201
+    return spatial.representative_lines(fx.flows(spark, d), "truth")
+
+
+@query
+def od_points(spark, d):  # noqa: ANN001, ANN201
+    return spatial.od_points(fx.trips(spark, d), "trip_id")
+
+
+@query
+def od_pair_ranking(spark, d):  # noqa: ANN001, ANN201
+    t = fx.trips(spark, d)
+    labels = t.select(F.col("trip_id").alias("flow"), (F.col("ox") % 7).alias("origin"), (F.col("dx") % 7).alias("dest"))
+    return spatial.od_pair_ranking(labels, 40)
+
+
+@query
+def cluster_day_variance(spark, d):  # noqa: ANN001, ANN201
+    return temporal.count_variance(fx.trips(spark, d), "cluster", F.to_date("start_datetime")).withColumn("variance", F.round("variance", 9))
+
+
+@query
+def cluster_hour_variance(spark, d):  # noqa: ANN001, ANN201
+    return temporal.count_variance(fx.trips(spark, d), "cluster", F.hour("start_datetime")).withColumn("variance", F.round("variance", 9))
+
+
+@query
+def trips_per_minute_complete(spark, d):  # noqa: ANN001, ANN201
+    return temporal.by_minute(fx.trips(spark, d), "start_datetime", "direction")
+
+
+@query
+def trips_per_hour_complete(spark, d):  # noqa: ANN001, ANN201
+    return temporal.by_hour(fx.trips(spark, d), "start_datetime", "direction")
+
+
+@query
+def trips_per_weekday_complete(spark, d):  # noqa: ANN001, ANN201
+    return temporal.by_weekday(fx.trips(spark, d), "start_datetime", "direction")
+
+
+@query
+def trips_per_date_complete(spark, d):  # noqa: ANN001, ANN201
+    return temporal.complete_days(fx.trips(spark, d), "start_datetime", "direction")
+
+
+@query
+def direction_profile(spark, d):  # noqa: ANN001, ANN201
+    return temporal.direction_profile(fx.trips(spark, d), "cluster", [1, 3, 5], [2, 4])
+
+
+@query
+def week_numbers(spark, d):  # noqa: ANN001, ANN201
+    t = F.col("start_datetime")
+    return fx.trips(spark, d).groupBy(week_simple(t).alias("week"), week_iso(t).alias("iso_week"), weekday_monday(t).alias("weekday")).agg(F.count("*").alias("n"))
+
+
+@query
+def availability_series(spark, d):  # noqa: ANN001, ANN201
+    return temporal.availability_series(fx.availability(spark, d)).withColumn("time_stamp", F.col("time_stamp").cast("timestamp_ntz"))
+
+
+@query
+def rel_availability_profile(spark, d):  # noqa: ANN001, ANN201
+    got = temporal.availability_profile(temporal.availability_series(fx.availability(spark, d)), without=[10])
+    return got.withColumn("mean_count", F.round("mean_count", 9)).withColumn("mean_rel", F.round("mean_rel", 9))
+
+
+@query
+def subset_windows(spark, d):  # noqa: ANN001, ANN201
+    return temporal.windows_of_ids(fx.flows(spark, d).select("flow_id"), "flow_id", 100)
+
+
+@query
+def filtered_flows(spark, d):  # noqa: ANN001, ANN201
+    c = F.col
+    t = fx.trips(spark, d).withColumn("trip_distance", geo.distance(c("ox"), c("oy"), c("dx"), c("dy")))
+    return temporal.filtered_flows(t, "start_datetime", "trip_id", weeks=[2, 3], weekdays=[2, 3, 4, 5], least=250.0).select("flow_id", "trip_id")
+
+
+@query
+def canonical_trips(spark, d):  # noqa: ANN001, ANN201
+    t = fx.trips(spark, d)
+    got = readers.canonical(t, "events", trip_id=F.col("trip_id"), start_lat=F.col("oy") / 1000, start_lng=F.col("ox") / 1000, end_lat=F.col("dy") / 1000, end_lng=F.col("dx") / 1000, start_datetime=F.col("start_datetime"), distance_m=geo.distance(F.col("ox"), F.col("oy"), F.col("dx"), F.col("dy")))
+    return got.select("trip_id", "start_lat", "start_lng", "end_lat", "end_lng", F.col("start_datetime").cast("timestamp_ntz").alias("start_datetime"), F.round("distance_m", 6).alias("distance_m"), "gender", "source")
+
+
+@query
+def bike_trips(spark, d):  # noqa: ANN001, ANN201
+    t = fx.trips(spark, d)
+    w = Window.partitionBy("user_id").orderBy("start_datetime", "trip_id")
+    rows = t.select(F.col("user_id").cast("string").alias("bike_number"), F.col("oy").cast("double").alias("lat"), F.col("ox").cast("double").alias("lng"), F.col("start_datetime").alias("start_time"), F.row_number().over(w).alias("_n"))
+    rows = rows.withColumn("end_time", F.col("start_time")).withColumn("start_time", F.expr("start_time + make_dt_interval(0, 0, 0, _n)"))
+    got = readers.bike_trips(rows)
+    return got.select("bike_number", "start_lat", "start_lng", "end_lat", "end_lng", "source")
+
+
+@query
+def distance_json_rows(spark, d):  # noqa: ANN001, ANN201
+    return sinks.distance_objects(_pairs(spark, d))
+
+
+@query
+def knn_export(spark, d):  # noqa: ANN001, ANN201
+    got = sinks.knn_export(knn.nearest(_pairs(spark, d), 5))
+    return got.select("id", F.array_join("knn_idx", ",").alias("knn_idx"), F.array_join(F.transform("knn_dists", lambda x: x.cast("long").cast("string")), ",").alias("knn_dists"))
+
+
+@query
+def synthetic_flows(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return synth.clustered_flows(spark, 12, 2000)
+
+
+@query
+def synthetic_network_flows(spark, d):  # noqa: ANN001, ANN201, ARG001
+    return synth.network_flows(fx.grid_edges(spark), 15, 20, 100)
+
+
+@query
+def synthetic_snn(spark, d):  # noqa: ANN001, ANN201, ARG001
+    f = materialize(synth.clustered_flows(spark, 12, 300, seed=5), "synthetic")
+    got = snn.snn_clusters(distance.flow_pairs(f), f, "flow_id", 15, 7, 6)
+    return validation.external_indices(got.join(f.select(F.col("flow_id").alias("id"), "cluster_id"), "id"), "cluster_id", "cluster_pred")
