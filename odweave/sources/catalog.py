@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def namespace(data: str, min_length: int, week: int, weekdays: str, months: int, cutoff: int) -> str:
     """The name of an experiment's namespace, which holds its parameters."""
-    return f"{data}_min{min_length}m_kw{week}_wdays{weekdays}_{months}m_buffer{cutoff}"
+    return f"{data}_min{min_length}m_kw{week}_wdays{weekdays}_{months}m_buffer{cutoff}m"
 
 
 def create_namespace(spark: SparkSession, name: str) -> None:
