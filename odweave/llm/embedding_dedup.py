@@ -221,7 +221,7 @@ def _start(balls: DataFrame, centres: dict[int, np.ndarray], link: float, size:
 
 def _lists(edges: DataFrame, size: int) -> DataFrame:
     """(v, near): the nearest of each node, best first. A list of links only is saturated, and then holds all links and as many more."""
-    best = edges.groupBy("v", "n").agg(F.max("sim").alias("sim"), F.max("lim").alias("lim"))
+    best = edges.filter("v <> n").groupBy("v", "n").agg(F.max("sim").alias("sim"), F.max("lim").alias("lim"))
     rows = best.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("sim", "n", "lim")), asc=False).alias("near"))
     links = F.size(F.filter("near", lambda e: e["sim"] >= e["lim"]))
     return rows.select("v", F.slice("near", F.lit(1), F.when(links >= size, 2 * links).otherwise(F.lit(size))).alias("near"))
@@ -257,7 +257,7 @@ def _descend(lists: DataFrame, vectors: DataFrame, link: float, size: int) -> Da
                 r = radius[a:z]
                 lim = np.cos(np.minimum(np.pi, link + r[:, None] + r[None, :])).astype(np.float32) - np.float32(SLACK)
                 i, j = np.nonzero((sim > low[a:z][:, None]) | (sim >= lim))
-                keep = sim[i, j] > -2
+                keep = ids[a:z][i] != ids[a:z][j]  # a neighbour may stand twice, with the similarity from either side
                 i, j = i[keep], j[keep]
                 out.append((ids[a:z][i], ids[a:z][j], sim[i, j], lim[i, j]))
             if out:
