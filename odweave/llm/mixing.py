@@ -129,8 +129,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """docs that the mix takes, with size, source_size, target and taken. Rows that repeat doc_id and text show the mean of their counts, rounded down."""
     _, found = mix(docs)
     per = found.groupBy("h").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.floor(F.avg("taken")).cast("long").alias("taken"))
-    own = docs.drop("size", "source_size", "target", "taken")
-    return own.withColumn("_h", order_hash()).join(per.filter("taken > 0"), F.col("_h") == F.col("h")).select(*own.columns, "size", "source_size", "target", "taken")
+    own, per = docs.drop("size", "source_size", "target", "taken"), materialize(per.filter("taken > 0").withColumnRenamed("h", "_mix_hash"), "mix-per-hash")
+    return own.join(per, order_hash() == per["_mix_hash"]).select(*[own[c] for c in own.columns], *[per[c] for c in ("size", "source_size", "target", "taken")])
 
 
 def oracle() -> str:

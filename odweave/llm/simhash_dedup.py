@@ -255,7 +255,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("_n"))
     kept = materialize(kept.select(F.col(key).alias("_kept"), "_n"), "simhash-kept")
     # The list grows with the documents: it is merged at every size, and not broadcast while it happens to be small.
-    out = docs.join(kept.hint("merge"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    out = docs.join(kept.hint("merge"), docs[key].eqNullSafe(kept["_kept"]), "left_semi")
     if kept.filter("_n > 1").isEmpty():
         return out
     return out.dropDuplicates([key])

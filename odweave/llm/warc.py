@@ -66,6 +66,8 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     end = data.find(_END, at)
     if end < 0:
         return "header without end"
+    if re.search(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", data[at:end]):
+        return "control character in header"
     headers: dict[str, str] = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
