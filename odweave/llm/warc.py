@@ -3,7 +3,7 @@
 Archives are written by Spark's own text writer, so that they reach any file system that Spark reaches and
 survive lost executors: a row is a member with a record's header and block, and the line separator is a
 member with the two line ends that close a record. The reader checks each record: member checksum,
-version line, declared length, closing line ends and payload digest. After a failed check it looks for the
+version line, declared length, closing line ends, and digests of block and payload. After a failed check it looks for the
 next member or version line from which a record reads well, and logs the bytes between as a gap.
 """
 
@@ -43,7 +43,7 @@ def record_bytes(kind: str, record_id: str, uri: str | None, payload: bytes, siz
     """A record without its closing line ends. A revisit has the header of its response, but no payload."""
     safe = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "")
     block = _HTTP + (payload if kind == "response" else b"")
-    head = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+    head = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Payload-Length: {size}"]
     if kind == "revisit":
         head += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -81,6 +81,9 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     if stop > len(data):
         return "block is cut off"
     body = data[block:stop]
+    algorithm, _, digest = headers.get("warc-block-digest", "").partition(":")
+    if algorithm == "sha256" and hashlib.sha256(body).hexdigest() != digest:
+        return "block digest differs"
     if headers.get("content-type", "").startswith("application/http"):
         _, mark, payload = body.partition(_END)
         if not mark:
