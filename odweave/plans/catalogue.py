@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.calendar import week_iso, week_simple, weekday_monday
-from ..operators import clusterers, distance, knn, network, snn, spatial, synth, temporal, validation
+from ..operators import clusterers, distance, knn, network, snn, spatial, synth, temporal, validation, validity
 from ..operators.components import connected_components
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
@@ -187,6 +187,44 @@ def internal_indices(spark, d):  # noqa: ANN001, ANN201
     return got.select(*[F.round(c, 8).alias(c) for c in got.columns])
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 8).alias(c) for c in df.columns])
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return fx.flows(spark, d).select(F.col("flow_id").alias("id"), "ox", "oy", "dx", "dy", (F.col("truth") + 1).alias("cluster"))
+
+
+@query
+def scatter_density(spark, d):  # noqa: ANN001, ANN201
+    return _rounded(validity.scatter_density(_truth(spark, d), ["ox", "oy", "dx", "dy"], "cluster"))
+
+
+@query
+def cvnn(spark, d):  # noqa: ANN001, ANN201
+    return _rounded(validity.cvnn(_pairs(spark, d), _truth(spark, d).select("id", "cluster"), k=5))
+
+
+@query
+def dbcv(spark, d):  # noqa: ANN001, ANN201
+    return _rounded(validity.dbcv(_pairs(spark, d, "manhattan_exact"), _truth(spark, d).select("id", "cluster"), dim=4))
+
+
+@query
+def cdbw(spark, d):  # noqa: ANN001, ANN201
+    return _rounded(validity.cdbw(_truth(spark, d), ["ox", "oy", "dx", "dy"], "cluster"))
+
+
+@query
+def validity_table(spark, d):  # noqa: ANN001, ANN201
+    e, u = fx.table(spark, d, "events"), F.col("user_id")
+    part = lambda n: (F.col("event_id") * n % 101).cast("double")
+    rows = e.select(F.col("event_type").alias("distance_measure"), (u % 2).alias("clustering_type"), (u % 5 + 2).alias("min_cluster_size"), part(3).alias("n_cluster"), part(5).alias("n_noise"),
+                    part(7).alias("cvnn_comp"), part(11).alias("cvnn_sep"), part(13).alias("dbcv"), part(17).alias("sil"), part(19).alias("db"), part(23).alias("ch"))
+    got = validity.validity_table(rows)
+    return got.select(*got.columns[:3], *[F.round(c, 8).alias(c) for c in got.columns[3:]])
+
+
 @query
 def cluster_counts(spark, d):  # noqa: ANN001, ANN201
     return validation.cluster_counts(snn_clusters(spark, d).withColumnRenamed("cluster_pred", "cluster"))

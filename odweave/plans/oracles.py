@@ -193,6 +193,22 @@ f AS (SELECT x.c, (x.spread + y.spread) AS s, sqrt((x.a - y.a) ** 2 + (x.b - y.b
 lp AS (SELECT d, a.truth = b.truth AS same FROM p JOIN flows a ON a.flow_id = i JOIN flows b ON b.flow_id = j), sw AS (SELECT sum(ss) AS w FROM w)
 SELECT round((bt / (k - 1)) / (sw.w / (total - k)), 8) AS calinski_harabasz, (SELECT round(avg(r), 8) FROM (SELECT max(s / far) AS r FROM f GROUP BY c)) AS davies_bouldin,
     (SELECT round(min(d) FILTER (NOT same) / max(d) FILTER (same), 8) FROM lp) AS dunn, round(sw.w / (total * (SELECT min(far) FROM f) ** 2), 8) AS xie_beni FROM g, bt, sw""",
+    "scatter_density": f"""WITH {_FLOWS}, v AS (SELECT truth AS c, flow_id AS id, ox::DOUBLE AS a, oy::DOUBLE AS b, dx::DOUBLE AS e, dy::DOUBLE AS f FROM flows),
+per AS (SELECT c, avg(a) AS a, avg(b) AS b, avg(e) AS e, avg(f) AS f, sqrt(var_pop(a) ** 2 + var_pop(b) ** 2 + var_pop(e) ** 2 + var_pop(f) ** 2) AS spread FROM v GROUP BY c),
+sg AS (SELECT sqrt(sum(spread)) / count(*) AS sigma, avg(spread) AS spread FROM per), al AS (SELECT sqrt(var_pop(a) ** 2 + var_pop(b) ** 2 + var_pop(e) ** 2 + var_pop(f) ** 2) AS spread FROM v),
+sp AS (SELECT x.c AS ci, y.c AS cj, w, CASE w WHEN 0 THEN x.a WHEN 1 THEN y.a ELSE (x.a + y.a) / 2 END AS a, CASE w WHEN 0 THEN x.b WHEN 1 THEN y.b ELSE (x.b + y.b) / 2 END AS b,
+    CASE w WHEN 0 THEN x.e WHEN 1 THEN y.e ELSE (x.e + y.e) / 2 END AS e, CASE w WHEN 0 THEN x.f WHEN 1 THEN y.f ELSE (x.f + y.f) / 2 END AS f FROM per x JOIN per y ON x.c < y.c, (SELECT unnest([0, 1, 2]) AS w)),
+nr AS (SELECT ci, cj, w, count(*) FILTER (sqrt((v.a - sp.a) ** 2 + (v.b - sp.b) ** 2 + (v.e - sp.e) ** 2 + (v.f - sp.f) ** 2) < sigma) AS n FROM sp JOIN v ON v.c = ci OR v.c = cj, sg GROUP BY ci, cj, w),
+pr AS (SELECT coalesce(max(n) FILTER (w = 2)::DOUBLE / nullif(max(n) FILTER (w < 2), 0), 0) AS r FROM nr GROUP BY ci, cj)
+SELECT round(sg.spread / al.spread, 8) AS sd_scat, round(sg.spread / al.spread + (SELECT avg(r) FROM pr), 8) AS s_dbw FROM sg, al""",
+    "cvnn": f"""WITH {_pairs()}, l AS (SELECT flow_id AS id, truth AS c FROM flows), b AS (SELECT i, j, d FROM p UNION ALL SELECT j, i, d FROM p),
+k AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM b) WHERE rank <= 5),
+cm AS (SELECT x.c, avg(d) AS m FROM p JOIN l x ON x.id = i JOIN l y ON y.id = j WHERE x.c = y.c GROUP BY x.c), sz AS (SELECT c, count(*) AS n FROM l GROUP BY c),
+sp AS (SELECT x.c, count(*) FILTER (x.c <> y.c) AS away FROM k JOIN l x ON x.id = i JOIN l y ON y.id = j GROUP BY x.c)
+SELECT (SELECT round(sum(m), 8) FROM cm) AS cvnn_comp, (SELECT round(max(away / (n * 5)), 8) FROM sp JOIN sz USING (c)) AS cvnn_sep""",
+    "validity_table": """WITH t AS (SELECT event_type AS distance_measure, user_id % 2 AS clustering_type, user_id % 5 + 2 AS min_cluster_size, event_id AS e FROM events)
+SELECT distance_measure, clustering_type, min_cluster_size, round(avg((e * 3 % 101)::DOUBLE), 8) AS n_cl, round(avg((e * 5 % 101)::DOUBLE), 8) AS n_noise, round(avg((e * 7 % 101)::DOUBLE) + avg((e * 11 % 101)::DOUBLE), 8) AS cvnn_index,
+    round(avg((e * 13 % 101)::DOUBLE), 8) AS dbcv, round(avg((e * 17 % 101)::DOUBLE), 8) AS sil, round(avg((e * 19 % 101)::DOUBLE), 8) AS db, round(avg((e * 23 % 101)::DOUBLE), 8) AS ch FROM t GROUP BY ALL""",
     "parameter_grid": "SELECT k::INT AS k, eps::INT AS eps, minpts::INT AS minpts FROM (SELECT unnest(range(2, 26)) AS k), (SELECT unnest(range(2, 21)) AS eps), (SELECT unnest(range(2, 21)) AS minpts) WHERE eps < k AND minpts < k",
     "snn_sweep": " UNION ALL ".join(_sweep_row(*g) for g in SWEEP),
     "node_distance_matrix": f"WITH {_GRID}, {_ND} SELECT source, target, m FROM ds",
