@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import ordered_index
 from .distance import symmetric
 
 
@@ -37,7 +38,8 @@ def distance_rows(knn: DataFrame, k: int) -> DataFrame:
 def kth_distances(knn: DataFrame, k: int, most: float = 99999) -> DataFrame:
     """(place, distance) of the k-th neighbours below `most`, in ascending order."""
     rows = knn.filter((F.col("rank") == k) & (F.col("distance") < most)).select("ref", "distance")
-    return rows.select(F.row_number().over(Window.orderBy("distance", "ref")).alias("place"), "distance")
+    placed = ordered_index(rows, [F.col("distance"), F.col("ref")], "_i", "kth-distances")
+    return placed.select((F.col("_i") + 1).cast("int").alias("place"), "distance")
 
 
 def expected_ratio(k: int) -> float:

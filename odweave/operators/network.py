@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import closest, distance, fraction_on, rounded
+from ..plans.skew import grouped_prefix
 from ..plans.storage import forget, materialize
 from .components import connected_components
 
 #: Edges up to which the adjacency is broadcast for searches; beyond it distances are relaxed by joins.
 BROADCAST_EDGES = 500_000
+#: Ids of edges that a chunk of a running sum spans.
+PREFIX_CHUNK = 65_536
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,12 +275,11 @@ def sampled_points(edges: DataFrame, apart: float) -> DataFrame:
     """Points on edges at most `apart` from each other, both ends included: id (by edge and place), edge_id, x, y, dist_to_start, dist_to_end."""
     length = distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     e = edges.withColumn("_l", length).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_l") / apart)).cast("int"))
+    # A place's number: what earlier edges of its network hold.
+    e = grouped_prefix(e.withColumn("_g", F.lit(0)), ["_g"], F.floor(F.col("id") / PREFIX_CHUNK), [F.col("id")], F.col("_n") + 1, "_s")
     p = e.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("_n")))).withColumn("_t", F.col("place") / F.col("_n"))
-    # A place's number: what earlier edges of its network hold, one row an edge.
-    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = e.select("id", F.coalesce(F.sum(F.col("_n") + 1).over(before), F.lit(0)).alias("_s"))
     x, y = F.col("x1") + F.col("_t") * (F.col("x2") - F.col("x1")), F.col("y1") + F.col("_t") * (F.col("y2") - F.col("y1"))
-    return p.join(starts, "id").select((F.col("_s") + F.col("place") + 1).alias("id"), F.col("id").alias("edge_id"), x.alias("x"), y.alias("y"), (F.col("_t") * F.col("_l")).alias("dist_to_start"), ((1 - F.col("_t")) * F.col("_l")).alias("dist_to_end"))
+    return p.select((F.col("_s") + F.col("place") + 1).alias("id"), F.col("id").alias("edge_id"), x.alias("x"), y.alias("y"), (F.col("_t") * F.col("_l")).alias("dist_to_start"), ((1 - F.col("_t")) * F.col("_l")).alias("dist_to_end"))
 
 
 def edge_clusters(sampled: DataFrame, clustered: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

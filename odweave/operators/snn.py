@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import ordered_index
 from ..plans.storage import materialize
 from .components import connected_components
 from .knn import nearest
@@ -37,7 +38,7 @@ def core_components(edges: DataFrame, cores: DataFrame) -> DataFrame:
     parts = connected_components(between, "from", "to", "snn-components")
     first = between.join(parts, F.col("from") == F.col("node")).groupBy("component").agg(F.min("from").alias("first"))
     # One row for each cluster.
-    number = first.withColumn("label", F.row_number().over(Window.orderBy("first"))).select("component", "label")
+    number = ordered_index(first, [F.col("first")], "_i", "snn-numbers").select("component", (F.col("_i") + 1).cast("int").alias("label"))
     return parts.join(number, "component").select(F.col("node").alias("flow"), "label")
 
 
@@ -90,7 +91,7 @@ def density_clusters(near: DataFrame, ids: DataFrame, key: str, minpts: int) ->
     loops = c.select("from", F.col("from").alias("to"))
     between = near.join(c, "from", "left_semi").join(cores.withColumnRenamed("id", "to"), "to", "left_semi").select("from", "to").unionByName(loops)
     parts = connected_components(between, "from", "to", "density-components")
-    number = parts.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")))
+    number = ordered_index(parts.select("component").distinct(), [F.col("component")], "_i", "density-numbers").select("component", (F.col("_i") + 1).cast("int").alias("label"))
     labels = materialize(parts.join(number, "component").select(F.col("node").alias("id"), "label"), "density-labels")
     border = near.join(labels.withColumnsRenamed({"id": "to", "label": "given"}), "to").groupBy(F.col("from").alias("id")).agg(F.min_by("given", "to").alias("given"))
     out = all_ids.join(labels, "id", "left").join(border, "id", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.calendar import week_iso, week_simple, weekday_monday
-from ..operators import clusterers, distance, knn, network, snn, spatial, synth, temporal, validation, validity
+from ..operators import clusterers, distance, explore, knn, network, snn, spatial, synth, temporal, validation, validity
 from ..operators.components import connected_components
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
@@ -156,7 +156,7 @@ def optics_flows(spark, d):  # noqa: ANN001, ANN201
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return fx.flows(spark, d).select(F.col("flow_id").alias("id"), (F.col("truth") + 1).alias("cluster"))
+    return fx.flows(spark, d).select(F.col("flow_id").alias("id"), "ox", "oy", "dx", "dy", (F.col("truth") + 1).alias("cluster"))
 
 
 @query
@@ -191,10 +191,6 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 8).alias(c) for c in df.columns])
 
 
-def _truth(spark: SparkSession, d: str) -> DataFrame:
-    return fx.flows(spark, d).select(F.col("flow_id").alias("id"), "ox", "oy", "dx", "dy", (F.col("truth") + 1).alias("cluster"))
-
-
 @query
 def scatter_density(spark, d):  # noqa: ANN001, ANN201
     return _rounded(validity.scatter_density(_truth(spark, d), ["ox", "oy", "dx", "dy"], "cluster"))
@@ -230,6 +226,21 @@ def cluster_counts(spark, d):  # noqa: ANN001, ANN201
     return validation.cluster_counts(snn_clusters(spark, d).withColumnRenamed("cluster_pred", "cluster"))
 
 
+@query
+def cluster_stats(spark, d):  # noqa: ANN001, ANN201
+    return explore.cluster_stats(snn_clusters(spark, d), fx.flows(spark, d), "flow_id").withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query
+def flows_in_clusters(spark, d):  # noqa: ANN001, ANN201
+    return explore.flows_in_clusters(fx.flows(spark, d), snn_clusters(spark, d), "flow_id", [1, 2, 5]).select("flow_id", "cluster_pred", "ox", "oy", "dx", "dy")
+
+
+@query
+def knn_of_flows(spark, d):  # noqa: ANN001, ANN201
+    return explore.knn_of(_knn(spark, d), fx.flows(spark, d), "flow_id", [1, 17, 250], 5).select("ref", "rank", "distance", "flow_id", "ox", "oy", "dx", "dy")
+
+
 @query
 def parameter_grid(spark, d):  # noqa: ANN001, ANN201, ARG001
     return validation.parameter_grid(spark, list(range(2, 26)), list(range(2, 21)), list(range(2, 21)))

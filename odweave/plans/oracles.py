@@ -166,6 +166,10 @@ p AS (SELECT i, j, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) + (t
     "snn_clusters_double": f"{_snn(_PLANAR, _NEAR_DOUBLE)} SELECT id, cluster_pred FROM cl",
     "cluster_counts": f"""{_snn(_pairs(), _near(K))}, n AS (SELECT cluster_pred AS c, count(*) AS n FROM cl GROUP BY ALL)
 SELECT count(*) FILTER (c <> 0) AS n_cluster, count(*) AS n_cluster_all, coalesce(sum(n) FILTER (c = 0), 0)::BIGINT AS n_noise, avg(n) FILTER (c <> 0) AS mean_size FROM n""",
+    "cluster_stats": f"""{_snn(_pairs(), _near(K))}, f AS (SELECT cl.cluster_pred, sqrt(((ox - dx) * (ox - dx) + (oy - dy) * (oy - dy))::DOUBLE) AS m FROM cl JOIN flows ON flow_id = id)
+SELECT cluster_pred, count(*) AS n_flows, round(avg(m), 6) AS mean_length, count(*) / sum(count(*)) OVER () AS share FROM f GROUP BY cluster_pred""",
+    "flows_in_clusters": f"{_snn(_pairs(), _near(K))} SELECT flow_id, cluster_pred, ox, oy, dx, dy FROM flows JOIN cl ON id = flow_id WHERE cluster_pred IN (1, 2, 5)",
+    "knn_of_flows": f"WITH {_pairs()}, {_near(K)} SELECT ref, rank::INT AS rank, distance, flow_id, ox, oy, dx, dy FROM k JOIN flows ON flow_id = nn WHERE ref IN (1, 17, 250) AND rank <= 5",
     "jarvis_patrick_flows": f"""WITH RECURSIVE {_pairs()}, {_near(K)}, ks AS (SELECT ref, nn FROM k UNION ALL SELECT flow_id, flow_id FROM flows),
 sh AS (SELECT a.ref AS f, a.nn AS t, count(c.nn) AS s FROM ks a JOIN ks b ON b.ref = a.nn LEFT JOIN ks c ON c.ref = a.ref AND c.nn = b.nn WHERE a.ref <> a.nn GROUP BY a.ref, a.nn),
 nr AS (SELECT x.f, x.t FROM sh x JOIN sh y ON x.f = y.t AND x.t = y.f WHERE x.s >= {EPS}), ids AS (SELECT flow_id AS id FROM flows), {_DENSE.format(minpts=MINPTS)}""",

@@ -13,7 +13,7 @@ def test_names():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 70
 
 
-@pytest.mark.parametrize("name", ["snn_clusters", "knn_flows", "dbscan_flows", "snap_od_points", "flow_network_distance", "trips_per_date_complete", "rel_availability_profile", "internal_indices", "subset_windows", "dangling_edges"])
+@pytest.mark.parametrize("name", ["snn_clusters", "knn_flows", "dbscan_flows", "snap_od_points", "flow_network_distance", "trips_per_date_complete", "rel_availability_profile", "internal_indices", "subset_windows", "dangling_edges", "cluster_stats", "flows_in_clusters", "knn_of_flows", "kdist_graph"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "labels"):
