@@ -90,6 +90,16 @@ class BenchmarkIndex:
             order = np.argsort(key, kind="stable")
             self.tables[n] = key[order], np.concatenate(who)[order]
 
+    def state(self) -> dict:
+        """The index as plain values, which workers can read without this package."""
+        return self.__dict__
+
+    @classmethod
+    def of(cls, state: dict) -> BenchmarkIndex:
+        index = cls.__new__(cls)
+        index.__dict__ = state
+        return index
+
     def _coded(self, words: list[str]) -> np.ndarray:
         get = self.ids.get
         return np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
@@ -199,11 +209,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     """
     out = None
     for items in _passes(benchmark, pass_words):
-        sent = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, k, similarity))
+        sent = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, k, similarity).state())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            index = BenchmarkIndex.of(sent.value)
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in sent.value.matches(t)]
+                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in index.matches(t)]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split(" ")[0] for c in MATCH.split(", ")])
@@ -213,12 +224,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     return out
 
 
-def is_contaminated(text: Column, index) -> Column:  # noqa: ANN001
-    """Whether a text holds an item of a broadcast BenchmarkIndex."""
+def is_contaminated(text: Column, sent) -> Column:  # noqa: ANN001
+    """Whether a text holds an item of an index whose state() is broadcast."""
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(index.value.matches(t if isinstance(t, str) else None)) for t in texts], dtype=bool)
+        index = BenchmarkIndex.of(sent.value)
+        return pd.Series([bool(index.matches(t if isinstance(t, str) else None)) for t in texts], dtype=bool)
 
     return run(text)
 
@@ -226,7 +238,7 @@ def is_contaminated(text: Column, index) -> Column:  # noqa: ANN001
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, pass_words: int = PASS_WORDS) -> DataFrame:
     """docs without those that hold a benchmark item; rows and columns are otherwise as they were."""
     for items in _passes(benchmark, pass_words):
-        sent = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, k, similarity))
+        sent = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, k, similarity).state())
         docs = docs.filter(~is_contaminated(F.col("text"), sent))
     return docs
 

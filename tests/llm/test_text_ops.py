@@ -124,6 +124,16 @@ def test_multi_index_finds_all():
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == close
 
 
+def test_index_travels_without_the_package():
+    import pickle
+
+    index = decontaminate.BenchmarkIndex([(1, "one two three four five six seven"), (2, "a b")])
+    sent = pickle.dumps(index.state())
+    assert b"odweave" not in sent
+    text = "zero one two three four five six seven eight a b"
+    assert decontaminate.BenchmarkIndex.of(pickle.loads(sent)).matches(text) == index.matches(text) != []
+
+
 def test_language(spark):
     words = {"aa": ["the", "and", "this", "wheel", "house"], "bb": ["und", "der", "schön", "straße", "über"]}
     rnd = random.Random(1)
