@@ -2,13 +2,16 @@
 
 1. Equal vectors become one class; vectors that cannot link are set aside.
 2. Classes that lie within half the linking angle of a leader form a ball: all its members link with
-   each other, without any pair being listed. Leaders are found in windows of random-projection order,
+   each other, without any pair being listed. Leaders are found in windows of cross-polytope order,
    again and again while balls still merge; so a large group of copies shrinks to a few balls.
-3. NN-descent over the leaders: neighbour lists start from windows of several random-projection orders,
-   and are refined by comparing the neighbours of each node with each other. A list that holds links only
-   is saturated and grows. The recall of links is audited for a sample of nodes against all nodes, and
-   more rounds follow while it is too low.
-4. Pairs of balls are settled in double precision: all linked, none linked, or, in between, member by member.
+3. NN-descent over the leaders: neighbour lists start from windows of several cross-polytope orders,
+   more of them the more leaders there are, and are refined by comparing the neighbours of each node with
+   each other. A list that holds links only is saturated and grows.
+4. The recall of links is audited twice: for a sample of nodes against all nodes, and by fresh orders,
+   whose links should be known already. Both count links. While too few of them are known, what the fresh
+   orders found is added, with more orders and another descent; after TRIES of that, all leaders are compared
+   with all, block by block, which loses nothing.
+5. Pairs of balls are settled in double precision: all linked, none linked, or, in between, by blocks of members.
 """
 
 from __future__ import annotations
@@ -26,14 +29,19 @@ from ..plans.skew import attach
 from ..plans.storage import forget, materialize, parallelism
 
 THRESHOLD = 0.9
-#: Neighbours in a list that isn't saturated; random-projection orders; rows of a window.
-LIST, ORDERS, WINDOW = 10, 4, 128
-#: Rounds of NN-descent at least and at most; nodes audited (a fixed number, not a share) and the recall they must show.
-ROUNDS, MOST_ROUNDS, AUDITED, RECALL = 2, 6, 256, 0.999
-#: Bits of a random-projection code; parts into which a node's reverse neighbours are dealt before they are trimmed.
-BITS, SALTS = 32, 16
+#: Neighbours in a list that isn't saturated; rows of a window; neighbours compared with each other at a time.
+LIST, WINDOW, BLOCK = 10, 256, 64
+#: The orders that fill lists (all orders give links), and the share of links that orders alone may miss.
+FILLING, MISS = 2, 0.01
+#: Rounds of NN-descent; nodes audited (a fixed number, not a share); fresh orders of an audit; the recall they must show; tries.
+ROUNDS, AUDITED, FRESH, RECALL, TRIES = 2, 4096, 4, 0.995, 3
+#: Directions and symbols of an order's code. Wider vectors are projected to as many dimensions first.
+DIMENSIONS, SYMBOLS = 64, 4
 #: Similarities in the graph are of half-precision vectors; this is more than they can be off.
 SLACK = 4e-3
+#: Members of a ball that are compared as one matrix; leaders in a block of the exact way.
+MEMBERS, EXACT = 256, 8192
+_SEED = 29
 
 
 def _matrix(col: pa.Array) -> list[np.ndarray] | np.ndarray:
@@ -41,7 +49,7 @@ def _matrix(col: pa.Array) -> list[np.ndarray] | np.ndarray:
     flat, ends = col.flatten().to_numpy(zero_copy_only=False), col.offsets.to_numpy()
     n = np.diff(ends)
     if len(n) and (n == n[0]).all():
-        return flat[ends[0] - ends[0] :].reshape(len(n), n[0])
+        return flat.reshape(len(n), n[0])
     return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
@@ -56,57 +64,62 @@ def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("uid", "key", "same", F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
 
 
-def _centres(points: DataFrame) -> dict[int, np.ndarray]:
-    """The mean vector by dimension; one row from each partition is gathered."""
+def orders_for(n: int, miss: float = MISS) -> int:
+    """Orders of n leaders after which a pair at the threshold has been in no window with a probability of about `miss`.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, list] = {}
-        for b in batches:
-            for row in _matrix(b.column(0)):
-                a = acc.setdefault(len(row), [np.zeros(len(row)), 0])
-                a[0] += row
-                a[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([a[1] for a in acc.values()], pa.int64()), pa.array([a[0].tolist() for a in acc.values()], pa.list_(pa.float64()))], ["n", "s"])
-
-    total: dict[int, list] = {}
-    for r in points.select("unit").mapInArrow(sums, "n long, s array<double>").collect():
-        a = total.setdefault(len(r.s), [np.zeros(len(r.s)), 0])
-        a[0] += np.array(r.s)
-        a[1] += r.n
-    return {d: s / max(1, n) for d, (s, n) in total.items()}
-
-
-def _ordered(points: DataFrame, centres: dict[int, np.ndarray], orders: list[int], extra: list[str], seed: int) -> DataFrame:
-    """points once for each order, range-partitioned and sorted by their random-projection code."""
-    parts = parallelism(points.sparkSession)
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        power = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
+    An order puts a pair of cosine 0.9 among random vectors into one window with a probability of at least
+    0.46 for 24,000 vectors, 0.3 for 120,000 and 0.24 for 400,000 (measured); it falls as n to the power 0.22.
+    """
+    one = min(0.75, 0.43 * (max(1, n) / 24_000) ** -0.22)
+    return max(4, math.ceil(math.log(miss) / math.log(1 - one)))
+
+
+def _codes(vectors: DataFrame, orders: int, cols: list[str]) -> DataFrame:
+    """vectors(unit) with codes (by order, the directions that lie nearest, one after the other), dim and half (the vector in half precision)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            rows = _matrix(b.column(b.schema.get_field_index("unit")))
+            rows = _matrix(b.column(b.num_columns - 1))
             dims = np.array([len(r) for r in rows])
-            for t in orders:
-                code = np.zeros(len(dims), np.int64)
-                for d in np.unique(dims):
-                    if (d, t) not in planes:
-                        planes[d, t] = np.random.default_rng([seed, t, int(d)]).standard_normal((int(d), BITS))
-                    at = np.flatnonzero(dims == d)
-                    x = np.stack([rows[i] for i in at]) - centres[int(d)]
-                    code[at] = ((x @ planes[d, t]) > 0) @ power
-                cols = [pa.array(np.full(len(dims), t), pa.int32()), pa.array(dims, pa.int32()), pa.array(code)]
-                yield pa.RecordBatch.from_arrays([*cols, *b.columns], ["t", "dim", "code", *b.schema.names])
-
-    kinds = dict(points.dtypes)
-    cols = ["bid", *extra, "unit"]
-    schema = "t int, dim int, code long, " + ", ".join(f"{c} {kinds[c]}" for c in cols)
-    rows = points.select(*cols).mapInArrow(codes, schema)
-    return rows.repartitionByRange(parts, "t", "dim", "code", "bid").sortWithinPartitions("t", "dim", "code", "bid")
-
-
-def _windows(window: int, overlap: bool, work: Callable) -> Callable:
+            codes = np.zeros((len(dims), orders), np.int64)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x = np.stack([rows[i] for i in at]).astype(np.float32)
+                m = min(int(d), DIMENSIONS)
+                for t in range(orders):
+                    if (d, t) not in turns:
+                        rng = np.random.default_rng([_SEED, t, int(d)])
+                        turns[d, t] = np.concatenate([np.linalg.qr(rng.standard_normal((int(d), m)))[0] for _ in range(SYMBOLS)], axis=1).astype(np.float32)
+                    y = (x @ turns[d, t]).reshape(len(at), SYMBOLS, m)
+                    best = np.abs(y).argmax(2)
+                    sign = np.take_along_axis(y, best[:, :, None], 2)[:, :, 0] > 0
+                    symbol = best * 2 + sign
+                    for s in range(SYMBOLS):
+                        codes[at, t] = codes[at, t] * (2 * DIMENSIONS) + symbol[:, s]
+            half = [np.asarray(r, np.float16).tobytes() for r in rows]
+            code = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, orders), pa.int32()), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(dims, pa.int32()), pa.array(half, pa.binary()), code], [*cols, "dim", "half", "codes"])
+
+    kinds = dict(vectors.dtypes)
+    return vectors.select(*cols, "unit").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", dim int, half binary, codes array<long>")
+
+
+def _ordered(points: DataFrame, orders: list[int], cols: list[str]) -> DataFrame:
+    """points(bid, dim, codes, and cols) once for each order, range-partitioned and sorted by its code."""
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("codes")[t].alias("code")) for t in orders])).alias("o")
+    rows = points.select(each, "dim", "bid", *cols).select("o.t", "dim", "o.code", "bid", *cols)
+    return rows.repartitionByRange(parallelism(points.sparkSession), "t", "dim", "code", "bid").sortWithinPartitions("t", "dim", "code", "bid")
+
+
+def _windows(window: int, overlap: bool, column: str, work: Callable) -> Callable:
     """A mapInArrow function that hands `work` windows of consecutive rows of one order and dimension: (columns by name, matrix)."""
 
+    def stacked(col: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(col.type):
+            return np.frombuffer(b"".join(col.to_pylist()), np.float16).reshape(len(col), -1).astype(np.float32)
+        return np.stack(_matrix(col))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         fresh = True
@@ -120,8 +133,7 @@ def _windows(window: int, overlap: bool, work: Callable) -> Callable:
                 final = last or e < len(same)
                 while e - at >= window or (final and e > at and (fresh or e - at > (window // 2 if overlap else 0))):
                     w = t.slice(at, min(window, e - at))
-                    x = np.stack(_matrix(w.column("unit").combine_chunks()))
-                    out = work({c: w.column(c).to_numpy() for c in w.column_names if c != "unit"}, x)
+                    out = work({c: w.column(c).to_numpy() for c in w.column_names if c != column}, stacked(w.column(column).combine_chunks()))
                     if out is not None:
                         yield out
                     fresh = False
@@ -139,45 +151,58 @@ def _windows(window: int, overlap: bool, work: Callable) -> Callable:
     return run
 
 
-def _merge_balls(members: DataFrame, classes: DataFrame, centres: dict[int, np.ndarray], half: float, round_no: int) -> DataFrame | None:
-    """members(cid, bid, angle) after one pass of merging; None if hardly any ball moved."""
-    radii = members.groupBy("bid").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
-    leaders = classes.select(F.col("cid").alias("bid"), "unit").join(radii, "bid")
+def _merges(balls: DataFrame, half: float, turn: int) -> DataFrame:
+    """(old, new, radius, n) of balls that go into another one whose leader is within reach of all their members, by windows of one order; radius bounds how far they then are."""
     near = math.cos(half)
 
     def work(c: dict[str, np.ndarray], x: np.ndarray) -> pa.RecordBatch | None:
         sim = x @ x.T
         if (sim >= near).sum() <= len(x):
             return None
-        angle = np.arccos(np.clip(sim, -1, 1)) + c["radius"][None, :]
-        order = np.lexsort((c["bid"], -c["n"]))
+        reach = np.arccos(np.clip(sim, -1, 1)) + c["radius"][None, :]
         free, old, new = np.ones(len(x), bool), [], []
-        for i in order:
+        for i in np.lexsort((c["bid"], -c["n"])):
             if not free[i]:
                 continue
             free[i] = False
-            got = np.flatnonzero(free & (angle[i] <= half))
+            got = np.flatnonzero(free & (reach[i] <= half))
             free[got] = False
-            old += c["bid"][got].tolist()
-            new += [c["bid"][i]] * len(got)
-        return pa.RecordBatch.from_arrays([pa.array(old, pa.int64()), pa.array(new, pa.int64())], ["old", "new"]) if old else None
-
-    total = leaders.count()
-    passed = _ordered(leaders, centres, [round_no], ["radius", "n"], 11).mapInArrow(_windows(WINDOW, False, work), "old long, new long")
-    moves = materialize(passed, "embed-moves")
-    if moves.count() * 200 <= total:
-        return None if moves.isEmpty() else _moved(members, classes, moves)
-    return _moved(members, classes, moves)
-
-
-def _moved(members: DataFrame, classes: DataFrame, moves: DataFrame) -> DataFrame:
-    sizes = members.groupBy("bid").agg(F.count("*").alias("n"))
-    with_n = moves.join(sizes.withColumnRenamed("bid", "old"), "old").select(F.col("old").alias("bid"), "new", "n")
-    placed = attach(members, with_n, "bid", "n", F.col("cid"))
-    stay = placed.filter(F.col("new").isNull()).drop("new")
-    go = placed.filter(F.col("new").isNotNull()).select("cid", F.col("new").alias("bid"))
-    far = _with_angle(go, classes, "cid", "bid").select("cid", "bid", "angle")
-    return stay.unionByName(far)
+            old += got.tolist()
+            new += [i] * len(got)
+        if not old:
+            return None
+        cols = c["bid"][old], c["bid"][new], reach[new, old].astype(float), c["n"][old]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["old", "new", "radius", "n"])
+
+    return _ordered(balls, [turn], ["radius", "n", "unit"]).mapInArrow(_windows(WINDOW, False, "unit", work), "old long, new long, radius double, n long")
+
+
+def _balls(points: DataFrame, n: int, half: float) -> DataFrame:
+    """(cid, bid) of points(cid, unit, dim, codes): the class whose ball they are in. Merging goes on while it takes away more than one ball in 200."""
+    balls = points.select(F.col("cid").alias("bid"), "dim", "codes", F.col("unit").cast("array<float>").alias("unit"), F.lit(0.0).alias("radius"), F.lit(1).cast("long").alias("n"))
+    passes: list[DataFrame] = []
+    for turn in range(12):
+        moves = materialize(_merges(balls, half, turn % 4), "embed-moves")
+        gone = moves.count()
+        if gone:
+            passes.append(moves)
+        n -= gone
+        if gone * 200 <= n:
+            break
+        into = moves.groupBy(F.col("new").alias("bid")).agg(F.max("radius").alias("r"), F.sum("n").alias("more"))
+        stay = balls.join(moves.select(F.col("old").alias("bid")), "bid", "left_anti").join(into, "bid", "left")
+        stay = stay.select("bid", "dim", "codes", "unit", F.greatest("radius", F.coalesce("r", F.lit(0.0))).alias("radius"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        balls = materialize(stay, "embed-merged")
+    # From the last pass back: where a ball went is known for all its later goals, of each of which a pass names one window's balls at most.
+    goal = None
+    for moves in reversed(passes):
+        step = moves.select("old", "new")
+        if goal is not None:
+            step = step.join(goal.select(F.col("old").alias("new"), F.col("new").alias("end")), "new", "left").select("old", F.coalesce("end", "new").alias("new")).unionByName(goal)
+        goal = step
+    if goal is None:
+        return points.select("cid", F.col("cid").alias("bid"))
+    return points.select("cid").join(goal.select(F.col("old").alias("cid"), "new"), "cid", "left").select("cid", F.coalesce("new", "cid").alias("bid"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -185,14 +210,12 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _with_angle(pairs: DataFrame, classes: DataFrame, left: str, right: str) -> DataFrame:
-    """pairs with cos and angle (in double precision) of the classes that two columns name. A right class that many pairs name is spread."""
+    """pairs with cos and angle (in double precision) of the classes that two columns name."""
     units = classes.select(F.col("cid").alias("_c"), "unit")
-    a = pairs.join(units, F.col(left) == F.col("_c")).drop("_c").withColumnRenamed("unit", "_u")
-    n = pairs.groupBy(F.col(right).alias("_r")).agg(F.count("*").alias("_n"))
-    named = units.join(n, F.col("_c") == F.col("_r")).select(F.col("_c").alias(right), "_n", F.col("unit").alias("_w"))
-    b = attach(a, named, right, "_n", F.col(left))
+    for c, unit in ((left, "_u"), (right, "_w")):
+        pairs = pairs.join(units, F.col(c) == F.col("_c")).drop("_c").withColumnRenamed("unit", unit)
     cos = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _dot(F.col("_u"), F.col("_w"))))
-    return b.withColumn("cos", cos).withColumn("angle", F.acos("cos")).drop("_u", "_w")
+    return pairs.withColumn("cos", cos).withColumn("angle", F.acos("cos")).drop("_u", "_w")
 
 
 _EDGE = "v long, n long, sim float, lim float"
@@ -202,43 +225,57 @@ def _edges(v: np.ndarray, n: np.ndarray, sim: np.ndarray, lim: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(sim, pa.float32()), pa.array(lim, pa.float32())], ["v", "n", "sim", "lim"])
 
 
-def _start(balls: DataFrame, centres: dict[int, np.ndarray], link: float, size: int, orders: list[int]) -> DataFrame:
-    """Edges from windows of random-projection orders: the nearest `size` of a window, and all links."""
+def _limits(link: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least half-precision similarities at which members of balls of these radii may link."""
+    return np.cos(np.minimum(np.pi, link + a[:, None] + b[None, :])).astype(np.float32) - np.float32(SLACK)
+
+
+def _from_windows(balls: DataFrame, link: float, size: int, orders: list[int], filling: int) -> DataFrame:
+    """Edges from windows of orders: all links, and from the first `filling` orders also the nearest `size` of a window."""
+    fill = orders[:filling]
 
     def work(c: dict[str, np.ndarray], x: np.ndarray) -> pa.RecordBatch | None:
         if len(x) < 2:
             return None
-        x = x.astype(np.float32)
         sim = x @ x.T
         np.fill_diagonal(sim, -2)
-        lim = np.cos(np.minimum(np.pi, link + c["radius"][:, None] + c["radius"][None, :])).astype(np.float32) - np.float32(SLACK)
-        worst = np.partition(sim, max(0, len(x) - size), axis=1)[:, max(0, len(x) - size)]
-        i, j = np.nonzero(((sim >= worst[:, None]) | (sim >= lim)) & (sim > -2))
-        return _edges(c["bid"][i], c["bid"][j], sim[i, j], lim[i, j])
+        lim = _limits(link, c["radius"], c["radius"])
+        good = sim >= lim
+        if c["t"][0] in fill:
+            good |= sim >= np.partition(sim, max(0, len(x) - size), axis=1)[:, max(0, len(x) - size), None]
+        i, j = np.nonzero(good & (sim > -2))
+        return _edges(c["bid"][i], c["bid"][j], sim[i, j], lim[i, j]) if len(i) else None
 
-    return _ordered(balls, centres, orders, ["radius"], 29).mapInArrow(_windows(WINDOW, True, work), _EDGE)
+    return _ordered(balls, orders, ["radius", "half"]).mapInArrow(_windows(WINDOW, True, "half", work), _EDGE)
 
 
 def _lists(edges: DataFrame, size: int) -> DataFrame:
-    """(v, near): the nearest of each node, best first. A list of links only is saturated, and then holds all links and as many more."""
+    """(v, near): the nearest of each node, best first: `size` of them; if those are links only, all links and `size` more."""
     best = edges.filter("v <> n").groupBy("v", "n").agg(F.max("sim").alias("sim"), F.max("lim").alias("lim"))
     rows = best.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("sim", "n", "lim")), asc=False).alias("near"))
     links = F.size(F.filter("near", lambda e: e["sim"] >= e["lim"]))
-    return rows.select("v", F.slice("near", F.lit(1), F.when(links >= size, 2 * links).otherwise(F.lit(size))).alias("near"))
+    return rows.select("v", F.slice("near", F.lit(1), F.when(links >= size, links + size).otherwise(F.lit(size))).alias("near"))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    return lists.select("v", F.explode("near").alias("e")).select("v", "e.n", "e.sim", "e.lim")
 
 
-def _descend(lists: DataFrame, vectors: DataFrame, link: float, size: int) -> DataFrame:
-    """Edges of one NN-descent round: the neighbours of a node, either way, are compared with each other."""
-    parts = parallelism(lists.sparkSession)
-    e = lists.select("v", F.explode("near").alias("e")).select("v", F.col("e.n").alias("n"), F.col("e.sim").alias("sim"), (F.col("e.sim") >= F.col("e.lim")).alias("link"))
-    both = e.unionByName(e.select(F.col("n").alias("v"), F.col("v").alias("n"), "sim", "link"))
-    trim = lambda x: F.slice(F.sort_array(F.array_distinct(x), asc=False), F.lit(1), F.greatest(F.lit(2 * size), F.size(F.filter(F.array_distinct(x), lambda y: y["link"])).cast("int")))
-    dealt = both.groupBy("v", F.pmod(F.xxhash64("n"), F.lit(SALTS)).alias("_s")).agg(trim(F.collect_list(F.struct("sim", "n", "link"))).alias("near"))
-    around = dealt.groupBy("v").agg(trim(F.flatten(F.collect_list("near"))).alias("near"))
+def _descend(lists: DataFrame, balls: DataFrame, link: float, turn: int) -> DataFrame:
+    """Edges of one NN-descent round: neighbours of a node, either way, are compared with each other.
+
+    A node with more than BLOCK neighbours deals them into blocks, other ones in each round, and compares
+    within blocks; so a hub costs as much as its neighbours are many, and no task holds all of them.
+    """
+    e = _listed(lists).select("v", "n")
+    both = materialize(e.unionByName(e.select(F.col("n").alias("v"), F.col("v").alias("n"))).distinct(), "embed-both")
+    blocks = both.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    dealt = both.join(blocks, "v").select("v", "n", F.pmod(F.xxhash64("n", F.lit(turn)), F.col("k")).alias("k"))
     floor = lists.select(F.col("v").alias("n"), F.element_at("near", -1)["sim"].alias("floor"))
-    known = vectors.join(floor, "n", "left")
-    sent = around.select("v", F.explode("near").alias("e")).select("v", F.col("e.n").alias("n")).join(known, "n")
-    sets = sent.repartition(parts, "v").groupBy("v").agg(F.collect_list(F.struct("n", "half", "radius", F.coalesce("floor", F.lit(-1.0).cast("float")).alias("floor"))).alias("s")).select("s")
+    known = balls.select(F.col("bid").alias("n"), "half", F.col("radius").cast("float").alias("radius")).join(floor, "n", "left")
+    sent = dealt.join(known, "n")
+    one = F.struct("n", "half", "radius", F.coalesce("floor", F.lit(-1.0).cast("float")).alias("floor"))
+    sets = sent.groupBy("v", "k").agg(F.collect_list(one).alias("s")).select("s")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,11 +291,8 @@ def _descend(lists: DataFrame, vectors: DataFrame, link: float, size: int) -> Da
                 x = np.frombuffer(b"".join(raw[a:z]), np.float16).reshape(z - a, -1).astype(np.float32)
                 sim = x @ x.T
                 np.fill_diagonal(sim, -2)
-                r = radius[a:z]
-                lim = np.cos(np.minimum(np.pi, link + r[:, None] + r[None, :])).astype(np.float32) - np.float32(SLACK)
-                i, j = np.nonzero((sim > low[a:z][:, None]) | (sim >= lim))
-                keep = ids[a:z][i] != ids[a:z][j]  # a neighbour may stand twice, with the similarity from either side
-                i, j = i[keep], j[keep]
+                lim = _limits(link, radius[a:z], radius[a:z])
+                i, j = np.nonzero(((sim > low[a:z][:, None]) | (sim >= lim)) & (sim > -2))
                 out.append((ids[a:z][i], ids[a:z][j], sim[i, j], lim[i, j]))
             if out:
                 yield _edges(*[np.concatenate([o[k] for o in out]) for k in range(4)])
@@ -266,100 +300,104 @@ def _descend(lists: DataFrame, vectors: DataFrame, link: float, size: int) -> Da
     return sets.mapInArrow(compare, _EDGE)
 
 
-def _audit(balls: DataFrame, lists: DataFrame, link: float, audited: int, seed: int) -> tuple[float, int]:
-    """Recall of the links of `audited` nodes, and how many links those have, against all nodes."""
-    picked = balls.orderBy(F.xxhash64("bid", F.lit(seed))).limit(audited).select("bid", "unit", "radius").collect()
-    queries: dict[int, tuple] = {}
-    for d in {len(r.unit) for r in picked}:
-        own = [r for r in picked if len(r.unit) == d]
-        queries[d] = (np.array([r.bid for r in own]), np.array([r.unit for r in own]), np.array([r.radius for r in own]))
+def _against_all(balls: DataFrame, picked: DataFrame, link: float) -> DataFrame:
+    """Links (v, n, sim, lim) of the picked nodes, which are gathered and sent, with all nodes."""
+    queries: dict[int, list] = {}
+    for r in picked.select("bid", "half", "radius").collect():
+        queries.setdefault(len(r.half), []).append((r.bid, bytes(r.half), r.radius))
+    sent = balls.sparkSession.sparkContext.broadcast({d: (np.array([x[0] for x in q]), b"".join(x[1] for x in q), np.array([x[2] for x in q])) for d, q in queries.items()})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = _matrix(b.column(1))
-            ids, radius = b.column(0).to_numpy(), b.column(2).to_numpy()
-            dims = np.array([len(r) for r in rows])
-            for d in np.unique(dims):
-                if int(d) in queries:
-                    at = np.flatnonzero(dims == d)
-                    q, u, r = queries[int(d)]
-                    x = np.stack([rows[i] for i in at])
-                    i, j = np.nonzero((u @ x.T) >= np.cos(np.minimum(np.pi, link + r[:, None] + radius[at][None, :])))
-                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids[at][j])], ["v", "n"])
-
-    true = balls.select("bid", "unit", "radius").mapInArrow(compare, "v long, n long").filter("v <> n")
-    have = lists.select("v", F.explode("near").alias("e")).select("v", F.col("e.n").alias("n"))
-    both = have.unionByName(have.select(F.col("n").alias("v"), F.col("v").alias("n"))).distinct().withColumn("ok", F.lit(1))
-    n, ok = true.join(both, ["v", "n"], "left").agg(F.count("*"), F.sum("ok")).first()
-    return ((ok or 0) / n if n else 1.0), n
-
-
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, size: int = LIST, orders: int = ORDERS, audited: int = AUDITED, recall: float = RECALL) -> DataFrame:
+            ids, radius, raw = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(1).to_pylist()
+            size = np.array([len(x) for x in raw])
+            for d, (q, bits, r) in sent.value.items():
+                u = np.frombuffer(bits, np.float16).reshape(len(q), -1).astype(np.float32)
+                at = np.flatnonzero(size == d)
+                for a in range(0, len(at), 1024):
+                    own = at[a : a + 1024]
+                    x = np.frombuffer(b"".join(raw[k] for k in own), np.float16).reshape(len(own), -1).astype(np.float32)
+                    for s in range(0, len(q), 1024):
+                        sim, lim = u[s : s + 1024] @ x.T, _limits(link, r[s : s + 1024], radius[own])
+                        i, j = np.nonzero(sim >= lim)
+                        if len(i):
+                            yield _edges(q[s : s + 1024][i], ids[own][j], sim[i, j], lim[i, j])
+
+    return balls.select("bid", "half", "radius").mapInArrow(compare, _EDGE).filter("v <> n")
+
+
+def _known(links: DataFrame, lists: DataFrame) -> tuple[int, int]:
+    """(links, those of them that the lists hold); a link counts once."""
+    pair = lambda df: df.select(F.least("v", "n").alias("v"), F.greatest("v", "n").alias("n")).distinct()
+    have = pair(_listed(lists).filter("sim >= lim")).withColumn("ok", F.lit(1))
+    n, ok = pair(links).join(have, ["v", "n"], "left").agg(F.count("*"), F.sum("ok")).first()
+    return n, ok or 0
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, size: int = LIST, miss: float = MISS, audited: int = AUDITED, recall: float = RECALL, tries: int = TRIES) -> DataFrame:
     """One row per vector: key, n_links (other vectors of cosine >= threshold), component_id (smallest key reachable) and kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths with each other; equal vectors link. Rows are told apart even if they
     repeat a key; a null key counts as a vector but names no component. An empty table gives no rows;
-    other columns are ignored. Needs threshold >= 0.5. The audit's figures are in the result's `audit`.
+    other columns are ignored. Needs threshold >= 0.5. The result's attribute `audit` lists, for each audit, how many
+    links were checked and how many of them the graph held; no links checked means that recall was not measured,
+    and then what holds is `miss`, the probability with which the orders alone miss a pair at the threshold.
     """
     link = math.acos(threshold)
     half = link / 2 - 1e-4
     rows = materialize(unit_vectors(vectors, key, vector), "embed-units")
     grouped = rows.filter(F.col("unit").isNotNull()).groupBy("same").agg(F.count("*").alias("mult"), F.min("key").alias("first"), F.any_value("unit").alias("unit"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "embed-classes")
-    centres = _centres(classes)
+    n = classes.count()
+    orders = orders_for(n, miss)
+    coded = materialize(_codes(classes, orders + FRESH * tries, ["cid"]), "embed-codes")
 
-    members = materialize(classes.select("cid", F.col("cid").alias("bid"), F.lit(0.0).alias("angle")), "embed-members")
-    for i in range(12):
-        after = _merge_balls(members, classes, centres, half, i)
-        if after is None:
-            break
-        after, before = materialize(after, "embed-members"), members
-        kept, was = after.select("bid").distinct().count(), before.select("bid").distinct().count()
-        members = after
-        if kept * 200 > was * 199:
-            break
-    mult = classes.select("cid", "mult")
-    member = materialize(members.join(mult, "cid"), "embed-member")
+    members = materialize(_balls(coded.join(classes.select("cid", "unit"), "cid"), n, half), "embed-members")
+    # A leader's members are few enough for one task only by chance, so the leaders' vectors are joined as hot keys are.
+    sizes = members.groupBy("bid").agg(F.count("*").alias("n"))
+    leaders = sizes.join(classes.select(F.col("cid").alias("bid"), F.col("unit").alias("_w")), "bid")
+    placed = attach(members, leaders, "bid", "n", F.col("cid")).join(classes.select("cid", "mult", "unit"), "cid")
+    angle = F.when(F.col("cid") == F.col("bid"), 0.0).otherwise(F.acos(F.least(F.lit(1.0), _dot(F.col("unit"), F.col("_w")))))
+    member = materialize(placed.select("cid", "bid", "mult", angle.alias("angle")), "embed-member")
     radii = member.groupBy("bid").agg(F.max("angle").alias("radius"), F.sum("mult").alias("weight"), F.count("*").alias("n"))
-    balls = materialize(radii.join(classes.select(F.col("cid").alias("bid"), "unit"), "bid"), "embed-balls")
+    balls = materialize(radii.join(coded.withColumnRenamed("cid", "bid"), "bid"), "embed-balls")
 
-    lists, audit = _neighbour_graph(balls, centres, link, size, orders, audited, recall)
-    out = _settle(rows, classes, member, balls, lists, threshold, link, key)
+    links, audit = _neighbour_graph(balls, link, size, orders, audited, recall, tries)
+    out = _settle(rows, classes, member, balls, links, threshold, link, key)
     out.audit = audit
     return out
 
 
-def _neighbour_graph(balls: DataFrame, centres: dict[int, np.ndarray], link: float, size: int, orders: int, audited: int, recall: float) -> tuple[DataFrame, list[tuple[float, int]]]:
-    vectors = materialize(balls.select(F.col("bid").alias("n"), _half(F.col("unit")).alias("half"), F.col("radius").cast("float").alias("radius")), "embed-half")
-    lists = materialize(_lists(_start(balls, centres, link, size, list(range(orders))), size), "embed-lists")
-    audit: list[tuple[float, int]] = []
-    for i in range(MOST_ROUNDS):
-        found = _descend(lists, vectors, link, size)
-        if i >= ROUNDS:  # the audit was not content: fresh orders too
-            found = found.unionByName(_start(balls, centres, link, size, list(range(orders * (i + 1), orders * (i + 2)))))
-        old = lists.select("v", F.explode("near").alias("e")).select("v", "e.n", "e.sim", "e.lim")
-        after = materialize(_lists(old.unionByName(found), size), "embed-lists")
-        forget(lists)
-        lists = after
-        if i + 1 >= ROUNDS:
-            audit.append(_audit(balls, lists, link, audited, i))
-            if audit[-1][0] >= recall:
-                break
-    return lists, audit
-
-
-def _half(unit: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(u):  # noqa: ANN001, ANN202
-        return u.map(lambda x: np.asarray(x, np.float16).tobytes())
-
-    return run(unit)
-
-
-def _settle(rows: DataFrame, classes: DataFrame, member: DataFrame, balls: DataFrame, lists: DataFrame, threshold: float, link: float, key: str) -> DataFrame:
+def _neighbour_graph(balls: DataFrame, link: float, size: int, orders: int, audited: int, recall: float, tries: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Edges (v, n, sim, lim) that hold the links between balls, and the audits' counts of links checked and known."""
+    lists = materialize(_lists(_from_windows(balls, link, size, list(range(orders)), FILLING), size), "embed-lists")
+    picked = balls.orderBy(F.xxhash64("bid", F.lit(_SEED)), "bid").limit(audited)
+    checked = materialize(_against_all(balls, picked, link), "embed-audit")
+    audit: list[tuple[int, int]] = []
+    for i in range(tries):
+        for k in range(ROUNDS):
+            after = materialize(_lists(_listed(lists).unionByName(_descend(lists, balls, link, i * ROUNDS + k)), size), "embed-lists")
+            forget(lists)
+            lists = after
+        fresh = materialize(_from_windows(balls, link, size, list(range(orders + FRESH * i, orders + FRESH * (i + 1))), 0), "embed-fresh")
+        counts = [_known(checked, lists), _known(fresh, lists)]
+        audit += counts
+        lists = materialize(_lists(_listed(lists).unionByName(checked).unionByName(fresh), size), "embed-lists")
+        if all(known >= recall * n for n, known in counts):
+            return _listed(lists), audit
+    every = None
+    n = balls.count()
+    turn = F.pmod(F.xxhash64("bid", F.lit(1)), F.lit(max(1, -(-n // EXACT))))
+    for k in range(max(1, -(-n // EXACT))):  # blocks of about EXACT leaders as queries against all: exact, and its work grows as the square
+        found = materialize(_against_all(balls, balls.filter(turn == k), link), "embed-exact")
+        every = found if every is None else every.unionByName(found)
+    return every, audit
+
+
+def _settle(rows: DataFrame, classes: DataFrame, member: DataFrame, balls: DataFrame, links: DataFrame, threshold: float, link: float, key: str) -> DataFrame:
     """Exact links from the pairs of balls that the graph names."""
-    e = lists.select("v", F.explode("near").alias("e")).filter("e.sim >= e.lim").select(F.least("v", "e.n").alias("a"), F.greatest("v", "e.n").alias("b")).distinct()
+    e = links.filter("sim >= lim").select(F.least("v", "n").alias("a"), F.greatest("v", "n").alias("b")).distinct()
     size = balls.select("bid", "radius", "weight", "n")
     pairs = _with_angle(e, classes, "a", "b")
     for s in ("a", "b"):
@@ -372,30 +410,52 @@ def _settle(rows: DataFrame, classes: DataFrame, member: DataFrame, balls: DataF
 
     full = pairs.filter("whole")
     to_ball = full.select(F.col("a").alias("bid"), F.col("wb").alias("w")).unionByName(full.select(F.col("b").alias("bid"), F.col("wa").alias("w")))
-    linked = full.select("a", "b")
-    # Members x of a against ball b: all of b, none of it, or some of it.
-    mixed = pairs.filter("part").select("a", "b", "rb", "wb")
-    x = member.select(F.col("cid").alias("x"), F.col("bid").alias("a"), F.col("mult").alias("mx"))
-    xb = _with_angle(mixed.join(x, "a"), classes, "x", "b")
-    all_b, no_b = F.col("angle") + F.col("rb") <= link - 1e-9, F.col("angle") - F.col("rb") > link + 1e-9
-    xb = materialize(xb.withColumn("all_b", all_b).filter(~no_b).select("a", "b", "x", "mx", "wb", "all_b"), "embed-mixed")
-    every = xb.filter("all_b")
-    y = member.select(F.col("cid").alias("y"), F.col("bid").alias("b"), F.col("mult").alias("my"))
-    some = _with_angle(xb.filter("NOT all_b").select("a", "b", "x", "mx").join(y, "b"), classes, "x", "y").filter(F.col("cos") >= threshold)
-    some = materialize(some.select("a", "b", "x", "mx", "y", "my"), "embed-some")
-    to_ball = to_ball.unionByName(every.select(F.col("b").alias("bid"), F.col("mx").alias("w")))
-    to_class = every.select(F.col("x").alias("cid"), F.col("wb").alias("w"))
-    to_class = to_class.unionByName(some.select(F.col("x").alias("cid"), F.col("my").alias("w"))).unionByName(some.select(F.col("y").alias("cid"), F.col("mx").alias("w")))
-    linked = linked.unionByName(every.select("a", "b")).unionByName(some.select("a", "b")).distinct()
+    some = materialize(_by_blocks(pairs.filter("part").select("a", "na", "b", "nb"), member, classes, threshold), "embed-some")
+    to_class = some.filter("w > 0").groupBy("cid").agg(F.sum("w").alias("more"))
+    linked = full.select("a", "b").unionByName(some.filter("w > 0").select("a", "b")).distinct()
 
     parts = connected_components(linked, "a", "b", "embed-parts")
     ball = size.join(to_ball.groupBy("bid").agg(F.sum("w").alias("extra")), "bid", "left").join(parts.select(F.col("node").alias("bid"), "component"), "bid", "left")
     ball = materialize(ball.select("bid", "n", (F.col("weight") - 1 + F.coalesce("extra", F.lit(0))).alias("base"), F.coalesce("component", "bid").alias("component")), "embed-ball")
     placed = attach(member.select("cid", "bid"), ball, "bid", "n", F.col("cid"))
-    placed = placed.join(to_class.groupBy("cid").agg(F.sum("w").alias("more")), "cid", "left").join(classes.select("cid", "same", "mult", "first"), "cid")
+    placed = placed.join(to_class, "cid", "left").join(classes.select("cid", "same", "mult", "first"), "cid")
     placed = materialize(placed.select("same", "mult", "first", "component", (F.col("base") + F.coalesce("more", F.lit(0))).alias("n_links")), "embed-placed")
     first = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_n"))
     of_class = attach(placed, first, "component", "_n", F.xxhash64("same")).select("same", "mult", "n_links", "component_id")
     out = attach(rows.select("uid", "key", "same"), of_class, "same", "mult", F.col("uid"))
     one = F.when(F.col("same").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), one.alias("component_id"), one.eqNullSafe(F.col("key")).alias("kept"))
+
+
+def _by_blocks(pairs: DataFrame, member: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, cid, w) of pairs of balls some of whose members link: each member with the vectors of the other ball that it links to.
+
+    Members are dealt into blocks of about MEMBERS, which are compared as matrices. A row stands for a member
+    and a block of the other ball, not for a pair of members.
+    """
+    ball = pairs.select(F.col("a").alias("bid"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("bid"), F.col("nb").alias("n"))).distinct()
+    blocks_of = lambda n: F.ceil(F.col(n) / MEMBERS).cast("int")
+    mine = member.select("cid", "bid", "mult").join(ball.select("bid", blocks_of("n").alias("k")), "bid")
+    mine = mine.select("cid", "bid", "mult", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int").alias("k")).join(classes.select("cid", "unit"), "cid")
+    block = materialize(mine.groupBy("bid", "k").agg(F.collect_list(F.struct("cid", "mult", "unit")).alias("m")), "embed-blocks")
+    grid = pairs.select("a", F.explode(F.sequence(F.lit(0), blocks_of("na") - 1)).alias("ka"), "b", "nb").select("a", "ka", "b", F.explode(F.sequence(F.lit(0), blocks_of("nb") - 1)).alias("kb"))
+    for s in ("a", "b"):
+        grid = grid.join(block.select(F.col("bid").alias(s), F.col("k").alias(f"k{s}"), F.col("m").alias(f"m{s}")), [s, f"k{s}"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i] for j, n in enumerate(("a", "b", "ma", "mb"))}
+                side = [row[s].values for s in ("ma", "mb")]
+                x, y = (np.stack(_matrix(s.field("unit"))) for s in side)
+                hit = x @ y.T >= threshold
+                weight = [s.field("mult").to_numpy() for s in side]
+                ids = [s.field("cid").to_numpy() for s in side]
+                cid, w = np.concatenate(ids), np.concatenate([hit @ weight[1], hit.T @ weight[0]])
+                at = np.flatnonzero(w)
+                if len(at):
+                    ends = [pa.array(np.full(len(at), row[s].as_py()), pa.int64()) for s in ("a", "b")]
+                    yield pa.RecordBatch.from_arrays([*ends, pa.array(cid[at], pa.int64()), pa.array(w[at], pa.int64())], ["a", "b", "cid", "w"])
+
+    spread = grid.select("a", "b", "ma", "mb")
+    return spread.mapInArrow(compare, "a long, b long, cid long, w long")
