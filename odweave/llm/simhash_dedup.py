@@ -1,11 +1,12 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Fingerprints of whole texts are made distinct. Pairs within the radius agree on at least one of
-radius + 1 blocks of bits, so fingerprints are grouped by each block's value. Within a group they are
-sorted by Gray rank, in which fingerprints that share bits stand together. Runs of them form leaves;
-a leaf keeps the bits that all of them share, upper nodes keep what their leaves share, and each level
-holds only the bits that the level above does not. A search adds up differences from the top and leaves
-a whole group as soon as they exceed the radius, or once all of it is already joined to what is searched.
+radius + 1 blocks of bits, so fingerprints are dealt to tasks by each block's value; each value is a tree
+of the index. In a tree they are sorted by Gray rank, in which fingerprints that share bits stand together.
+Runs of them form leaves; a leaf keeps the bits that all of them share, upper nodes keep what their leaves
+share, and each level holds only the bits that the level above does not. A search adds up differences from
+the top and leaves a whole group as soon as they exceed the radius; in large trees also once all of it is
+already joined to what is searched. All links are found by this search, in trees of any size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from ..plans.storage import materialize, parallelism
 
 #: Words in a shingle, seed of the hash, most differing bits of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Rows of an index node; groups up to this size are compared by shifts; groups beyond the last are dealt anew by further bits.
-FAN, SMALL, LARGE = 16, 48, 100_000
+#: Rows of an index node; trees up to this size are searched together; those beyond the last are dealt anew by further bits.
+FAN, SMALL, LARGE = 8, 256, 100_000
 #: Pairs of a query and an index node that a search holds at about once.
 FRONTIER = 1 << 18
 
@@ -104,50 +105,62 @@ def _keyed(fps: DataFrame, radius: int, large: int) -> DataFrame:
 
 
 class GrayIndex:
-    """Hierarchical index over distinct fingerprints in Gray order."""
-
-    def __init__(self, fps: np.ndarray, radius: int = RADIUS, fan: int = FAN) -> None:
-        self.fps, self.radius, self.fan = fps, radius, fan
-        ones, shared = fps.copy(), np.full(len(fps), ~np.uint64(0))
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # bottom up: pattern, mask of the bits that all below share
-        while len(ones) > fan or not self.levels:
-            cut = np.arange(0, len(ones), fan)
-            both = np.bitwise_and.reduceat(ones & shared, cut)
-            either = np.bitwise_or.reduceat(ones & shared, cut)
-            mask = np.bitwise_and.reduceat(shared, cut) & ~(both ^ either)
-            ones, shared = both & mask, mask
-            self.levels.append((ones, shared))
-
-    def search(self, queries: np.ndarray, labels: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) pairs within the radius; members whose label is already the query's are left out, by whole groups."""
-        uniform = []
+    """Hierarchical index over distinct fingerprints in Gray order: one tree for each of the groups, whose members stand together."""
+
+    def __init__(self, fps: np.ndarray, groups: np.ndarray | None = None, radius: int = RADIUS, fan: int = FAN) -> None:
+        self.fps, self.radius = fps, radius
+        tree = np.zeros(len(fps), int) if groups is None else np.concatenate([[0], np.cumsum(groups[1:] != groups[:-1])])
+        self.tree = tree
+        self.root_level, self.root = np.zeros(tree[-1] + 1, int), np.zeros(tree[-1] + 1, int)
+        #: Bottom up: pattern, mask of the bits that all below share, [first, last) child.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        ones, shared, at = fps, np.full(len(fps), ~np.uint64(0)), np.arange(len(fps))
+        while len(at):
+            own = tree[at]
+            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+            cut = np.flatnonzero(place % fan == 0)
+            some = ones[at] & shared[at]
+            both, either = np.bitwise_and.reduceat(some, cut), np.bitwise_or.reduceat(some, cut)
+            mask = np.bitwise_and.reduceat(shared[at], cut) & ~(both ^ either)
+            self.levels.append((both & mask, mask, at[cut], at[np.append(cut[1:], len(at)) - 1] + 1))
+            tree = own[cut]
+            n = np.bincount(tree)[tree]
+            alone = np.flatnonzero(n == 1)
+            self.root_level[tree[alone]], self.root[tree[alone]] = len(self.levels) - 1, alone
+            ones, shared, at = both & mask, mask, np.flatnonzero(n > 1)
+
+    def search(self, a: int, b: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, later or equal-labelled member) places of links of the fingerprints [a, b) in their own trees.
+
+        With labels (of a single tree) members whose label is already the searched one's are left out, by whole groups.
+        """
+        uniform: list[np.ndarray] = []
         lab = labels
-        for _ in self.levels:
-            cut = np.arange(0, len(lab), self.fan)
-            least, most = np.minimum.reduceat(lab, cut), np.maximum.reduceat(np.where(lab < 0, np.iinfo(np.int64).max, lab), cut)
+        for _, _, first, _ in self.levels if labels is not None else ():
+            least, most = np.minimum.reduceat(lab, first), np.maximum.reduceat(np.where(lab < 0, np.iinfo(np.int64).max, lab), first)
             lab = np.where((least == most) & (least >= 0), least, -1)
             uniform.append(lab)
-        top = len(self.levels[-1][0])
-        q = np.repeat(np.arange(len(queries)), top)
-        node = np.tile(np.arange(top), len(queries))
-        acc = np.zeros(len(q), np.int64)
-        above = np.zeros(len(q), np.uint64)
+        queries, trees = self.fps[a:b], self.tree[a:b]
+        q, node, acc, above = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         self.widest = 0
         for level in range(len(self.levels) - 1, -1, -1):
-            pattern, mask = self.levels[level]
+            pattern, mask, first, last = self.levels[level]
+            enter = np.flatnonzero(self.root_level[trees] == level)
+            q, node = np.concatenate([q, enter]), np.concatenate([node, self.root[trees[enter]]])
+            acc, above = np.concatenate([acc, np.zeros(len(enter), np.int64)]), np.concatenate([above, np.zeros(len(enter), np.uint64)])
             acc = acc + np.bitwise_count((queries[q] ^ pattern[node]) & (mask[node] & ~above))
-            keep = (acc <= self.radius) & (uniform[level][node] != own[q])
+            keep = acc <= self.radius
+            if uniform:
+                keep &= uniform[level][node] != labels[a:b][q]
             q, node, acc = q[keep], node[keep], acc[keep]
-            above = np.repeat(mask[node], self.fan)
-            below = len(self.levels[level - 1][0]) if level else len(self.fps)
-            child = (node[:, None] * self.fan + np.arange(self.fan)[None, :]).ravel()
-            q, acc = np.repeat(q, self.fan), np.repeat(acc, self.fan)
-            inside = child < below
-            self.widest = max(self.widest, len(child))
-            q, node, acc, above = q[inside], child[inside], acc[inside], above[inside]
+            n = last[node] - first[node]
+            above, q, acc = np.repeat(mask[node], n), np.repeat(q, n), np.repeat(acc, n)
+            node = np.repeat(first[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            self.widest = max(self.widest, len(node))
         acc = acc + np.bitwise_count((queries[q] ^ self.fps[node]) & ~above)
-        keep = (acc <= self.radius) & (labels[node] != own[q])
-        return q[keep], node[keep]
+        keep = (acc <= self.radius) & (node > q + a if labels is None else labels[node] != labels[a:b][q])
+        return q[keep] + a, node[keep]
 
 
 def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -162,20 +175,37 @@ def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
             labels = labels[labels]
 
 
-def link_group(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (fingerprint, first of its component) among distinct fingerprints in Gray order, by way of the index."""
-    index, labels = GrayIndex(fps, radius), np.arange(len(fps))
+def link_group(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each of a tree's distinct fingerprints in Gray order, the first place of its component."""
+    index, labels = GrayIndex(fps, radius=radius), np.arange(len(fps))
     # So few queries at once that even without pruning the search stays within bounds; more once it prunes.
     step = max(1, min(512, FRONTIER // len(fps)))
     a = 0
     while a < len(fps):
         b = min(len(fps), a + step)
-        q, m = index.search(fps[a:b], labels, labels[a:b])
-        labels = _join_labels(labels, q + a, m)
+        labels = _join_labels(labels, *index.search(a, b, labels))
         a = b
         step = min(512, 2 * step) if index.widest < FRONTIER // 4 else max(1, min(step, FRONTIER // len(fps)))
-    moved = np.flatnonzero(labels != np.arange(len(fps)))
-    return fps[moved], fps[labels[moved]]
+    return labels
+
+
+def link_groups(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS, small: int = SMALL) -> np.ndarray:
+    """For each fingerprint, the first place of its component within its group. Groups stand together, in Gray order."""
+    labels = np.arange(len(fps))
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(fps) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(fps)))
+    size = np.repeat(sizes, sizes)
+    few = np.flatnonzero((size > 1) & (size <= small))
+    if len(few):
+        index = GrayIndex(fps[few], groups[few], radius)
+        seen = np.cumsum(size[few])  # what a search without any pruning would hold
+        cuts = np.unique(np.append(np.searchsorted(seen, np.arange(0, seen[-1], FRONTIER)), len(few)))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = index.search(a, b)
+            labels = _join_labels(labels, few[i], few[j])
+    for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+        labels[s : s + n] = s + link_group(fps[s : s + n], radius)
+    return labels
 
 
 def _link(radius: int, small: int):  # noqa: ANN202
@@ -183,27 +213,10 @@ def _link(radius: int, small: int):  # noqa: ANN202
         groups, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def work(g: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(g):
-                return
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-            size = np.repeat(np.diff(starts), np.diff(starts))
-            a, b = [], []
-            few = np.flatnonzero(size <= small)
-            gs, fs = g[few], f[few]
-            for d in range(1, min(small, len(fs))):
-                near = np.flatnonzero(gs[:-d] == gs[d:])
-                if not len(near):
-                    break
-                near = near[np.bitwise_count(fs[near] ^ fs[near + d]) <= radius]
-                a.append(fs[near])
-                b.append(fs[near + d])
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if e - s > small:
-                    x, y = link_group(f[s:e], radius)
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["src", "dst"])
+            labels = link_groups(g, f, radius, small)
+            at = np.flatnonzero(labels != np.arange(len(f)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (f[at], f[labels[at]])], ["src", "dst"])
 
         for batch in batches:
             g = np.concatenate([groups, batch.column(0).to_numpy()])
@@ -247,15 +260,21 @@ def components_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that of the smallest key. Columns stay as they are.
+    """docs with one row of each component: that of the smallest key (nulls last), of several such that of the smallest fingerprint.
 
-    Of rows that repeat a key and hold the smallest of a component, one stays.
+    Rows are told apart by key and fingerprint, so unlike documents that share a key, or have none, all stay;
+    of rows that agree in both, one stays. Texts without words link with each other, so one of them stays.
+    An empty table gives no rows. Columns stay as they are, whatever their names.
     """
-    found = near_duplicates(docs, key, text, radius)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("_n"))
-    kept = materialize(kept.select(F.col(key).alias("_kept"), "_n"), "simhash-kept")
+    fp = next(f"_fp{i}" for i in range(len(docs.columns) + 1) if f"_fp{i}" not in docs.columns)
+    tagged = materialize(docs.withColumn(fp, fingerprints(F.col(text))), "simhash-docs")
+    counted = tagged.groupBy(F.col(fp).alias("fp"), F.col(key).alias("_key")).agg(F.count("*").alias("c"))
+    fps = materialize(counted.groupBy("fp").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "c")).alias("m")), "simhash-distinct")
+    placed = fps.join(fingerprint_components(fps, radius), "fp")
+    best = placed.groupBy("root").agg(F.min(F.struct("m.none", "m._key", "fp", "m.c")).alias("b"))
+    kept = materialize(best.select(F.col("b._key").alias("_kept"), F.col("b.fp").alias("_kept_fp"), F.col("b.c").alias("_n")), "simhash-kept")
     # The list grows with the documents: it is merged at every size, and not broadcast while it happens to be small.
-    out = docs.join(kept.hint("merge"), docs[key].eqNullSafe(kept["_kept"]), "left_semi")
-    if kept.filter("_n > 1").isEmpty():
-        return out
-    return out.dropDuplicates([key])
+    out = tagged.join(kept.hint("merge"), tagged[key].eqNullSafe(kept["_kept"]) & (tagged[fp] == kept["_kept_fp"]), "left_semi")
+    if not kept.filter("_n > 1").isEmpty():
+        out = out.dropDuplicates([key, fp])
+    return out.drop(fp)
