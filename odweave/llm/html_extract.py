@@ -1,9 +1,11 @@
 """Main text of HTML pages by the distribution of text over lines.
 
 Markup is stripped into lines, one for each block of the page. A line weighs as many characters as it
-has outside links; lines in menus, notices, forms and the like weigh nothing, and where the page marks
-its article, so do lines outside it. Weights are summed over sliding windows of lines. Text starts where
-the sum surges above a threshold and ends at the dive to zero; each stretch between is kept.
+has outside links. Markup only changes weights: lines in menus, notices, forms and the like, and lines that
+are mostly links, weigh nothing; where the page marks its article, lines in it weigh more and lines outside it
+nothing. Weights are summed over sliding windows of lines. Text starts where the sum surges above a
+threshold, back to the first line of the window that weighs anything, and ends where it dives to zero; the
+text between is kept.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window, and the characters that a window must exceed where no article is marked.
-WINDOW, SURGE = 3, 86
+#: Lines in a window, the characters that a window must exceed, and what a line in a marked article weighs besides its characters: its author's mark is worth a window of text.
+WINDOW, SURGE, MARKED = 3, 86, 86
 
 # Element names of HTML, and words that name parts of a page in class, id and role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,8 +54,9 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", page[plain:lt], ""
             if page.startswith("<!--", lt):
                 short = page[lt + 4 : lt + 6]
-                ends = [e for e in (page.find("-->", lt + 4), page.find("--!>", lt + 4)) if e >= 0]
-                at = lt + 5 if short[:1] == ">" else lt + 6 if short == "->" else page.find(">", min(ends)) + 1 if ends else n
+                end = page.find("-->", lt + 4)
+                odd = page.find("--!>", lt + 4, end if end >= 0 else n)
+                at = lt + 5 if short[:1] == ">" else lt + 6 if short == "->" else odd + 4 if odd >= 0 else end + 3 if end >= 0 else n
             else:
                 gt = page.find(">", lt)
                 at = n if gt < 0 else gt + 1
@@ -103,46 +106,48 @@ def _is_main(name: str, attrs: str) -> bool:
 
 
 def lines_of(page: str, words: bool = True) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, characters outside links, in a marked article) outside boilerplate, and whether the page marks an article.
+    """Lines (text, characters outside links and boilerplate, in a marked article) and whether the page marks an article.
 
-    words: classes and ids that name boilerplate count too, not only elements and roles.
+    words: classes and ids that name boilerplate count too, not only elements and roles. Lines in boilerplate
+    are without text. The time is in proportion to the page, however deep its elements nest or stay open.
     """
     lines: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, marked article
-    out = main = link = free = 0
+    places: dict[str, list[int]] = {}  # places in the stack by name
+    bad_at: list[int] = []
+    main = free = 0
     text: list[str] = []
-    marked = False
+    marked = hidden = False
 
     def flush() -> None:
-        nonlocal free, text
-        if text:
-            line = " ".join("".join(text).split())
-            if line:
-                lines.append((line, free, main > 0))
-        text, free = [], 0
+        nonlocal free, text, hidden
+        line = " ".join("".join(text).split()) if text else ""
+        if line or hidden:
+            lines.append((line, free if line else 0, main > 0))
+        text, free, hidden = [], 0, False
 
     def pop_to(i: int) -> None:
-        nonlocal out, main, link
-        for name, bad, good in stack[i:]:
-            out -= bad
+        nonlocal main
+        while len(stack) > i:
+            name, bad, good = stack.pop()
+            places[name].pop()
             main -= good
-            link -= name == "a"
-        del stack[i:]
+            if bad:
+                bad_at.pop()
 
     def innermost(name: str, barriers: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                return i
-            if stack[i][0] in barriers:
-                break
-        return -1
+        last = lambda x: (places.get(x) or (-1,))[-1]
+        i = last(name)
+        return i if i > max(map(last, barriers), default=-1) else -1
 
     for kind, what, attrs in _tokens(page):
         if kind == "text":
-            if not out and what:
+            if bad_at:
+                hidden = hidden or not what.isspace()
+            elif what:
                 piece = _html.unescape(what) if "&" in what else what
                 text.append(piece)
-                if not link:
+                if not places.get("a"):
                     free += len(piece.strip())
             continue
         if what in _BLOCK:
@@ -159,61 +164,66 @@ def lines_of(page: str, words: bool = True) -> tuple[list[tuple[str, int, bool]]
             pop_to(i)
         good = _is_main(what, attrs)
         bad = _boilerplate(what, attrs, words, main > 0)
-        if good and not bad and out and not main:  # an article that stands in unclosed or wrongly named boilerplate
-            first = next(i for i, x in enumerate(stack) if x[1])
-            keep = [(name, False, g) for name, _, g in stack[first:]]
-            out = 0
-            stack[first:] = keep
-        good = good and not bad and not out
+        if good and not bad and bad_at and not main:  # an article that stands in unclosed or wrongly named boilerplate
+            for i in bad_at:
+                stack[i] = (stack[i][0], False, stack[i][2])
+            bad_at.clear()
+        good = good and not bad and not bad_at
         marked |= good
         if what in _VOID:
             continue
+        if bad:
+            bad_at.append(len(stack))
+        places.setdefault(what, []).append(len(stack))
         stack.append((what, bad, good))
-        out += bad
         main += good
-        link += what == "a"
     flush()
     return lines, marked
 
 
-def _stretches(weights: list[int], window: int, threshold: int) -> Iterator[tuple[int, int]]:
-    """[surge, dive) of each stretch of lines: window sums rise above the threshold at its start and fall to zero at its end."""
-    n, at = len(weights), 0
-    while at < n:
-        if not weights[at]:
-            at += 1
-            continue
-        end, peak, gap = at, 0, 0
-        sums = 0
-        for i in range(at, n):
-            sums += weights[i] - (weights[i - window] if i - window >= at else 0)
-            peak = max(peak, sums)
-            gap = 0 if weights[i] else gap + 1
-            if gap >= window:
-                break
-            end = i + 1 if weights[i] else end
-        if peak > threshold:
-            yield at, end
-        at = max(end, at + 1)
+def line_weights(lines: list[tuple[str, int, bool]], marked: bool) -> list[int]:
+    """What each line weighs; `marked` says whether the page marks an article."""
+    if marked:
+        return [len(t) + MARKED if inside and t else 0 for t, _, inside in lines]
+    return [w if 2 * w >= len(t) else 0 for t, w, _ in lines]
 
 
-def extract_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article's text: blocks in page order joined by one space; empty for null, empty and text-free pages.
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[start, end) of each stretch of lines that is text.
 
-    Within a marked article every block is kept. Elsewhere a stretch needs a window above `surge`
-    characters, or above half the page's largest window if none is.
+    The sum at a line is that of the `window` lines that end there. A stretch begins with the first line that
+    weighs anything after the sum was zero, ends where the sum dives to zero, and is text if the sum surges
+    above the threshold in between. Where no window of the page does so, half its largest sum is the threshold.
     """
+    sums, total = [], 0
+    for i, w in enumerate(weights):
+        total += w - (weights[i - window] if i >= window else 0)
+        sums.append(total)
+    most = max(sums, default=0)
+    limit = surge if most > surge else most // 2
+    found, at, peak = [], -1, 0
+    for i, s in enumerate([*sums, 0]):
+        if s and at < 0:
+            at, peak = i, 0
+        peak = max(peak, s)
+        if not s and at >= 0:
+            end = i
+            while not weights[end - 1]:
+                end -= 1
+            if peak > limit:
+                found.append((at, end))
+            at = -1
+    return found
+
+
+def extract_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The article's text: blocks in page order joined by one space; empty for null, empty and text-free pages."""
     if not page:
         return ""
     for words in (True, False):  # a page all of whose text is in wrongly named parts is read by elements alone
         lines, marked = lines_of(page, words)
-        if marked:
-            weights, limit = [max(1, len(t)) if inside else 0 for t, _, inside in lines], 0
-        else:
-            weights = [w if 2 * w >= len(t) else 0 for t, w, _ in lines]
-            most = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
-            limit = surge if most > surge else most // 2
-        keep = [t for a, b in _stretches(weights, window, limit) for (t, _, inside) in lines[a:b] if inside or not marked]
+        weights = line_weights(lines, marked)
+        keep = [lines[i][0] for a, b in stretches(weights, window, surge) for i in range(a, b) if lines[i][0] and (lines[i][2] or not marked)]
         if keep:
             return " ".join(keep)
     return ""
@@ -230,5 +240,9 @@ def main_text(page: Column, window: int = WINDOW, surge: int = SURGE) -> Column:
 
 
 def extract_pages(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
-    """pages with the main text of each page in `name`, which replaces a column of that name. Rows stay as they are; repeated rows give repeated results."""
+    """pages with the main text of each page in `name`, which replaces a column of that name.
+
+    Null and empty pages have the text "". Whole pages are read, in time proportional to their length. Rows
+    otherwise stay as they are: repeated rows give repeated results, an empty table an empty one.
+    """
     return pages.withColumn(name, main_text(F.col(html)))
