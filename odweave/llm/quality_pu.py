@@ -2,9 +2,12 @@
 
 Trusted positives and unlabelled texts train a small network by the non-negative unbiased risk
     pi * R+(g) + max(0, Ru-(g) - pi * R+-(g)),
-where pi is the estimated class prior. Where the part in max() falls below zero, the step goes against its
-gradient instead, so that the network can't gain by fitting the unlabelled texts. Features are shares and
-ratios of whole texts: no words, no languages, no names.
+where pi is the class prior. Where the part in max() falls below zero, the step goes against its
+gradient instead, so that the network can't gain by fitting the unlabelled texts. The prior is estimated from
+positives and unlabelled texts alone: a classifier of one against the other is cut where the share of
+unlabelled texts above the cut, over that of positives, is least (the best bin). Labels 0 are never used: they
+train nothing, set no prior and calibrate nothing. Features are shares and ratios of whole texts: no words,
+no languages, no names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts and unlabelled texts in the training sample, at most about.
+#: Positive texts and unlabelled texts in the training sample, at most about. They bound what is learned from, not
+#: what is scored; with n of each the prior is known to about 1.5 / sqrt(n), 0.01 here.
 SAMPLE_LABELLED, SAMPLE_UNLABELLED = 12_000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 60, 512, 5e-3, 7
 #: A text of this score is predicted to have label 1.
@@ -62,8 +66,6 @@ class Model:
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    slope: float = 1.0
-    shift: float = 0.0
     prior: float = 0.5
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -71,7 +73,13 @@ class Model:
         return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -30, 30)))
+        """The probability of label 1: of the logistic loss under the prior, the margin is its log odds."""
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+
+
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of margins of positives and unlabelled texts."""
+    return float(prior * np.logaddexp(0, -gp).mean() + max(0.0, np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE) -> Model:
@@ -111,25 +119,33 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, scale, p[0], p[1], p[2], float(p[3][0]), prior=prior)
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Fits slope and shift of the margin to labels of both kinds, each kind weighing the same; without both it stays as it is."""
-    if len(set(y.tolist())) < 2:
-        return model
-    g = model.margin(x)
-    w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    target = np.where(y == 1, 1 - 1 / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    a, b = 1.0 / max(1e-6, g.std()), 0.0
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
-        r, c = w * (q - target), w * q * (1 - q) + 1e-12
-        hess = np.array([[(c * g * g).sum() + 1e-6, (c * g).sum()], [(c * g).sum(), c.sum() + 1e-9]])
-        step = np.linalg.solve(hess, np.array([(r * g).sum() + 1e-6 * a, r.sum()]))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    if a > 0:
-        model.slope, model.shift = float(a), float(b)
-    return model
+def best_bin(gp: np.ndarray, gu: np.ndarray, delta: float = 0.1) -> tuple[float, float]:
+    """(prior, standard error) from held-out margins of positives and unlabelled texts.
+
+    Above any cut, unlabelled texts hold at least the prior's share of positives, so the ratio of the two
+    shares bounds the prior; it is taken at the cut whose upper confidence bound is least.
+    """
+    cuts = np.unique(gp)
+    share = lambda g: 1 - np.searchsorted(np.sort(g), cuts, "left") / len(g)
+    p, u = share(gp), share(gu)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(gu)) + 1 / np.sqrt(len(gp)))
+    i = int(((u + slack) / p).argmin())
+    prior = min(1.0, u[i] / p[i])
+    return prior, float(np.sqrt(u[i] * (1 - u[i]) / len(gu) + prior**2 * p[i] * (1 - p[i]) / len(gp)) / p[i])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED) -> float:
+    """The class prior, less a standard error since its estimate leans upwards; both halves are held out in turn."""
+    rng = np.random.default_rng(seed)
+    p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    got = []
+    for i in (0, 1):
+        model = fit(p[i::2], u[i::2], 0.5, seed, epochs=EPOCHS // 3)
+        got.append(best_bin(model.margin(p[1 - i :: 2]), model.margin(u[1 - i :: 2])))
+    prior, error = np.mean(got, axis=0)
+    return float(np.clip(prior - error, 0.02, 0.98))
 
 
 def _feature_rows(text: Column) -> Column:
@@ -141,29 +157,29 @@ def _feature_rows(text: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = SAMPLE_LABELLED, unlabelled: int = SAMPLE_UNLABELLED, seed: int = SEED) -> Model:
-    """A model from labels(doc_id, quality) and the texts of docs(doc_id, text).
+    """A model from the labels 1 of labels(doc_id, quality) and the texts of docs(doc_id, text).
 
-    Samples are by hash of doc_id and bounded by `labelled` and `unlabelled` rows; their features are gathered.
-    The prior is the share of 1 among all labels given, or 0.5 without any; positives are the sampled labels 1.
-    Without a positive or without texts the model scores everything 0.5.
+    Positives are documents with label 1, at most `labelled` of them; the unlabelled texts are drawn from all
+    documents, about `unlabelled`. Both samples are by hash, so reruns agree, and their features are gathered.
+    Rows of null doc_id or quality label nothing; a document labelled both 1 and 0 counts as labelled 1; null texts have
+    the features 0; repeated documents are drawn together. Without a positive or without texts (empty tables)
+    the model scores everything 0.5. Other columns are ignored.
     """
-    clean = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
-    n, ones = clean.agg(F.count("*"), F.sum(F.col("quality").cast("long"))).first()
-    n_docs = docs.count()
-    prior = float(np.clip((ones or 0) / n, 0.02, 0.98)) if n else 0.5
-    draw = lambda salt: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
-    # Expected size labelled * 0.9, and never more than `labelled` rows.
-    picked = clean.filter(draw(seed) < 0.9 * labelled / max(1, n)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q")).limit(labelled)
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    n, n_docs = good.count(), docs.count()
+    draw = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 20)) / float(1 << 20)
+    # The bound holds exactly: of an expected 0.9 times as many, the first by hash.
+    picked = good.filter(draw("_id", F.lit(seed)) < 0.9 * labelled / max(1, n)).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"), "left")
-    rows = rows.withColumn("_u", draw(seed + 1) < 0.9 * unlabelled / max(1, n_docs)).filter(F.col("_q").isNotNull() | F.col("_u"))
-    got = rows.select("doc_id", "_q", "_u", _feature_rows(F.col("text")).alias("x")).orderBy("doc_id", "_q", "x").limit(labelled + 2 * unlabelled).collect()
+    rows = rows.withColumn("_u", draw("doc_id", "text", F.lit(seed + 1)) < 0.9 * unlabelled / max(1, n_docs)).filter(F.col("_id").isNotNull() | F.col("_u"))
+    got = rows.select("doc_id", F.col("_id").isNotNull().alias("_p"), "_u", _feature_rows(F.col("text")).alias("x")).orderBy("doc_id", "x").limit(2 * labelled + 2 * unlabelled).collect()
     x = np.array([r.x for r in got]) if got else np.zeros((0, N_FEATURES))
-    q = np.array([-1 if r._q is None else r._q for r in got], int)
-    u = np.array([bool(r._u) for r in got], bool)
-    if not (q == 1).any() or not len(x):
+    p, u = (np.array([bool(r[c]) for r in got], bool) for c in ("_p", "_u"))
+    if not p.any():
         d = N_FEATURES
-        return Model(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0, prior=prior)
-    return calibrate(fit(x[q == 1], x[u] if u.any() else x, prior, seed), x[q >= 0], q[q >= 0])
+        return Model(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0)
+    xu = x[u] if u.any() else x
+    return fit(x[p], xu, estimate_prior(x[p], xu, seed), seed)
 
 
 def score(text: Column, model: Model) -> Column:
