@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets, centroids of a language, sampled texts of a language at most about, and languages at most.
-BUCKETS, CENTROIDS, SAMPLE, LANGUAGES = 8_192, 3, 400, 400
+from ..plans.storage import materialize
+
+#: Hash buckets, centroids of a language, and sampled texts of a language at most about.
+BUCKETS, CENTROIDS, SAMPLE = 8_192, 3, 400
 #: Texts whose best cosine is below this share of the worst that sampled texts of as many letters show are rejected.
 REJECT = 0.3
 UNDETERMINED = "und"
@@ -32,14 +34,15 @@ def letter_table() -> np.ndarray:
 
 
 def ngram_counts(text: str | None, letters: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, int]:
-    """(counts by bucket, letters of the text); long texts are read in chunks, whole."""
+    """(counts by bucket, letters of the text). Long texts are read whole, in chunks; an n-gram counts in the chunk where it ends."""
     counts = np.zeros(buckets, np.int64)
     n_letters = 0
     if not text:
         return counts, 0
+    text = text.lower()
     tail = np.array([32], np.uint64)
     for a in range(0, len(text), _CHUNK):
-        cp = np.frombuffer(text[a : a + _CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        cp = np.frombuffer(text[a : a + _CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         is_letter = letters[np.minimum(cp, 0xFFFF)]
         high = cp > 0xFFFF
         if high.any():
@@ -52,7 +55,9 @@ def ngram_counts(text: str | None, letters: np.ndarray, buckets: int = BUCKETS)
             one = cp * np.uint64(0x9E3779B97F4A7C15)
             two = (one[:-1] ^ (one[:-1] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + one[1:]
             three = (two[:-1] ^ (two[:-1] >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + one[2:]
-        for h in (one, two, three):
+        old = len(tail) if a else 0
+        for n, h in enumerate((one, two, three)):
+            h = h[max(0, old - n) :]
             counts += np.bincount(((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         tail = cp[-2:]
     return counts, n_letters
@@ -117,61 +122,60 @@ def _counts_of(text: Column) -> Column:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, centroids: int = CENTROIDS, seed: int = _SEED) -> Model | None:
-    """A model from texts of known language; None without any.
+    """A model from texts of known language; None without any (an empty table, or no text with letters and language).
 
-    Rows without text or language are left out. About `sample` texts of each language are drawn by hash of
-    the key (all of a language with fewer); the k-means of a language runs in one task over its sample. If
-    there are more than LANGUAGES languages, those of the fewest texts are left out.
+    Rows without text or language are left out. About `sample` texts of each language are drawn by hash of key
+    and text (all of a language with fewer), so that neither null nor repeated keys are drawn as one. Counts of
+    sampled texts are written once; what is gathered is a document frequency for each bucket and the centroids
+    of each language, whose k-means runs in one task over its sample. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
-    sizes = {r._l: r.n for r in known.groupBy("_l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_l").limit(LANGUAGES).collect()}
-    if not sizes:
-        return None
-    languages = sorted(sizes)
-    rates = spark.createDataFrame([(x, min(1.0, sample / sizes[x])) for x in languages], "_r string, rate double")
-    draw = F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.join(F.broadcast(rates), F.col("_l") == F.col("_r")).filter(draw < F.col("rate")).select("_l", _counts_of(F.col("_t")).alias("c"))
-    # About `sample` texts of each language, gathered as sparse counts. A filter on the counts would be pushed
-    # below the sampling, and all texts would be counted.
-    got = sorted(((r._l, r.c.letters, r.c.i, r.c.n) for r in drawn.collect() if r.c.letters), key=lambda r: (r[0], r[1], r[2], r[3]))
-    if not got:
+    rates = known.groupBy(F.col("_l").alias("_r")).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("rate"))
+    rates = materialize(rates, "language-rates")
+    draw = F.pmod(F.xxhash64("_k", "_t", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    drawn = known.join(rates, F.col("_l") == F.col("_r")).filter(draw < F.col("rate")).select("_l", _counts_of(F.col("_t")).alias("c"))
+    # A filter on the counts would be pushed below the sampling, and all texts would be counted; so it comes after writing.
+    counted = materialize(drawn.select("_l", "c.i", "c.n", "c.letters"), "language-counts").filter("letters > 0")
+    n = counted.count()
+    if not n:
         return None
     df = np.zeros(BUCKETS)
-    for _, _, i, _ in got:
-        df[i] += 1
-    idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-
-    def unit(i: list[int], n: list[int]) -> np.ndarray:
-        x = np.zeros(BUCKETS, np.float32)
-        x[i] = np.log1p(n)
+    for r in counted.select(F.explode("i").alias("i")).groupBy("i").count().collect():
+        df[r["i"]] = r["count"]
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(i=rows["i"].map(tuple), n=rows["n"].map(tuple)).sort_values(["letters", "i", "n"])
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for at, i, m in zip(range(len(rows)), rows["i"], rows["n"], strict=True):
+            x[at, list(i)] = np.log1p(m)
         x *= idf
-        return x / np.linalg.norm(x)
-
-    c, owner, seen = [], [], []
-    for j, name in enumerate(languages):
-        rows = [r for r in got if r[0] == name]
-        if rows:
-            x = np.stack([unit(r[2], r[3]) for r in rows])
-            own = spherical_kmeans(x, centroids, seed)
-            c.append(own)
-            owner += [j] * len(own)
-            seen += [(int(np.log2(r[1])), float(s)) for r, s in zip(rows, (x @ own.T).max(1), strict=True)]
-    worst = np.full(40, np.nan)
-    for size, s in seen:
-        worst[size] = s if np.isnan(worst[size]) else min(worst[size], s)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        own = spherical_kmeans(x, centroids, seed)
+        size, near = np.log2(rows["letters"].to_numpy()).astype(int), (x @ own.T).max(1)
+        worst = [float(near[size == s].min()) if (size == s).any() else None for s in range(40)]
+        return pd.DataFrame({"lang": rows["_l"].iloc[0], "c": [c.tobytes() for c in own], "worst": [worst] * len(own)})
+
+    got = sorted(counted.groupBy("_l").applyInPandas(cluster, "lang string, c binary, worst array<double>").collect(), key=lambda r: (r.lang, bytes(r.c)))
+    languages = sorted({r.lang for r in got})
+    owner = np.array([languages.index(r.lang) for r in got])
+    worst = np.array([[np.nan if w is None else w for w in r.worst] for r in got])
+    known_sizes = np.flatnonzero(~np.isnan(worst).all(0))
+    least = np.full(40, np.inf)
+    least[known_sizes] = np.nanmin(worst[:, known_sizes], axis=0)
     # Fewer letters give smaller cosines: what holds for longer texts doesn't bind shorter ones.
-    least = np.minimum.accumulate(np.where(np.isnan(worst), np.inf, worst)[::-1])[::-1]
-    known_sizes = np.flatnonzero(~np.isnan(worst))
-    first = int(known_sizes.min())
-    least[:first] = 0.0
-    return Model(languages, idf, np.concatenate(c), np.array(owner), np.where(np.isinf(least), np.nanmin(worst), least) * REJECT)
+    floor = np.minimum.accumulate(least[::-1])[::-1]
+    floor = np.where(np.isinf(floor), least[known_sizes].min(), floor)
+    floor[: known_sizes.min()] = 0.0
+    return Model(languages, idf, np.stack([np.frombuffer(r.c, np.float32) for r in got]), owner, floor * REJECT)
 
 
 def predict(text: Column, model: Model | None) -> Column:
     """struct<lang, score, rejected> of whole texts: the nearest language with its cosine; `und` and 0 without letters or without a model.
 
-    rejected: without letters, or too far from all centroids. Languages are named even then.
+    rejected: without letters, or too far from all centroids. Languages are named even then. Null and empty texts
+    have no letters; ties go to the earlier centroid.
     """
     names = [*(model.languages if model else []), UNDETERMINED]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ def _in_fold(key: Column, parts: int, fold: int) -> Column:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted; digests of turns and of the trained text as read back. Null ids form one conversation, null texts are empty, repeated rows are repeated turns."""
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -32,45 +34,59 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: "" for null, empty and text-free ones. One row per row of pages, repeated ones too."""
     done = html_extract.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in whole documents. Null, empty and wordless texts hold none; rows that repeat a doc_id are reported together."""
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Unusable vectors (null, zero, non-finite) stand alone; equal ones link; a null id names no component."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null and wordless texts have size 0; a null source is one of its own, last; reruns agree."""
     _, found = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Texts without words have fingerprint zero and link; a null id names no component."""
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written and read back. Quarantined bytes of a damaged archive are logged, and are the result's `gaps`; a sound archive has none."""
     _, records = warc.archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    kept = records.filter("kind IN ('response', 'revisit')")
-    return kept.select(warc.page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.page_id_of(F.col("refers_to")).alias("refers_to"))
+    kept, gaps = warc.split_gaps(records)
+    n, size = gaps.agg(F.count("*"), F.sum("size")).first()
+    if n:
+        logging.getLogger(__name__).warning("%d gaps of %d bytes are in quarantine", n, size)
+    out = kept.select(warc.page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.page_id_of(F.col("refers_to")).alias("refers_to"))
+    out.gaps = gaps
+    return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window. Null and wordless texts and items match nothing; repeated rows are reported each."""
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. Null texts and texts without letters are `und` with score 0; `rejected` is true for these and for texts too far from every language. A null id is never held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.filter(~_in_fold(F.col("doc_id"), 4, 2)))
     got = docs.select("doc_id", _in_fold(F.col("doc_id"), 4, 2).alias("held_out"), language_id.predict(F.col("text"), model).alias("p"))
-    return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+    return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, empty and null texts too. A null id is never held out; repeated documents have equal scores."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality_pu.train(docs, labels.filter(~_in_fold(F.col("doc_id"), 5, 0)))
