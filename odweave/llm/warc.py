@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from ..plans.skew import attach
 from ..plans.storage import materialize, scratch_path
 
-#: Payloads from this size on are stored once; records of an archive file; level of compression.
-LEAST_SHARED, FILE_RECORDS, LEVEL = 100, 20_000, 5
+#: Payloads from this size on are stored once; level of compression.
+LEAST_SHARED, LEVEL = 100, 5
+#: Payloads of up to so many bytes, and how many such records go to a file: so no file has more than 128 MB, or one record.
+FILE_RECORDS = {1 << 14: 8192, 1 << 18: 512, 1 << 22: 32, 1 << 40: 1}
 VERSION = b"WARC/1.0"
 _MAGIC = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
@@ -170,8 +172,8 @@ def _bracketed(x: str | None) -> str | None:
     return x.strip("<>") if x else None
 
 
-def write_warc(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Writes records(kind, record_id, uri, payload string, payload_bytes, payload_digest, refers_to) as WARC files below `path`."""
+def write_warc(records: DataFrame, path: str, file_records: int = 8192) -> None:
+    """Writes records(kind, record_id, uri, payload string, payload_bytes, payload_digest, refers_to) as WARC files of at most so many records below `path`."""
 
     @F.pandas_udf("binary")
     def member(kind: pd.Series, rid: pd.Series, uri: pd.Series, payload: pd.Series, size: pd.Series, digest: pd.Series, refers: pd.Series) -> pd.Series:
@@ -185,7 +187,8 @@ def write_warc(records: DataFrame, path: str, file_records: int = FILE_RECORDS)
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """RECORD rows of all files below `path`: records, and gaps (kind "gap", with `problem`, `start` and `size`).
 
-    Each file is read by one task. Without `payloads` that column is null; its size and digest are still
+    Each file is read whole by one task; archive_pages() bounds its files by bytes. An undamaged archive has no gaps, an
+    empty one no rows. Without `payloads` that column is null; its size and digest are still
     taken from the bytes, or for a revisit from its header.
     """
 
@@ -220,22 +223,31 @@ def _urn(c: Column) -> Column:
     return F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Records for write_warc() from pages(page_id, url, html).
+def page_records(pages: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Records for write_warc() from pages(page_id, url, html), and the payload bytes of FILE_RECORDS that occur.
 
     Pages whose payloads are equal and of at least LEAST_SHARED bytes: that of the smallest page_id is a
     response (every row of that id, if it is repeated), the others revisit it. A null html is an empty
     payload; a null page_id is never referred to unless all equal pages lack one, and then all are responses.
+    Which pages revisit is decided on ids and digests. The list of them grows with the pages, so it is merged
+    with the pages at every size, and not broadcast while it happens to be small.
     """
     html = F.coalesce("html", F.lit(""))
     full = pages.select("page_id", "url", html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
-    narrow = materialize(full.filter(F.col("payload_bytes") >= LEAST_SHARED).select("page_id", "payload_digest"), "warc-digests")
-    shared = materialize(narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL"), "warc-shared")
-    again = attach(narrow, shared, "payload_digest", "n", F.xxhash64("page_id")).filter("first IS NOT NULL AND NOT (page_id <=> first)").distinct()
+    narrow = materialize(full.select("page_id", "payload_bytes", "payload_digest"), "warc-digests")
+    limits = sorted(FILE_RECORDS)
+    kind = F.lit(limits[-1])
+    for x in reversed(limits[:-1]):
+        kind = F.when(F.col("payload_bytes") <= x, x).otherwise(kind)
+    there = [r[0] for r in narrow.groupBy(kind.alias("k")).count().collect()]
+    large = narrow.filter(F.col("payload_bytes") >= LEAST_SHARED)
+    shared = materialize(large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL"), "warc-shared")
+    again = attach(large.select("page_id", "payload_digest"), shared, "payload_digest", "n", F.xxhash64("page_id")).filter("first IS NOT NULL AND NOT (page_id <=> first)").distinct()
     again = materialize(again.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_d"), "first"), "warc-revisits")
-    rows = full.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_d")), "left")
+    rows = full.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_d")), "left")
     revisit = F.col("first").isNotNull()
-    return rows.select(F.when(revisit, "revisit").otherwise("response").alias("kind"), _urn(F.col("page_id")).alias("record_id"), F.col("url").alias("uri"), "payload", "payload_bytes", "payload_digest", F.when(revisit, _urn(F.col("first"))).alias("refers_to"))
+    records = rows.select(F.when(revisit, "revisit").otherwise("response").alias("kind"), _urn(F.col("page_id")).alias("record_id"), F.col("url").alias("uri"), "payload", "payload_bytes", "payload_digest", F.when(revisit, _urn(F.col("first"))).alias("refers_to"))
+    return records, there
 
 
 def page_id_of(urn: Column) -> Column:
@@ -244,8 +256,20 @@ def page_id_of(urn: Column) -> Column:
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> tuple[str, DataFrame]:
-    """Writes the pages' archives and returns their path and their records as read back. An empty table gives no records."""
+    """Writes the pages' archives and returns their path and their records as read back, gaps included. An empty table gives no records."""
     spark = pages.sparkSession
     where = path or scratch_path(spark, "warc")
-    write_warc(page_records(pages), where)
+    records, there = page_records(pages)
+    limits = sorted(FILE_RECORDS)
+    for below, most in zip([-1, *limits[:-1]], limits, strict=True):
+        if most in there:
+            write_warc(records.filter((F.col("payload_bytes") > below) & (F.col("payload_bytes") <= most)), f"{where}/up-to-{most}", FILE_RECORDS[most])
+    if not there:
+        write_warc(records, f"{where}/empty")
     return where, read_warc(spark, where, payloads=False)
+
+
+def split_gaps(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of read_warc() rows, which are read once and written. gaps: archive, start, size and problem of each span of bytes in quarantine."""
+    held = materialize(records, "warc-records")
+    return held.filter("kind <> 'gap'"), held.filter("kind = 'gap'").select("archive", "start", "size", "problem")
