@@ -72,10 +72,11 @@ def format_conversations(messages: DataFrame, costs: TokenCosts | None = None, t
     """One row per conversation from messages(conv_id, turn, role, parts).
 
     parts: PARTS, or an array of structs of which some fields are missing. Returns conv_id, n_turns,
-    formatted, loss_mask (runs of code points, in order, over all of `formatted`), attachments (in order:
-    turn, part, kind, ref, n_tokens) and expanded_tokens. Turns are ordered by turn (null first), role and
+    formatted, loss_mask (runs of code points, in order, over all of `formatted`; texts of the trained role are
+    in the loss, its placeholders are not), attachments (in order: turn, part, kind, ref, n_tokens) and expanded_tokens. Turns are ordered by turn (null first), role and
     parts, and numbered from 0; repeated rows are repeated turns. A null role or text counts as empty, null
-    parts as none; an unknown kind of part gives its text. Rows with a null conv_id form one conversation.
+    parts as none; an unknown kind of part gives its text. Rows with a null conv_id form one conversation; as any
+    conversation it becomes one row, so it must fit into a task's memory, as its text must fit into a string.
     An empty table gives no rows; other columns of the messages are ignored.
     """
     costs = costs or TokenCosts()
@@ -87,8 +88,8 @@ def format_conversations(messages: DataFrame, costs: TokenCosts | None = None, t
 
     def turn(m: Column, t: Column) -> Column:
         head = F.concat(F.lit(HEAD), escape(m["role"]), F.lit(HEAD_END))
-        body = F.array_join(F.transform(m["parts"], lambda p, i: _visit(p, t, i)), "")
-        return F.struct(head.alias("head"), body.alias("body"), (m["role"] == train_role).alias("loss"))
+        pieces = F.transform(m["parts"], lambda p, i: F.struct(_visit(p, t, i).alias("text"), ((m["role"] == train_role) & ~_is_attachment(p)).alias("loss")))
+        return F.struct(head.alias("head"), pieces.alias("pieces"))
 
     def attached(m: Column, t: Column) -> Column:
         found = F.transform(m["parts"], lambda p, i: F.struct(t.cast("int").alias("turn"), i.cast("int").alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p, costs).alias("n_tokens")))
@@ -96,14 +97,14 @@ def format_conversations(messages: DataFrame, costs: TokenCosts | None = None, t
 
     def runs(x: Column) -> Column:
         run = lambda n, on: F.struct(n.cast("int").alias("n_chars"), on.alias("in_loss"))
-        return F.array(run(F.length(x["head"]), F.lit(False)), run(F.length(x["body"]), x["loss"]), run(F.lit(len(EOS)), F.lit(False)))
+        return F.concat(F.array(run(F.length(x["head"]), F.lit(False))), F.transform(x["pieces"], lambda p: run(F.length(p["text"]), p["loss"])), F.array(run(F.lit(len(EOS)), F.lit(False))))
 
     convs = convs.select("conv_id", F.size("_t").cast("long").alias("n_turns"), F.transform("_t", turn).alias("_x"), F.flatten(F.transform("_t", attached)).alias("attachments"))
     start = F.array(F.struct(F.lit(len(BOS)).alias("n_chars"), F.lit(False).alias("in_loss")))
     return convs.select(
         "conv_id",
         "n_turns",
-        F.concat(F.lit(BOS), F.array_join(F.transform("_x", lambda x: F.concat(x["head"], x["body"], F.lit(EOS))), "")).alias("formatted"),
+        F.concat(F.lit(BOS), F.array_join(F.transform("_x", lambda x: F.concat(x["head"], F.array_join(x["pieces"]["text"], ""), F.lit(EOS))), "")).alias("formatted"),
         F.concat(start, F.flatten(F.transform("_x", runs))).alias("loss_mask"),
         "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]).alias("expanded_tokens"),

@@ -54,6 +54,11 @@ def bands_for(similarity: float, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-similarity))
 
 
+def templates_of(table: DataFrame, name: str = "license", text: str = "text") -> dict[str, str]:
+    """Templates from a table of licences. It is gathered: the scales are planned from it. Rows without name or text are left out; of a repeated name the last text counts."""
+    return {r[0]: r[1] for r in table.select(name, text).dropna().orderBy(name, text).toLocalIterator()}
+
+
 def plan_scales(templates: dict[str, str], k: int = SHINGLE, containment: float = CONTAINMENT) -> list[dict]:
     """By template length: the templates with their distinct shingles, window and stride in shingles, and bands."""
     groups: dict[int, list[tuple[str, list[str]]]] = {}

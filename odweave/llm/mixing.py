@@ -126,7 +126,11 @@ def _with_source(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """docs that the mix takes, with size, source_size, target and taken. Rows that repeat doc_id and text show the mean of their counts, rounded down."""
+    """docs that the mix takes, with size, source_size, target and taken, which replace columns of these names.
+
+    Rows that repeat doc_id and text show the mean of their counts, rounded down. Null and wordless texts are
+    never taken; an empty table, or one without words, gives no rows.
+    """
     _, found = mix(docs)
     per = found.groupBy("h").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.floor(F.avg("taken")).cast("long").alias("taken"))
     own, per = docs.drop("size", "source_size", "target", "taken"), materialize(per.filter("taken > 0").withColumnRenamed("h", "_mix_hash"), "mix-per-hash")
@@ -136,8 +140,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for what the mix takes of each document."""
     return rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS size,
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
         md5(concat_ws(chr(31), 'mix', doc_id::VARCHAR, text)) AS h, row_number() OVER () AS uid FROM documents),
 g AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 p AS (SELECT *, 3 * source_size AS cap, idx % 3 + 1 AS w FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM g)),
