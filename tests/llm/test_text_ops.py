@@ -1,6 +1,7 @@
 """Chat formatting, HTML, licences, decontamination, language, quality: edge cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -36,6 +37,13 @@ def test_typed_parts(spark):
     parts = [part(kind="text", text="see [IMG]0.0[/IMG] "), part(kind="image", ref="a.png", width=28, height=15), part(kind="text", text=" and "), part(kind="audio", ref="b.wav", seconds=2.0), part(kind="document", ref="c.pdf", pages=2), part(kind="odd", text="?")]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn int, role string, parts {chat_format.PARTS}")
     r = chat_format.format_conversations(df).select("*", F.transform(chat_format.read_turns(F.col("formatted")), lambda t: chat_format.read_parts(t["body"])).alias("p")).first()
+    mask, at, trained = r.loss_mask, 0, ""
+    for m in mask:
+        trained += r.formatted[at : at + m.n_chars] if m.in_loss else ""
+        at += m.n_chars
+    assert at == len(r.formatted) and trained == ""
+    said = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn int, role string, parts {chat_format.PARTS}")
+    assert chat_format.format_conversations(said).select(chat_format.loss_text(F.col("formatted"), F.col("loss_mask")).alias("l")).first().l == "see [IMG]0.0[/IMG]  and ?"
     assert r.p[0] == ["see [IMG]0.0[/IMG] ", "[IMG]0.1[/IMG]", " and ", "[AUD]0.3[/AUD]", "[DOC]0.4[/DOC]", "?"] and r.p[1] == []
     assert [(a.turn, a.part, a.ref, a.n_tokens) for a in r.attachments] == [(0, 1, "a.png", 6), (0, 3, "b.wav", 50), (0, 4, "c.pdf", 2048)] and r.expanded_tokens == 2104
 
@@ -58,6 +66,51 @@ def test_html():
     assert html_extract.extract_text("<article><p>a <unclosed 'b") == "a"
 
 
+def test_line_blocks_by_definition():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        n, w, limit = rnd.randrange(0, 14), rnd.choice([1, 2, 3, 4]), rnd.choice([0, 5, 30])
+        weights = [rnd.choice([0, 0, 0, 1, 4, 9, 40]) for _ in range(n)]
+        sums = [sum(weights[max(0, i - w + 1) : i + 1]) for i in range(n)]
+        top = max(sums, default=0)
+        least = limit if top > limit else top // 2
+        want, i = [], 0
+        while i < n:
+            if not sums[i]:
+                i += 1
+                continue
+            j = i
+            while j < n and sums[j]:
+                j += 1
+            if max(sums[i:j]) > least:
+                want.append((i, max(k for k in range(i, j) if weights[k]) + 1))
+            i = j
+        assert html_extract.stretches(weights, w, limit) == want
+
+
+def test_pages_without_an_article():
+    """Text lengths alone tell text from short lines where markup names nothing."""
+    rnd = random.Random(6)
+    for _ in range(40):
+        text = [" ".join(rnd.choice(["river", "stone", "over", "the", "of"]) for _ in range(rnd.randrange(25, 60))) for _ in range(rnd.randrange(1, 6))]
+        short = lambda n: "".join(f"<div>{rnd.choice(['Home', 'About', 'More'])}</div>" + "<div><a href=x>link to another page of this site</a></div>" * 3 for _ in range(n))
+        page = f"<body>{short(3)}" + "".join(f"<div>{t}</div>" for t in text) + f"<div><a>next</a></div>{short(3)}</body>"
+        got = html_extract.extract_text(page)
+        assert got.startswith(text[0][:60]) and all(t in got for t in text) and len(got) <= sum(map(len, text)) + 40
+    inside = "<article><p>" + "long words " * 20 + "</p><div class=ad><p>x</p><p>y</p><p>z</p></div><p>The end.</p></article><p>" + "outside " * 40
+    assert html_extract.extract_text(inside) == ("long words " * 20).strip() + " The end."
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for piece in ("<div>x", "<nav><article>y", "<!-- a -->z<p>", "<table><tr><td><p>q", "<a><b>"):
+        html_extract.extract_text(piece * 500)
+        began = time.process_time()
+        html_extract.extract_text(piece * 60_000)
+        assert time.process_time() - began < 20
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "<article>a</article>", "old"), (2, None, None)], "page_id long, html string, text string")
     assert [tuple(r) for r in html_extract.extract_pages(df).orderBy("page_id").select("page_id", "text").collect()] == [(1, "a"), (2, "")]
@@ -112,13 +165,47 @@ def test_decontamination_brute(spark):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0 and decontaminate.find_contamination(df, bench.limit(0)).count() == 0
 
 
+def test_recall_of_windows_by_similarity():
+    """Items with changed words, from the limit upwards: the fingerprints of all that verify are within the radius."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(4000)]
+    seen = 0
+    for n in (12, 30, 60, 200, 600):
+        words = [rnd.choice(vocab) for _ in range(n)]
+        index = decontaminate.BenchmarkIndex([(1, " ".join(words))])
+        for _ in range(120):
+            own, k = list(words), rnd.randrange(0, max(2, n // 40))
+            for i in ([rnd.randrange(n) for _ in range(k)] if rnd.random() < 0.5 else range(k)):  # scattered, or together at the start
+                own[i] = rnd.choice(vocab)
+            text = [rnd.choice(vocab) for _ in range(20)] + own + [rnd.choice(vocab) for _ in range(20)]
+            sims = [decontaminate.weighted_jaccard(decontaminate.shingles_of(text[a : a + n]), index.bags[0]) for a in range(41)]
+            got = index.matches(" ".join(text))
+            assert bool(got) == (max(sims) >= 0.8)
+            if got:
+                seen += 1
+                assert got[0][1] == max(sims) and got[0][2] == sims.index(max(sims))
+    assert seen > 200
+
+
+def test_long_items_and_text_ids(spark, monkeypatch):
+    rnd = random.Random(9)
+    item = " ".join(f"v{rnd.randrange(900)}" for _ in range(3000))
+    monkeypatch.setattr(decontaminate, "WORDS", 101)
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
+    index = decontaminate.BenchmarkIndex([(7, item), (8, "\n".join(item.split()[:40]))])
+    assert index.matches("x y " + item + " z") == [(7, 1.0, 2, 3000), (8, 1.0, 2, 40)]
+    df = spark.createDataFrame([("a", item), (None, item)], "doc_id string, text string")
+    got = decontaminate.find_contamination(df, spark.createDataFrame([(8, item[:200])], "item_id long, text string")).collect()
+    assert [r.doc_id for r in got] == ["a", None]
+
+
 def test_multi_index_finds_all():
     import numpy as np
 
     items = [(i, " ".join(f"v{(i * 7 + j * j) % 90}" for j in range(20))) for i in range(40)]
     index = decontaminate.BenchmarkIndex(items)
     rng = np.random.default_rng(3)
-    prints = index.prints[rng.integers(0, 40, 200)] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 22), replace=False)) for _ in range(200)], np.uint64)
+    prints = index.prints[rng.integers(0, 40, 200)] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 30), replace=False)) for _ in range(200)], np.uint64)
     w, i = index.candidates(prints, 20)
     close = {(a, b) for a in range(200) for b in range(40) if bin(int(prints[a] ^ index.prints[b])).count("1") <= index.radius}
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == close
@@ -145,19 +232,32 @@ def test_language(spark):
     assert all(got[i, x].lang == x and not got[i, x].rejected for i, _, x in rows[:400])
     assert got[900, "aa"].lang == got[901, None].lang == got[902, "bb"].lang == "und" and got[901, None].rejected and got[903, None].rejected
     assert all(0 <= q.score <= 1 for q in got.values())
+    # The nearest centroid, by plain sums.
+    letters = language_id.letter_table()
+    for text in (rows[0][1], rows[7][1], "the und straße über"):
+        counts, n = language_id.ngram_counts(text, letters)
+        best = {}
+        x = [math.log1p(c) * float(w) for c, w in zip(counts, model.idf, strict=True)]
+        norm = math.sqrt(sum(v * v for v in x))
+        for c, who in zip(model.centroids, model.owner, strict=True):
+            cos = sum(v * float(w) for v, w in zip(x, c, strict=True)) / norm
+            best[who] = max(best.get(who, -1), cos)
+        who, cos = model.nearest(counts[None, :])
+        assert model.languages[who[0]] == model.languages[max(best, key=best.get)] and cos[0] == pytest.approx(max(best.values()), abs=1e-4)
+    many = spark.createDataFrame([(None, f"{chr(97 + i % 26) * 3} {chr(97 + i // 26) * 4} text", f"l{i}") for i in range(450)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many).languages) == 450
     assert language_id.train(df.limit(0)) is None
     assert df.limit(3).select(language_id.predict(F.col("text"), None).alias("q")).first().q.lang == "und"
 
 
 def test_long_text_in_chunks(monkeypatch):
-    import numpy as np
-
     letters = language_id.letter_table()
     text = "Ab c, déf! " * 50
     whole = language_id.ngram_counts(text, letters)
-    monkeypatch.setattr(language_id, "_CHUNK", 97)
-    parts = language_id.ngram_counts(text, letters)
-    assert whole[1] == parts[1] and np.abs(whole[0] - parts[0]).sum() <= 0.02 * whole[0].sum()
+    for size in (1, 2, 3, 97):
+        monkeypatch.setattr(language_id, "_CHUNK", size)
+        parts = language_id.ngram_counts(text, letters)
+        assert whole[1] == parts[1] and (whole[0] == parts[0]).all()
 
 
 def test_quality(spark):
@@ -174,5 +274,37 @@ def test_quality(spark):
     assert docs.limit(5).select(quality_pu.score(F.col("text"), flat).alias("s")).first().s == pytest.approx(0.5)
 
 
+def test_risk_and_prior_of_known_densities():
+    """Two normal densities: the learned score is near the true posterior, its risk near the least, and the prior near the true one."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.85):
+        y = rng.random(6000) < prior
+        unlabelled = np.where(y, 1.5, -1.5)[:, None] + rng.standard_normal((6000, 1))
+        positive = 1.5 + rng.standard_normal((6000, 1))
+        assert abs(quality_pu.estimate_prior(positive, unlabelled) - prior) < 0.06
+        model = quality_pu.fit(positive, unlabelled, prior)
+        x = np.linspace(-4, 4, 81)[:, None]
+        log_odds = 3 * x[:, 0] + np.log(prior / (1 - prior))
+        true = 1 / (1 + np.exp(-log_odds))
+        weight = prior * np.exp(-((x[:, 0] - 1.5) ** 2) / 2) + (1 - prior) * np.exp(-((x[:, 0] + 1.5) ** 2) / 2)
+        assert (np.abs(model.score(x) - true) * weight).sum() / weight.sum() < 0.06
+        best = min(quality_pu.risk(a * positive[:, 0] + b, a * unlabelled[:, 0] + b, prior) for a in np.linspace(0, 6, 25) for b in np.linspace(-4, 4, 33))
+        assert quality_pu.risk(model.margin(positive), model.margin(unlabelled), prior) < best + 0.04
+    gp, gu = np.array([0.3, -1.0]), np.array([2.0, -0.5, 0.1])
+    plain = 0.4 * np.mean(np.log(1 + np.exp(-gp))) + np.mean(np.log(1 + np.exp(gu))) - 0.4 * np.mean(np.log(1 + np.exp(gp)))
+    assert quality_pu.risk(gp, gu, 0.4) == pytest.approx(plain)
+    assert quality_pu.risk(np.array([9.0]), np.array([-9.0]), 0.5) == pytest.approx(0.5 * np.log1p(np.exp(-9)))
+
+
+def test_negative_labels_are_not_used(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9 + 1)) for i in range(200)] + [(None, None)], "doc_id long, text string")
+    labels = [(i, 1) for i in range(0, 100, 2)]
+    some, more = (spark.createDataFrame(labels + extra, "doc_id long, quality int") for extra in ([], [(i, 0) for i in range(101, 200, 2)]))
+    a, b = quality_pu.train(docs, some), quality_pu.train(docs, more)
+    assert (a.w1 == b.w1).all() and a.prior == b.prior
+
+
 def test_digest_columns():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
