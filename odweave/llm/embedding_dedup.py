@@ -36,7 +36,7 @@ FILLING, MISS = 2, 0.01
 #: Rounds of NN-descent; nodes audited (a fixed number, not a share); fresh orders of an audit; the recall they must show; tries.
 ROUNDS, AUDITED, FRESH, RECALL, TRIES = 2, 4096, 4, 0.995, 3
 #: Directions and symbols of an order's code. Wider vectors are projected to as many dimensions first.
-DIMENSIONS, SYMBOLS = 64, 4
+DIMENSIONS, SYMBOLS = 64, 3
 #: Similarities in the graph are of half-precision vectors; this is more than they can be off.
 SLACK = 4e-3
 #: Members of a ball that are compared as one matrix; leaders in a block of the exact way.
@@ -60,7 +60,7 @@ def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     most = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     scaled = F.transform(v, lambda x: x / most)
     norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.when(good, scaled).alias("s"), F.when(good, norm).alias("norm"), F.when(good, F.md5(F.concat_ws(",", v.cast("array<string>")))).alias("same"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.when(good, scaled).alias("s"), F.when(good, norm).alias("norm"), F.when(good, F.concat_ws("-", F.xxhash64(v), F.xxhash64(F.lit(_SEED), v))).alias("same"))
     return rows.select("uid", "key", "same", F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
 
 
@@ -74,20 +74,20 @@ def orders_for(n: int, miss: float = MISS) -> int:
     return max(4, math.ceil(math.log(miss) / math.log(1 - one)))
 
 
-def _codes(vectors: DataFrame, orders: int, cols: list[str]) -> DataFrame:
-    """vectors(unit) with codes (by order, the directions that lie nearest, one after the other), dim and half (the vector in half precision)."""
+def _codes(vectors: DataFrame, orders: range, cols: list[str]) -> DataFrame:
+    """vectors(unit) with codes (by order of the range, the directions that lie nearest, one after the other), dim and half (the vector in half precision)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             rows = _matrix(b.column(b.num_columns - 1))
             dims = np.array([len(r) for r in rows])
-            codes = np.zeros((len(dims), orders), np.int64)
+            codes = np.zeros((len(dims), len(orders)), np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = np.stack([rows[i] for i in at]).astype(np.float32)
                 m = min(int(d), DIMENSIONS)
-                for t in range(orders):
+                for k, t in enumerate(orders):
                     if (d, t) not in turns:
                         rng = np.random.default_rng([_SEED, t, int(d)])
                         turns[d, t] = np.concatenate([np.linalg.qr(rng.standard_normal((int(d), m)))[0] for _ in range(SYMBOLS)], axis=1).astype(np.float32)
@@ -96,17 +96,17 @@ def _codes(vectors: DataFrame, orders: int, cols: list[str]) -> DataFrame:
                     sign = np.take_along_axis(y, best[:, :, None], 2)[:, :, 0] > 0
                     symbol = best * 2 + sign
                     for s in range(SYMBOLS):
-                        codes[at, t] = codes[at, t] * (2 * DIMENSIONS) + symbol[:, s]
+                        codes[at, k] = codes[at, k] * (2 * DIMENSIONS) + symbol[:, s]
             half = [np.asarray(r, np.float16).tobytes() for r in rows]
-            code = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, orders), pa.int32()), pa.array(codes.ravel()))
+            code = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, len(orders)), pa.int32()), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(dims, pa.int32()), pa.array(half, pa.binary()), code], [*cols, "dim", "half", "codes"])
 
     kinds = dict(vectors.dtypes)
     return vectors.select(*cols, "unit").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", dim int, half binary, codes array<long>")
 
 
-def _ordered(points: DataFrame, orders: list[int], cols: list[str]) -> DataFrame:
-    """points(bid, dim, codes, and cols) once for each order, range-partitioned and sorted by its code."""
+def _ordered(points: DataFrame, orders: range, cols: list[str]) -> DataFrame:
+    """points(bid, dim, codes, and cols) once for each of the range of their codes, range-partitioned and sorted by it."""
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("codes")[t].alias("code")) for t in orders])).alias("o")
     rows = points.select(each, "dim", "bid", *cols).select("o.t", "dim", "o.code", "bid", *cols)
     return rows.repartitionByRange(parallelism(points.sparkSession), "t", "dim", "code", "bid").sortWithinPartitions("t", "dim", "code", "bid")
@@ -174,7 +174,7 @@ def _merges(balls: DataFrame, half: float, turn: int) -> DataFrame:
         cols = c["bid"][old], c["bid"][new], reach[new, old].astype(float), c["n"][old]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["old", "new", "radius", "n"])
 
-    return _ordered(balls, [turn], ["radius", "n", "unit"]).mapInArrow(_windows(WINDOW, False, "unit", work), "old long, new long, radius double, n long")
+    return _ordered(balls, range(turn, turn + 1), ["radius", "n", "unit"]).mapInArrow(_windows(WINDOW, False, "unit", work), "old long, new long, radius double, n long")
 
 
 def _balls(points: DataFrame, n: int, half: float) -> DataFrame:
@@ -230,9 +230,9 @@ def _limits(link: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cos(np.minimum(np.pi, link + a[:, None] + b[None, :])).astype(np.float32) - np.float32(SLACK)
 
 
-def _from_windows(balls: DataFrame, link: float, size: int, orders: list[int], filling: int) -> DataFrame:
-    """Edges from windows of orders: all links, and from the first `filling` orders also the nearest `size` of a window."""
-    fill = orders[:filling]
+def _from_windows(balls: DataFrame, link: float, size: int, orders: range, filling: int) -> DataFrame:
+    """Edges from windows of the orders of a range of codes: all links, and from the first `filling` also the nearest `size` of a window."""
+    fill = set(orders[:filling])
 
     def work(c: dict[str, np.ndarray], x: np.ndarray) -> pa.RecordBatch | None:
         if len(x) < 2:
@@ -351,7 +351,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "embed-classes")
     n = classes.count()
     orders = orders_for(n, miss)
-    coded = materialize(_codes(classes, orders + FRESH * tries, ["cid"]), "embed-codes")
+    coded = materialize(_codes(classes, range(orders + FRESH), ["cid"]), "embed-codes")
 
     members = materialize(_balls(coded.join(classes.select("cid", "unit"), "cid"), n, half), "embed-members")
     # A leader's members are few enough for one task only by chance, so the leaders' vectors are joined as hot keys are.
@@ -363,15 +363,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     radii = member.groupBy("bid").agg(F.max("angle").alias("radius"), F.sum("mult").alias("weight"), F.count("*").alias("n"))
     balls = materialize(radii.join(coded.withColumnRenamed("cid", "bid"), "bid"), "embed-balls")
 
-    links, audit = _neighbour_graph(balls, link, size, orders, audited, recall, tries)
+    links, audit = _neighbour_graph(balls, classes, link, size, orders, audited, recall, tries)
     out = _settle(rows, classes, member, balls, links, threshold, link, key)
     out.audit = audit
     return out
 
 
-def _neighbour_graph(balls: DataFrame, link: float, size: int, orders: int, audited: int, recall: float, tries: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+def _neighbour_graph(balls: DataFrame, classes: DataFrame, link: float, size: int, orders: int, audited: int, recall: float, tries: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Edges (v, n, sim, lim) that hold the links between balls, and the audits' counts of links checked and known."""
-    lists = materialize(_lists(_from_windows(balls, link, size, list(range(orders)), FILLING), size), "embed-lists")
+    lists = materialize(_lists(_from_windows(balls, link, size, range(orders), FILLING), size), "embed-lists")
     picked = balls.orderBy(F.xxhash64("bid", F.lit(_SEED)), "bid").limit(audited)
     checked = materialize(_against_all(balls, picked, link), "embed-audit")
     audit: list[tuple[int, int]] = []
@@ -380,7 +380,12 @@ def _neighbour_graph(balls: DataFrame, link: float, size: int, orders: int, audi
             after = materialize(_lists(_listed(lists).unionByName(_descend(lists, balls, link, i * ROUNDS + k)), size), "embed-lists")
             forget(lists)
             lists = after
-        fresh = materialize(_from_windows(balls, link, size, list(range(orders + FRESH * i, orders + FRESH * (i + 1))), 0), "embed-fresh")
+        if i == 0:
+            anew, turns = balls, range(orders, orders + FRESH)
+        else:
+            again = balls.select("bid", "radius").join(classes.select(F.col("cid").alias("bid"), "unit"), "bid")
+            anew, turns = materialize(_codes(again, range(orders + FRESH * i, orders + FRESH * (i + 1)), ["bid", "radius"]), "embed-codes"), range(FRESH)
+        fresh = materialize(_from_windows(anew, link, size, turns, 0), "embed-fresh")
         counts = [_known(checked, lists), _known(fresh, lists)]
         audit += counts
         lists = materialize(_lists(_listed(lists).unionByName(checked).unionByName(fresh), size), "embed-lists")
