@@ -54,6 +54,30 @@ def flow_pairs(flows: DataFrame, measure: str = "manhattan", name: str = "d") ->
     return pairs.select(F.col("flow_id_i").alias("i"), F.col("flow_id_j").alias("j"), measures()[measure].alias(name))
 
 
+FLOW = ["ox", "oy", "dx", "dy"]
+
+
+def euclid(columns: list[str]) -> Column:
+    """Euclidean distance over columns suffixed _i and _j."""
+    return F.sqrt(sum(((F.col(f"{c}_i") - F.col(f"{c}_j")) * (F.col(f"{c}_i") - F.col(f"{c}_j")) for c in columns), F.lit(0.0)))
+
+
+def in_reach(queries: DataFrame, points: DataFrame, key: str, columns: list[str], d: Column, reach: float, slack: float) -> DataFrame:
+    """(i, j, d) of rows i of queries and other rows j of points with d <= reach, without making all pairs.
+
+    No column may differ by more than d + slack. Space is cut into cells that wide, and each query meets the
+    cells around its own; so a row's work is the rows near it, however many there are in all.
+    """
+    size = float(reach + slack) or 1.0
+    cells = [F.floor(F.col(c) / size).alias(f"_c{n}") for n, c in enumerate(columns)]
+    left = queries.select(*[F.col(c).alias(f"{c}_i") for c in (key, *columns)], *cells)
+    for n in range(len(columns)):
+        left = left.withColumn(f"_c{n}", F.explode(F.array(*[F.col(f"_c{n}") + o for o in (-1, 0, 1)])))
+    right = points.select(*[F.col(c).alias(f"{c}_j") for c in (key, *columns)], *cells)
+    met = left.join(right, [f"_c{n}" for n in range(len(columns))]).filter(F.col(f"{key}_i") != F.col(f"{key}_j"))
+    return met.select(F.col(f"{key}_i").alias("i"), F.col(f"{key}_j").alias("j"), d.alias("d")).filter(F.col("d") <= reach)
+
+
 def symmetric(pairs: DataFrame) -> DataFrame:
     """(i, j, d) both ways."""
     return pairs.select("i", "j", "d").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
@@ -80,5 +104,4 @@ def geometric_pairs(flows: DataFrame, wrap: bool = False) -> DataFrame:
 def vector_pairs(points: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(i, j, d) Euclidean over columns."""
     pairs = half_pairs(points.select(key, *columns), key)
-    total = sum(((F.col(f"{c}_i") - F.col(f"{c}_j")) * (F.col(f"{c}_i") - F.col(f"{c}_j")) for c in columns), F.lit(0.0))
-    return pairs.select(F.col(f"{key}_i").alias("i"), F.col(f"{key}_j").alias("j"), F.sqrt(total).alias("d"))
+    return pairs.select(F.col(f"{key}_i").alias("i"), F.col(f"{key}_j").alias("j"), euclid(columns).alias("d"))

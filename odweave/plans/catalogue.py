@@ -55,31 +55,31 @@ def distance_histogram(spark, d):  # noqa: ANN001, ANN201
 
 
 def _knn(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    return materialize(knn.nearest(_pairs(spark, d), k), "knn")
+    return knn.nearest_flows(fx.flows(spark, d), k)
 
 
 def _planar(spark: SparkSession, d: str) -> DataFrame:
-    return distance.vector_pairs(fx.table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("flow_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")), "flow_id", ["x", "y"])
+    return fx.table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("flow_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
 @query
 def knn_flows(spark, d):  # noqa: ANN001, ANN201
-    return knn.nearest(_pairs(spark, d), K)
+    return _knn(spark, d)
 
 
 @query
 def knn_flows_double(spark, d):  # noqa: ANN001, ANN201
-    return knn.nearest(_planar(spark, d), K, whole=False)
+    return knn.nearest_vectors(_planar(spark, d), "flow_id", ["x", "y"], K)
 
 
 @query
 def knn_wide(spark, d):  # noqa: ANN001, ANN201
-    return knn.wide(knn.nearest(_pairs(spark, d), 5), fx.flows(spark, d), "flow_id", 5)
+    return knn.wide(_knn(spark, d, 5), fx.flows(spark, d), "flow_id", 5)
 
 
 @query
 def knn_distance_rows(spark, d):  # noqa: ANN001, ANN201
-    return knn.distance_rows(knn.nearest(_pairs(spark, d), 5), 5)
+    return knn.distance_rows(_knn(spark, d, 5), 5)
 
 
 @query
@@ -106,12 +106,12 @@ def core_components(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def snn_clusters(spark, d):  # noqa: ANN001, ANN201
-    return snn.snn_clusters(_pairs(spark, d), fx.flows(spark, d), "flow_id", K, EPS, MINPTS)
+    return snn.snn_from_knn(_knn(spark, d), fx.flows(spark, d), "flow_id", EPS, MINPTS)
 
 
 @query
 def snn_clusters_double(spark, d):  # noqa: ANN001, ANN201
-    return snn.snn_clusters(_planar(spark, d), fx.flows(spark, d), "flow_id", K, EPS, MINPTS, whole=False)
+    return snn.snn_from_knn(knn.nearest_vectors(_planar(spark, d), "flow_id", ["x", "y"], K), fx.flows(spark, d), "flow_id", EPS, MINPTS)
 
 
 @query
@@ -131,7 +131,7 @@ def kdist_graph(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def dbscan_flows(spark, d):  # noqa: ANN001, ANN201
-    return clusterers.dbscan(_pairs(spark, d), fx.flows(spark, d), "flow_id", 700, 7)
+    return clusterers.dbscan_flows(fx.flows(spark, d), 700, 7)
 
 
 @query
@@ -488,7 +488,7 @@ def distance_json_rows(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def knn_export(spark, d):  # noqa: ANN001, ANN201
-    got = sinks.knn_export(knn.nearest(_pairs(spark, d), 5))
+    got = sinks.knn_export(_knn(spark, d, 5))
     return got.select("id", F.array_join("knn_idx", ",").alias("knn_idx"), F.array_join(F.transform("knn_dists", lambda x: x.cast("long").cast("string")), ",").alias("knn_dists"))
 
 
@@ -505,5 +505,5 @@ def synthetic_network_flows(spark, d):  # noqa: ANN001, ANN201, ARG001
 @query
 def synthetic_snn(spark, d):  # noqa: ANN001, ANN201, ARG001
     f = materialize(synth.clustered_flows(spark, 12, 300, seed=5), "synthetic")
-    got = snn.snn_clusters(distance.flow_pairs(f), f, "flow_id", 15, 7, 6)
+    got = snn.snn_from_knn(knn.nearest_flows(f, 15), f, "flow_id", 7, 6)
     return validation.external_indices(got.join(f.select(F.col("flow_id").alias("id"), "cluster_id"), "id"), "cluster_id", "cluster_pred")
