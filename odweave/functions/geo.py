@@ -61,6 +61,56 @@ def inside_convex(x: Column, y: Column, ring: list[Point], boundary: bool) -> Co
     return out
 
 
+def _next(ring: Column, i: Column) -> Column:
+    """The point after place i (from 0) of a ring that may or may not repeat its first point."""
+    return F.get(ring, (i + 1) % F.size(ring))
+
+
+def inside_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point is inside any simple ring (array of points, either direction, convex or not), by counting the sides a ray crosses."""
+    hits = F.transform(ring, lambda a, i: ((a["y"] > y) != (_next(ring, i)["y"] > y)) & (x < (_next(ring, i)["x"] - a["x"]) * (y - a["y"]) / F.nullif(_next(ring, i)["y"] - a["y"], F.lit(0.0)) + a["x"]))
+    return F.size(F.filter(hits, lambda h: F.coalesce(h, F.lit(False)))) % 2 == 1
+
+
+def ring_area(ring: Column) -> Column:
+    """The area of any simple ring."""
+    return F.abs(F.aggregate(F.transform(ring, lambda a, i: a["x"] * _next(ring, i)["y"] - _next(ring, i)["x"] * a["y"]), F.lit(0.0), lambda s, c: s + c)) / 2
+
+
+def start_point(line: Column) -> Column:
+    """First point of a line; null for an empty one."""
+    return F.get(line, F.lit(0))
+
+
+def end_point(line: Column) -> Column:
+    """Last point of a line; null for an empty one."""
+    return F.get(line, F.size(line) - 1)
+
+
+def extent(line: Column) -> Column:
+    """struct(x_min, y_min, x_max, y_max) of a line or ring."""
+    xs, ys = F.transform(line, lambda p: p["x"]), F.transform(line, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.array_max(xs).alias("x_max"), F.array_max(ys).alias("y_max"))
+
+
+def nearest_on_line(x: Column, y: Column, line: Column) -> Column:
+    """struct(dist, along, x, y) of the place on a line of any number of points nearest to a point; of equal places the first."""
+
+    def one(a: Column, i: Column) -> Column:
+        b = F.get(line, i + 1)
+        t = fraction_on(x, y, a["x"], a["y"], b["x"], b["y"])
+        px, py = a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"])
+        return F.struct(distance(x, y, px, py).alias("dist"), (line_length(F.slice(line, F.lit(1), i + 1)) + distance(a["x"], a["y"], px, py)).alias("along"), px.alias("x"), py.alias("y"))
+
+    return F.array_min(F.transform(F.slice(line, F.lit(1), F.size(line) - 1), one))
+
+
+def ellipse(cx: Column, cy: Column, a: Column, b: Column, turn: Column, n: int = 32) -> Column:
+    """Ring of n points of an ellipse with half axes a and b, turned by an angle in radians."""
+    t = F.array(*[F.lit(6.283185307179586 * i / n) for i in range(n)])
+    return F.transform(t, lambda s: F.struct((cx + a * F.cos(s) * F.cos(turn) - b * F.sin(s) * F.sin(turn)).alias("x"), (cy + a * F.cos(s) * F.sin(turn) + b * F.sin(s) * F.cos(turn)).alias("y")))
+
+
 def utm(lat: Column, lng: Column, zone: int = 32) -> tuple[Column, Column]:
     """G1: geographic WGS 84 to UTM (north) easting and northing, by Krueger's series to the fourth order."""
     f = 1 / 298.257223563

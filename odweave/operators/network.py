@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import closest, distance, fraction_on, rounded
-from ..plans.skew import grouped_prefix
+from ..functions.geo import closest, distance, end_point, fraction_on, line_length, rounded, start_point
+from ..plans.skew import grouped_prefix, ordered_index
 from ..plans.storage import forget, materialize
 from .components import connected_components
 
@@ -230,6 +230,20 @@ def snap(points: DataFrame, edges: DataFrame, radius: float = 500.0, extent: flo
     return out
 
 
+def nearest_within(points: DataFrame, edges: DataFrame, reach: float = 1e-7) -> DataFrame:
+    """(id, edge_id) of points within reach of an edge: the nearest, of equal ones the smaller id. Points without one go."""
+    near = snap(points, edges, radius=max(reach, 1.0), extent=max(reach, 1.0))
+    return near.filter(F.col("dist") <= reach).select("id", "edge_id")
+
+
+def collapsed_edges(lines: DataFrame) -> DataFrame:
+    """(id, source, target, m) of lines(id, line) of any number of points. Nodes are the places where lines end, numbered from 1 in the order of (x, y); m is the line's length."""
+    ends = lines.select("id", start_point(F.col("line")).alias("a"), end_point(F.col("line")).alias("b"), line_length(F.col("line")).alias("m")).filter("a IS NOT NULL")
+    places = ordered_index(ends.select(F.explode(F.array("a", "b")).alias("p")).distinct(), [F.col("p.x"), F.col("p.y")], "_i", "collapsed-nodes").select("p", (F.col("_i") + 1).alias("node"))
+    out = ends.join(places.select(F.col("p").alias("a"), F.col("node").alias("source")), "a").join(places.select(F.col("p").alias("b"), F.col("node").alias("target")), "b")
+    return out.select("id", "source", "target", "m")
+
+
 def with_nodes(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Snapped points as (id, edge, s, e, src, tgt): distances to the edge's ends, and its nodes. Points on unknown edges go."""
     e = edges.select(F.col("id").alias("edge"), F.col("source").alias("src"), F.col("target").alias("tgt"))

@@ -73,6 +73,21 @@ def custom_parameters(k: int) -> tuple[int, int]:
     return minpts + 1, minpts
 
 
+def snn_custom(knn: DataFrame, ids: DataFrame, key: str, k: int) -> DataFrame:
+    """M9: snn clusters with the parameters that follow from k."""
+    eps, minpts = custom_parameters(k)
+    return snn_from_knn(knn.filter(F.col("rank") <= k), ids, key, eps, minpts)
+
+
+def similarity(knn: DataFrame) -> DataFrame:
+    """(i, j, similarity) for i < j: how many neighbours two points share, of pairs that share any; the product of the neighbour matrix with itself.
+
+    A point that is a neighbour of many is shared by all pairs of them; the pairs are made by a join on it.
+    """
+    a, b = knn.select(F.col("ref").alias("i"), "nn"), knn.select(F.col("ref").alias("j"), "nn")
+    return a.join(b, "nn").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("similarity"))
+
+
 def jarvis_patrick(knn: DataFrame, ids: DataFrame, key: str, eps: int, minpts: int) -> DataFrame:
     """Shared-neighbour graph (points in each other's lists, each counted as its own neighbour) cut at eps, then density clusters with border points."""
     own = knn.unionByName(ids.select(F.col(key).alias("ref"), F.col(key).alias("nn"), F.lit(0).cast(dict(knn.dtypes)["distance"]).alias("distance"), F.lit(0).alias("rank")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..plans.storage import materialize
 
 HULL = "array<struct<x:double,y:double>>"
 
@@ -34,7 +35,8 @@ def minute_of_day(trips: DataFrame, ts: str) -> DataFrame:
 def hulls(points: DataFrame, cluster: str, batch: int = 4096) -> DataFrame:
     """(cluster, hull, area, cx, cy, n_points) of clusters whose hull has an area.
 
-    Hulls of parts of a cluster are made first, so that a large cluster doesn't meet in one task.
+    Hulls of parts of about `batch` points are made first, so that a large cluster doesn't meet in one task; what
+    the parts leave is few points.
     """
     p = points.select(F.col(cluster).cast("long").alias("cluster"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("cluster IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").distinct()
 
@@ -50,32 +52,69 @@ def hulls(points: DataFrame, cluster: str, batch: int = 4096) -> DataFrame:
         cx, cy = geo.centroid(h)
         return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "hull": [[{"x": x, "y": y} for x, y in h]], "area": [a], "cx": [cx], "cy": [cy], "n_points": [int(pdf["n"].sum())]})
 
-    part = p.withColumn("n", F.lit(1).cast("long")).withColumn("_p", F.pmod(F.xxhash64("x", "y"), F.lit(64)))
+    parts = p.groupBy("cluster").agg(F.ceil(F.count("*") / batch).alias("_n"))
+    part = p.join(parts, "cluster").select("cluster", "x", "y", F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64("x", "y"), F.col("_n")).alias("_p"))
     rings = part.groupBy("cluster", "_p").applyInPandas(ring, "cluster long, x double, y double, n long")
     return rings.groupBy("cluster").applyInPandas(whole, f"cluster long, hull {HULL}, area double, cx double, cy double, n_points long")
 
 
+def _in_cells(rings: DataFrame, ring: str, size: float) -> DataFrame:
+    """rings once for each grid cell (u, v) that its extent meets."""
+    e = geo.extent(F.col(ring))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(e[lo] / size).cast("long"), F.floor(e[hi] / size).cast("long")))
+    return rings.filter(F.size(ring) > 0).withColumn("u", span("x_min", "x_max")).withColumn("v", span("y_min", "y_max"))
+
+
+def _cell_size(rings: DataFrame, ring: str) -> float:
+    """The mean of the extents' longer sides: most rings then meet a few cells."""
+    e = geo.extent(F.col(ring))
+    return float(rings.filter(F.size(ring) > 0).agg(F.avg(F.greatest(e["x_max"] - e["x_min"], e["y_max"] - e["y_min"]))).first()[0] or 1.0) or 1.0
+
+
 def hull_overlaps(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
-    """(i, j, shared, jaccard_distance, mean_overlap) of hulls; with one table i < j. Only hulls whose extents meet are compared; the others share nothing."""
-    def box(df: DataFrame, s: str) -> DataFrame:
-        xs, ys = F.transform("hull", lambda p: p["x"]), F.transform("hull", lambda p: p["y"])
-        ends = [f(v).alias(f"{m}{n}{s}") for n, v in (("x", xs), ("y", ys)) for m, f in (("lo", F.array_min), ("hi", F.array_max))]
-        return df.select(F.col("cluster").alias(s), F.col("hull").alias(f"h{s}"), F.col("area").alias(f"a{s}"), *ends)
+    """(i, j, shared, jaccard_distance, mean_overlap) of hulls whose extents meet; with one table i < j.
 
-    left, right = box(a, "i"), box(a if b is None else b, "j")
-    meet = (F.col("loxi") <= F.col("hixj")) & (F.col("loxj") <= F.col("hixi")) & (F.col("loyi") <= F.col("hiyj")) & (F.col("loyj") <= F.col("hiyi"))
-    order = F.col("i") < F.col("j") if b is None else F.lit(True)
+    Hulls meet in grid cells, so no two are compared that are far apart; pairs that aren't listed share nothing.
+    """
+    size = _cell_size(a, "hull")
+    take = lambda df, s: _in_cells(df.select(F.col("cluster").alias(s), F.col("hull").alias(f"h{s}"), F.col("area").alias(f"a{s}")), f"h{s}", size)
+    left, right = take(a, "i"), take(a if b is None else b, "j")
+    ei, ej = geo.extent(F.col("hi")), geo.extent(F.col("hj"))
+    meet = (ei["x_min"] <= ej["x_max"]) & (ej["x_min"] <= ei["x_max"]) & (ei["y_min"] <= ej["y_max"]) & (ej["y_min"] <= ei["y_max"])
+    # Of the cells that both meet, the pair counts in the first.
+    once = (F.col("u") == F.floor(F.greatest(ei["x_min"], ej["x_min"]) / size)) & (F.col("v") == F.floor(F.greatest(ei["y_min"], ej["y_min"]) / size))
+    pairs = left.join(right, ["u", "v"]).filter(meet & once)
+    if b is None:
+        pairs = pairs.filter("i < j")
 
     @F.pandas_udf("double")
     def shared(hi: pd.Series, hj: pd.Series) -> pd.Series:
         ring = lambda h: [(p["x"], p["y"]) for p in h]
         return pd.Series([geo.convex_overlap(ring(x), ring(y)) for x, y in zip(hi, hj, strict=True)], dtype="float64")
 
-    # Clusters, not points; each row is one hull.
-    pairs = left.join(right, order)
-    s = F.when(meet, shared("hi", "hj")).otherwise(F.lit(0.0))
     union = F.col("ai") + F.col("aj") - F.col("shared")
-    return pairs.withColumn("shared", s).select("i", "j", "shared", (1 - F.col("shared") / F.nullif(union, F.lit(0.0))).alias("jaccard_distance"), ((F.col("shared") / F.col("ai") + F.col("shared") / F.col("aj")) / 2).alias("mean_overlap"))
+    return pairs.withColumn("shared", shared("hi", "hj")).select("i", "j", "shared", (1 - F.col("shared") / F.nullif(union, F.lit(0.0))).alias("jaccard_distance"), ((F.col("shared") / F.col("ai") + F.col("shared") / F.col("aj")) / 2).alias("mean_overlap"))
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, key: str = "id") -> DataFrame:
+    """(key, polygon) of points(key, x, y) inside polygons(polygon, ring): simple rings, convex or not, which meet the points in grid cells."""
+    size = _cell_size(polygons, "ring")
+    p = points.select(key, "x", "y", F.floor(F.col("x") / size).cast("long").alias("u"), F.floor(F.col("y") / size).cast("long").alias("v"))
+    return p.join(_in_cells(polygons.select("polygon", "ring"), "ring", size), ["u", "v"]).filter(geo.inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select(key, "polygon")
+
+
+def availability_in_area(snapshots: DataFrame, area: DataFrame, roads: DataFrame) -> DataFrame:
+    """Q6: (time_stamp, cluster, count): vehicles inside an area, counted by the cluster of their nearest road.
+
+    snapshots(time_stamp, x, y); area(polygon, ring); roads(id, cluster, x1, y1, x2, y2).
+    """
+    from .network import snap
+
+    p = materialize(snapshots.select("time_stamp", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("id", F.monotonically_increasing_id()), "availability-points")
+    kept = p.join(in_polygons(p, area).select("id").distinct(), "id", "left_semi")
+    ends = roads.withColumns({"source": F.lit(0), "target": F.lit(0)})
+    near = snap(kept, ends).select("id", "edge_id").join(roads.select(F.col("id").alias("edge_id"), "cluster"), "edge_id")
+    return kept.select("id", "time_stamp").join(near, "id").groupBy("time_stamp", "cluster").agg(F.count("*").alias("count"))
 
 
 def central_lines(trips: DataFrame, cluster: str) -> DataFrame:
@@ -88,21 +127,46 @@ def central_lines(trips: DataFrame, cluster: str) -> DataFrame:
 
 def matching_clusters(hulls_a: DataFrame, hulls_b: DataFrame, lines_a: DataFrame, lines_b: DataFrame, reach: float = 500.0, top: int = 3) -> DataFrame:
     """(i, j, rank, score): of clusters of b whose centroid is within reach of one of a, the best `top` by overlap plus likeness of direction."""
-    cell = lambda x: F.floor(x / reach).cast("long")
-    a = hulls_a.select(F.col("cluster").alias("i"), F.col("cx").alias("xi"), F.col("cy").alias("yi"), F.explode(F.sequence(cell(F.col("cx")) - 1, cell(F.col("cx")) + 1)).alias("u"), cell(F.col("cy")).alias("_v")).withColumn("v", F.explode(F.sequence(F.col("_v") - 1, F.col("_v") + 1)))
-    b = hulls_b.select(F.col("cluster").alias("j"), F.col("cx").alias("xj"), F.col("cy").alias("yj"), cell(F.col("cx")).alias("u"), cell(F.col("cy")).alias("v"))
-    near = a.join(b, ["u", "v"]).filter(geo.distance(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj")) <= reach).select("i", "j")
-    both = near.join(hull_overlaps(hulls_a, hulls_b), ["i", "j"])
+    a = hulls_a.select(F.col("cluster").alias("i"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    b = hulls_b.select(F.col("cluster").alias("i"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    cells = [F.floor(F.col(c) / reach).cast("long") for c in ("x", "y")]
+    around = a.select(F.col("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.explode(F.sequence(cells[0] - 1, cells[0] + 1)).alias("u"), cells[1].alias("_v")).withColumn("v", F.explode(F.sequence(F.col("_v") - 1, F.col("_v") + 1)))
+    near = around.join(b.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cells[0].alias("u"), cells[1].alias("v")), ["u", "v"])
+    near = near.filter(geo.distance(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj")) <= reach).select("i", "j")
+    # Only hulls that are near another are overlaid.
+    own = lambda h, c: h.join(near.select(F.col(c).alias("cluster")).distinct(), "cluster", "left_semi")
+    shared = hull_overlaps(own(hulls_a, "i"), own(hulls_b, "j")).select("i", "j", "mean_overlap")
+    both = near.join(shared, ["i", "j"], "left").withColumn("mean_overlap", F.coalesce("mean_overlap", F.lit(0.0)))
     both = both.join(lines_a.select(F.col("cluster").cast("long").alias("i"), F.col("angle").alias("p")), "i").join(lines_b.select(F.col("cluster").cast("long").alias("j"), F.col("angle").alias("q")), "j")
     scored = both.withColumn("score", F.col("mean_overlap") + geo.line_angle_similarity(F.col("p"), F.col("q")))
     w = Window.partitionBy("i").orderBy(F.desc("score"), "j")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("i", "j", "rank", "score")
 
 
+def matching_table(matches: DataFrame, sizes_a: DataFrame, sizes_b: DataFrame) -> DataFrame:
+    """A row for each cluster of a: top_1_id to top_3_id, the best score, and how many flows it (count1) and its best match (count2) have; sizes(cluster, n)."""
+    tops = matches.groupBy("i").agg(*[F.max(F.when(F.col("rank") == r, F.col("j"))).alias(f"top_{r}_id") for r in (1, 2, 3)], F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"))
+    one = sizes_a.select(F.col("cluster").cast("long").alias("i"), F.col("n").alias("count1")).join(tops, "i", "left")
+    return one.join(sizes_b.select(F.col("cluster").cast("long").alias("top_1_id"), F.col("n").alias("count2")), "top_1_id", "left").select("i", "top_1_id", "top_2_id", "top_3_id", "score", "count1", "count2")
+
+
+def od_pair_key(origin: str, dest: str) -> Column:
+    """The name of a pair of clusters, the same either way."""
+    return F.concat_ws("_", F.least(origin, dest).cast("string"), F.greatest(origin, dest).cast("string"))
+
+
 def od_pair_ranking(labels: DataFrame, n: int) -> DataFrame:
     """Q3, A3: (pair, n) of the n most frequent pairs of clusters that a flow joins, either way; labels(flow, origin, dest), 0 is noise."""
-    key = F.concat_ws("_", F.least("origin", "dest").cast("string"), F.greatest("origin", "dest").cast("string"))
-    return labels.filter("origin <> 0 AND dest <> 0").groupBy(key.alias("pair")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(n)
+    return labels.filter("origin <> 0 AND dest <> 0").groupBy(od_pair_key("origin", "dest").alias("pair")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(n)
+
+
+def flows_of_top_pairs(points: DataFrame, n: int) -> DataFrame:
+    """Q3: (flow, pair) of flows whose pair of clusters is among the n most frequent; points(flow, type, cluster) has two rows a flow, which are joined to a pair."""
+    side = lambda kind: points.filter(F.col("type") == kind).select("flow", F.col("cluster").alias(kind))
+    labels = materialize(side("origin").join(side("dest"), "flow"), "od-labels")
+    top = od_pair_ranking(labels, n).select("pair")
+    named = labels.filter("origin <> 0 AND dest <> 0").select("flow", od_pair_key("origin", "dest").alias("pair"))
+    return named.join(F.broadcast(top), "pair", "left_semi").select("flow", "pair")  # n rows
 
 
 def lines(origins: DataFrame, dests: DataFrame) -> DataFrame:

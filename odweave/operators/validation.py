@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
@@ -118,6 +118,38 @@ def snn_sweep(knn: DataFrame, truth: DataFrame, key: str, label: str, grid: list
     return out
 
 
+def measure_sweep(knns: dict[str, DataFrame], truth: DataFrame, key: str, label: str, grid: list[tuple[int, int, int]]) -> DataFrame:
+    """snn_sweep() for neighbours by several measures (or embeddings): (dist_measure, k, eps, minpts, ari, n_cluster, n_noise, place), best ARI first within a measure; of equal ones the smaller parameters."""
+    out = None
+    for name, knn in knns.items():
+        rows = snn_sweep(knn, truth, key, label, grid).withColumn("dist_measure", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    w = Window.partitionBy("dist_measure").orderBy(F.desc("ari"), "k", "eps", "minpts")  # as many rows as the grid
+    return out.withColumn("place", F.row_number().over(w)).select("dist_measure", "k", "eps", "minpts", "ari", "n_cluster", "n_noise", "place")
+
+
+def batch_labels(knn: DataFrame, ids: DataFrame, key: str, ks: list[int]) -> DataFrame:
+    """E5: (k, id, cluster_pred) of snn clusters for several k, with the parameters that follow from each. Neighbours are found once, for the largest k."""
+    from .snn import snn_custom
+
+    out = None
+    for k in ks:
+        rows = snn_custom(knn, ids, key, k).select(F.lit(k).alias("k"), "id", "cluster_pred")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def silhouette_curve(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(k, mean_sil, n_cluster) by batch_labels() rows: the mean over clusters of the mean silhouette; noise is left out. k without clusters that can be compared gives no row."""
+    out = None
+    for (k,) in sorted(labels.select("k").distinct().collect()):  # one row for each run
+        own = labels.filter((F.col("k") == k) & (F.col("cluster_pred") > 0)).select("id", F.col("cluster_pred").alias("cluster"))
+        means = silhouette_means(silhouette(pairs, own))
+        row = means.agg(F.avg("mean_sil").alias("mean_sil"), F.count("*").alias("n_cluster")).filter("n_cluster > 0").select(F.lit(k).alias("k"), "mean_sil", "n_cluster")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def density_histogram(pairs: DataFrame, bins: int = 20) -> DataFrame:
     """V9: (bin, n) of distances scaled to [0, 1], each pair once."""
     from .distance import rescaled

@@ -124,12 +124,21 @@ def _variance(part: str) -> str:
     return f"WITH {_TRIPS}, n AS (SELECT cluster, {part} AS part, count(*) AS n FROM trips GROUP BY ALL) SELECT cluster, round(var_samp(n), 9) AS variance FROM n GROUP BY cluster"
 
 
-_SIL = f"""WITH {_pairs()}, b AS (SELECT i, j, d FROM p UNION ALL SELECT j, i, d FROM p), l AS (SELECT flow_id AS id, truth + 1 AS cluster FROM flows),
+_GEOM = f"""{_FLOWS}, {_ENDS}, q AS (SELECT i, j, {_D}::DOUBLE AS f, abs(CASE WHEN ai < 0 THEN ai + 360 ELSE ai END - CASE WHEN aj < 0 THEN aj + 360 ELSE aj END) AS t, abs(li - lj) AS g FROM ends),
+p AS (SELECT i, j, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) + (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) + (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) AS d FROM q)"""
+
+
+def _silhouettes(pairs: str) -> str:
+    """s(id, cluster, sil) of flows by p(i, j, d)."""
+    return f"""WITH {pairs}, b AS (SELECT i, j, d FROM p UNION ALL SELECT j, i, d FROM p), l AS (SELECT flow_id AS id, truth + 1 AS cluster FROM flows),
 m AS (SELECT i, a.cluster AS ci, c.cluster AS cj, avg(d) AS m FROM b JOIN l a ON a.id = i JOIN l c ON c.id = j GROUP BY ALL),
 ab AS (SELECT i, ci, max(m) FILTER (ci = cj) AS a, min(m) FILTER (ci <> cj) AS b FROM m GROUP BY ALL),
 s AS (SELECT i AS id, ci AS cluster, CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS sil FROM ab JOIN (SELECT cluster, count(*) AS n FROM l GROUP BY cluster) z ON z.cluster = ci WHERE b IS NOT NULL)"""
 
 
+_SIL, _SIL_GEOM = _silhouettes(_pairs()), _silhouettes(_GEOM)
+
+
 def _external(table: str) -> str:
     """x: one row of sums from table(a, b)."""
     return f"""t AS (SELECT a, b, count(*)::DOUBLE AS n FROM {table} GROUP BY ALL),
@@ -150,8 +159,7 @@ _RK = ", ".join(f"({k}, {expected_ratio(k)!r}::DOUBLE)" for k in range(1, 20))
 
 ORACLES: dict[str, str] = {f"flow_pairs_{m}": f"WITH {_pairs(sql)} {_sum({'manhattan_exact': 3, 'direction': 4, 'euclid4d_norm': 3}.get(m))}" for m, sql in _MEASURES.items()}
 ORACLES |= {
-    "flow_pairs_geom": f"""WITH {_FLOWS}, {_ENDS}, q AS (SELECT i, j, {_D}::DOUBLE AS f, abs(CASE WHEN ai < 0 THEN ai + 360 ELSE ai END - CASE WHEN aj < 0 THEN aj + 360 ELSE aj END) AS t, abs(li - lj) AS g FROM ends),
-p AS (SELECT i, j, (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) + (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) + (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) AS d FROM q) {_sum(4)}""",
+    "flow_pairs_geom": f"WITH {_GEOM} {_sum(4)}",
     "distance_minmax": f"WITH {_pairs()}, q AS (SELECT i, j, (d - min(d) OVER ())::DOUBLE / (max(d) OVER () - min(d) OVER ()) AS d FROM p) {_sum(4, 'q')}",
     "distance_histogram": f"WITH {_pairs()}, q AS (SELECT (d - min(d) OVER ())::DOUBLE / (max(d) OVER () - min(d) OVER ()) AS d FROM p) SELECT CAST(least(floor(d * 20), 19) AS INT) AS bin, count(*) AS n FROM q GROUP BY ALL",
     "knn_flows": f"WITH {_pairs()}, {_near(K)} SELECT ref, nn, distance, rank::INT AS rank FROM k",

@@ -1,6 +1,7 @@
 """Worked examples and brute-force comparisons of the flow operators."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -174,3 +175,61 @@ def test_pairs_and_windows(spark):
     got = temporal.windows_of_ids(spark.range(0, 11).withColumnRenamed("id", "flow"), "flow", 5)
     assert rows(got.filter("window = 0"), "org_id") == [(i,) for i in range(6)]
     assert rows(got.filter("window = 1"), "org_id", "flow") == [(5 + i, 1 + i) for i in range(6)]
+
+
+def test_nearest_in_cells_is_exact(spark):
+    rnd = random.Random(3)
+    pts = [(i, rnd.choice([0, 0, 1, 2, 50, 5000]) + rnd.random() * rnd.choice([0, 1, 900]), rnd.random() * rnd.choice([0, 1, 900])) for i in range(1, 160)] + [(900, None, 1.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double").withColumn("rank", F.lit("clash"))
+    for k in (1, 4, 200):
+        want = []
+        for i, x, y in pts[:-1]:
+            near = sorted((math.sqrt((x - u) * (x - u) + (y - v) * (y - v)), j) for j, u, v in pts[:-1] if j != i)[:k]
+            want += [(i, r + 1, j) for r, (_, j) in enumerate(near)]
+        assert rows(knn.nearest_vectors(df, "id", ["x", "y"], k), "ref", "rank", "nn") == sorted(want)
+    assert knn.nearest_vectors(df.limit(0), "id", ["x", "y"], 3).count() == 0 and knn.nearest_vectors(df.filter("id = 1"), "id", ["x", "y"], 3).count() == 0
+
+
+def test_reachable_flows_in_cells(spark):
+    rnd = random.Random(8)
+    flows = spark.createDataFrame([(i, *[rnd.randrange(-400, 400) for _ in range(4)]) for i in range(120)], "flow_id long, ox int, oy int, dx int, dy int")
+    d = distance.measures()["manhattan"]
+    got = rows(distance.in_reach(flows, flows, "flow_id", distance.FLOW, d, 300, 1.0), "i", "j", "d")
+    half = distance.flow_pairs(flows).filter("d <= 300")
+    assert got == sorted(rows(half, "i", "j", "d") + rows(half, "j", "i", "d"))
+
+
+def test_hull_overlaps_meet_in_cells(spark):
+    from odweave.functions import geo
+
+    rnd = random.Random(2)
+    pts = []
+    for c in range(40):
+        x, y, r = rnd.random() * 900, rnd.random() * 900, rnd.choice([5, 40, 300])
+        pts += [(c, x + rnd.random() * r, y + rnd.random() * r) for _ in range(12)]
+    hulls = spatial.hulls(spark.createDataFrame(pts, "cluster long, x double, y double"), "cluster", batch=5).cache()
+    ring = {r.cluster: [(p.x, p.y) for p in r.hull] for r in hulls.collect()}
+    for c in range(40):
+        assert sorted(ring[c]) == sorted(geo.convex_hull([(x, y) for k, x, y in pts if k == c]))
+    plan = spatial.hull_overlaps(hulls)
+    got = {(r.i, r.j): r.shared for r in plan.collect()}
+    assert "CartesianProduct" not in plan._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in plan._jdf.queryExecution().toString()
+    for i, j in itertools.combinations(range(40), 2):
+        assert got.get((i, j), 0.0) == pytest.approx(geo.convex_overlap(ring[i], ring[j]), abs=1e-9)
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 4), (2, 1), (0, 4))])
+    r = spark.range(1).select(geo.ring_area(square).alias("a"), geo.inside_ring(F.lit(2.0), F.lit(2.0), square).alias("notch"), geo.inside_ring(F.lit(1.0), F.lit(1.0), square).alias("inside")).first()
+    assert (r.a, r.notch, r.inside) == (10.0, False, True)
+    e = spark.range(1).select(geo.ring_area(geo.ellipse(F.lit(5.0), F.lit(1.0), F.lit(3.0), F.lit(2.0), F.lit(0.4), 256)).alias("a")).first().a
+    assert e == pytest.approx(math.pi * 6, rel=1e-3)
+
+
+def test_matching_table(spark):
+    m = spark.createDataFrame([(1, 5, 1, 0.9), (1, 6, 2, 0.5), (2, 6, 1, 0.1)], "i long, j long, rank int, score double")
+    a, b = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "cluster long, n long"), spark.createDataFrame([(5, 7), (6, 8)], "cluster long, n long")
+    assert rows(spatial.matching_table(m, a, b).fillna(-1), "i", "top_1_id", "top_2_id", "top_3_id", "count1", "count2") == [(1, 5, 6, -1, 10, 7), (2, 6, -1, -1, 20, 8), (3, -1, -1, -1, 30, -1)]
+
+
+def test_silhouette_curve(spark):
+    pairs = pairs_of(spark, [(1, 2, 1), (3, 4, 1), (1, 3, 10), (1, 4, 10), (2, 3, 10), (2, 4, 10)])
+    labels = spark.createDataFrame([(5, i, 1 + (i > 2)) for i in range(1, 5)] + [(6, i, 0) for i in range(1, 5)], "k int, id long, cluster_pred int")
+    assert [(r.k, round(r.mean_sil, 6), r.n_cluster) for r in validation.silhouette_curve(pairs, labels).collect()] == [(5, 0.9, 2)]
