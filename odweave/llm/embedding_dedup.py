@@ -20,9 +20,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..plans.skew import attach
@@ -55,13 +59,28 @@ def _matrix(col: pa.Array) -> list[np.ndarray] | np.ndarray:
 
 def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(uid, key, same, unit): unit is null for vectors that link with nothing; `same` is equal for equal vectors."""
-    v = F.col(vector).cast("array<double>")
-    good = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    most = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    scaled = F.transform(v, lambda x: x / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.when(good, scaled).alias("s"), F.when(good, norm).alias("norm"), F.when(good, F.concat_ws("-", F.xxhash64(v), F.xxhash64(F.lit(_SEED), v))).alias("same"))
-    return rows.select("uid", "key", "same", F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(2)
+            flat = col.flatten().to_numpy(zero_copy_only=False)  # without what null lists hold; null components become NaN
+            dims = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(dims) - dims
+            same, unit = np.full(len(dims), None), np.full(len(dims), None)
+            for d in np.unique(dims[dims > 0]):
+                at = np.flatnonzero(dims == d)
+                x = flat[starts[at][:, None] + np.arange(d)] + 0.0  # -0.0 equals 0.0
+                good = np.isfinite(x).all(1) & (x != 0).any(1)
+                at, x = at[good], x[good]
+                same[at] = [xxhash.xxh3_128_hexdigest(r.tobytes(), _SEED) for r in x]
+                x = x / np.abs(x).max(1, keepdims=True)
+                x /= np.sqrt((x * x).sum(1, keepdims=True))
+                for i, r in zip(at, x, strict=True):
+                    unit[i] = r
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.string()), pa.array(unit, pa.list_(pa.float64()))], ["uid", "key", "same", "unit"])
+
+    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["uid"], rows.schema["key"], T.StructField("same", T.StringType()), T.StructField("unit", T.ArrayType(T.DoubleType()))]))
 
 
 def orders_for(n: int, miss: float = MISS) -> int:
@@ -205,8 +224,12 @@ def _balls(points: DataFrame, n: int, half: float) -> DataFrame:
     return points.select("cid").join(goal.select(F.col("old").alias("cid"), "new"), "cid", "left").select("cid", F.coalesce("new", "cid").alias("bid"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+@F.pandas_udf(T.DoubleType())
+def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Products of vectors that are of one length in each row."""
+    if len({len(x) for x in a}) == 1:
+        return pd.Series(np.einsum("ij,ij->i", np.stack(a), np.stack(b)))
+    return pd.Series([float(x @ y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def _with_angle(pairs: DataFrame, classes: DataFrame, left: str, right: str) -> DataFrame:
