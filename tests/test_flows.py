@@ -233,3 +233,17 @@ def test_silhouette_curve(spark):
     pairs = pairs_of(spark, [(1, 2, 1), (3, 4, 1), (1, 3, 10), (1, 4, 10), (2, 3, 10), (2, 4, 10)])
     labels = spark.createDataFrame([(5, i, 1 + (i > 2)) for i in range(1, 5)] + [(6, i, 0) for i in range(1, 5)], "k int, id long, cluster_pred int")
     assert [(r.k, round(r.mean_sil, 6), r.n_cluster) for r in validation.silhouette_curve(pairs, labels).collect()] == [(5, 0.9, 2)]
+
+
+def test_lof_by_parts(spark, monkeypatch):
+    """However small the parts of a group, and whatever rows have no group, LOF is the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = [(i, None if i == 0 else i % 2, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 9, (40, 2)))]
+    df = spark.createDataFrame(data, "id long, g int, x double, y double")
+    whole = dict(rows(clusterers.lof(df, "id", "g", "x", "y"), "id", "lof"))
+    monkeypatch.setattr(clusterers, "LOF_PART", 3)
+    monkeypatch.setattr(clusterers, "BROADCAST_GROUPS", 0)
+    split = dict(rows(clusterers.lof(df, "id", "g", "x", "y"), "id", "lof"))
+    assert whole[0] == 1.0 and set(whole) == set(split) and all(whole[i] == pytest.approx(split[i]) for i in whole)
