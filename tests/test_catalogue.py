@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from odweave.plans import catalogue, catalogue_more
+from odweave.plans import catalogue, catalogue_hulls, catalogue_more
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.QUERIES | catalogue_more.QUERIES, catalogue.ORACLES | catalogue_more.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | catalogue_more.QUERIES | catalogue_hulls.QUERIES, catalogue.ORACLES | catalogue_more.ORACLES | catalogue_hulls.ORACLES
 #: Each of these runs another query several times over.
 SLOW = {"snn_sweep", "measure_sweep"}
 CORE = ["snn_clusters", "knn_flows", "dbscan_flows", "snap_od_points", "flow_network_distance", "trips_per_date_complete", "rel_availability_profile", "internal_indices", "subset_windows", "dangling_edges", "cluster_stats", "flows_in_clusters", "knn_of_flows", "kdist_graph", "jarvis_patrick_flows", "silhouette_flows"]
@@ -16,10 +16,10 @@ def test_names():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 110 and not set(catalogue.QUERIES) & set(catalogue_more.QUERIES)
 
 
-@pytest.mark.parametrize("name", [*CORE, *sorted(set(catalogue_more.ORACLES) - SLOW)])
+@pytest.mark.parametrize("name", [*CORE, *sorted(set(catalogue_more.ORACLES) - SLOW), *catalogue_hulls.ORACLES])
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "events", "labels"):
+    for t in ("embeddings", "events", "labels", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     rel = con.sql(ORACLES[name])
