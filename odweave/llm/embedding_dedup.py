@@ -249,8 +249,12 @@ def _edges(v: np.ndarray, n: np.ndarray, sim: np.ndarray, lim: np.ndarray) -> pa
 
 
 def _limits(link: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least half-precision similarities at which members of balls of these radii may link."""
-    return np.cos(np.minimum(np.pi, link + a[:, None] + b[None, :])).astype(np.float32) - np.float32(SLACK)
+    """The least half-precision similarities at which members of balls of these radii may link: cos(link + a + b), as a product of two columns by two rows.
+
+    Radii are at most about half of link, so the sums stay below pi.
+    """
+    left = np.stack([np.cos(link + a), -np.sin(link + a)], axis=1).astype(np.float32)
+    return left @ np.stack([np.cos(b), np.sin(b)]).astype(np.float32) - np.float32(SLACK)
 
 
 def _from_windows(balls: DataFrame, link: float, size: int, orders: range, filling: int) -> DataFrame:
