@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, quality_pu, simhash_dedup, warc
+from . import chat_format, decontaminate, embedding_dedup, filter_audit, html_extract, language_id, license_scan, mixing, quality_pu, simhash_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,9 +94,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", (F.col("score") >= quality_pu.CUT).cast("int").alias("predicted"))
 
 
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders, counted by source. Null texts and sources are empty; repeated rows count each; an empty table gives no rows."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_html_extraction, op3_license_scans, op4_embedding_near_dedup, op5_mixing, op6_simhash_near_dedup, op7_warc, op8_decontamination, op9_language_id, op10_quality)
+    for f in (op1_chat_formatting, op2_html_extraction, op3_license_scans, op4_embedding_near_dedup, op5_mixing, op6_simhash_near_dedup, op7_warc, op8_decontamination, op9_language_id, op10_quality, op13_filter_audit)
 }
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(?:s>|(?:INST|IMG|AUD|DOC)\]))', '\1\\~\2', 'g')"
@@ -124,4 +130,5 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op8_decontamination": decontaminate.oracle(),
+    "op13_filter_audit": filter_audit.oracle(),
 }
