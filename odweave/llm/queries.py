@@ -5,10 +5,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, filter_audit, html_extract, language_id, license_scan, mixing, quality_pu, simhash_dedup, warc
+from . import chat_format, decontaminate, embedding_dedup, filter_audit, html_extract, language_id, license_scan, mixing, packing, quality_pu, simhash_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +96,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens, a row for each piece. Null and empty texts are the id 0 alone; a null source is one of its own; repeated rows are packed each."""
+    done = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents in all 120 orders, counted by source. Null texts and sources are empty; repeated rows count each; an empty table gives no rows."""
     return filter_audit.audit(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -102,7 +109,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_html_extraction, op3_license_scans, op4_embedding_near_dedup, op5_mixing, op6_simhash_near_dedup, op7_warc, op8_decontamination, op9_language_id, op10_quality, op13_filter_audit)
+    for f in (op1_chat_formatting, op2_html_extraction, op3_license_scans, op4_embedding_near_dedup, op5_mixing, op6_simhash_near_dedup, op7_warc, op8_decontamination, op9_language_id, op10_quality, op12_packing, op13_filter_audit)
 }
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(?:s>|(?:INST|IMG|AUD|DOC)\]))', '\1\\~\2', 'g')"
