@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, filter_audit, html_extract, language_id, license_scan, mixing, packing, quality_pu, simhash_dedup, warc
+from . import align, chat_format, decontaminate, embedding_dedup, filter_audit, html_extract, language_id, license_scan, mixing, packing, quality_pu, simhash_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document. Null and empty texts, and those that pieces can't give back, have zeros and an empty digest; repeated rows are documents of their own."""
+    vocabulary, model = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    done = align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, model)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens, a row for each piece. Null and empty texts are the id 0 alone; a null source is one of its own; repeated rows are packed each."""
     done = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -109,7 +117,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_html_extraction, op3_license_scans, op4_embedding_near_dedup, op5_mixing, op6_simhash_near_dedup, op7_warc, op8_decontamination, op9_language_id, op10_quality, op12_packing, op13_filter_audit)
+    for f in (op1_chat_formatting, op2_html_extraction, op3_license_scans, op4_embedding_near_dedup, op5_mixing, op6_simhash_near_dedup, op7_warc, op8_decontamination, op9_language_id, op10_quality, op11_token_alignment, op12_packing, op13_filter_audit)
 }
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(/?(?:s>|(?:INST|IMG|AUD|DOC)\]))', '\1\\~\2', 'g')"

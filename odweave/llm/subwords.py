@@ -18,7 +18,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words that a worker remembers, and the longest of them in code points.
-WORDS, LONGEST = 800_000, 40
+WORDS, LONGEST = 250_000, 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,36 +51,53 @@ class _Words(dict):
         return found
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(path: str, plain_special: bool = False) -> Callable[[str], bytes]:
-    """Text -> its ids as little-endian unsigned 32-bit numbers. plain_special: strings of special tokens are ordinary text."""
-    import tiktoken
+def _direct(path: str, plain_special: bool) -> tuple[Callable[[str], bytes], list]:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = plain_special
-    added = whole.get_added_tokens_decoder()
+    added = list(whole.get_added_tokens_decoder().values())
+    return (lambda text: np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()), added
 
-    def direct(text: str) -> bytes:
-        return np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+@functools.lru_cache(maxsize=4)
+def ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes -> id of a byte-level vocabulary whose merges are in the order of their ids and which texts reach unchanged; None for other files."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, known = spec["model"], token_bytes(path)
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     own = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
     ordered = [model["vocab"].get(a + b) for a, b in pairs] == list(range(256, 256 + len(pairs))) and all(len(known[i]) == 1 for i in range(256))
-    if spec["normalizer"] or {k: spec["pre_tokenizer"].get(k) for k in own} != own or not ordered or any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added.values()):
-        return direct
+    if spec["normalizer"] or {k: spec["pre_tokenizer"].get(k) for k in own} != own or not ordered:
+        return None
+    return {known[i]: i for i in range(256 + len(pairs))}
+
+
+@functools.lru_cache(maxsize=4)
+def raw_encoder(path: str) -> Callable[[str], bytes]:
+    """Text -> its ids as little-endian unsigned 32-bit numbers; strings of special tokens are ordinary text."""
+    import tiktoken
 
+    found = ranks(path)
+    if found is None:
+        return _direct(path, True)[0]
     #: The pattern of byte-level BPE files.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    ranks = {known[i]: i for i in range(256 + len(pairs))}
-    fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    special = [] if plain_special else [t.content for t in added.values()]
-    little = sys.byteorder == "little" and array.array("I").itemsize == 4
-    to_bytes = lambda text: (array.array("I", fast.encode_ordinary(text)) if little else np.asarray(fast.encode_ordinary(text), "<u4")).tobytes()
-    heads, tails = _Words(to_bytes), _Words(lambda w: to_bytes(" " + w))
+    fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=found, special_tokens={})
+    if sys.byteorder == "little" and array.array("I").itemsize == 4:
+        return lambda text: array.array("I", fast.encode_ordinary(text)).tobytes()
+    return lambda text: np.asarray(fast.encode_ordinary(text), "<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str, plain_special: bool = False) -> Callable[[str], bytes]:
+    """Text -> its ids as little-endian unsigned 32-bit numbers. plain_special: strings of special tokens are ordinary text."""
+    direct, added = _direct(path, plain_special)
+    if ranks(path) is None or any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added):
+        return direct
+    raw, special = raw_encoder(path), [] if plain_special else [t.content for t in added]
+    heads, tails = _Words(raw), _Words(lambda w: raw(" " + w))
 
     def by_words(text: str) -> bytes:
         if any(s in text for s in special):

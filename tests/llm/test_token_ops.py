@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from odweave.llm import filter_audit, packing, subwords
+from odweave.llm import align, filter_audit, packing, subwords
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, source string, text string, n long, ids string, window int"
@@ -26,6 +26,54 @@ def test_word_wise_ids(plain):
         assert np.asarray(found.ids, "<u4").tobytes() == ids(text), repr(text)
 
 
+def _aligned(rows):
+    """By definition, on whole texts: per row n_a, n_b, n_groups, n_links, n_best, count_sum, groups."""
+    whole, (sp, piece) = Tokenizer.from_file(BYTES), align.piece_bytes(PIECES)
+    whole.encode_special_tokens = True
+    known, found = subwords.token_bytes(BYTES), []
+    for _, text in rows:
+        a, b = (whole.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)) if text else ([], [])
+        x, y = [known[i] for i in a], [piece[i] for i in b]
+        if not b"".join(x) == b"".join(y) == (" " + text).encode() if text else True:
+            found.append([])
+            continue
+        ends = lambda parts: list(itertools.accumulate(len(p) for p in parts))
+        ea, eb, groups, at = ends(x), ends(y), [], (0, 0)
+        for e in sorted(set(ea) & set(eb)):
+            to = (ea.index(e) + 1, eb.index(e) + 1)
+            groups.append((a[at[0] : to[0]], b[at[1] : to[1]]))
+            at = to
+        found.append(groups)
+    links = [collections.Counter((i, j) for g in groups for i, j in itertools.product(*g)) for groups in found]
+    count = collections.Counter(p for held in links for p in held)
+    most = {}
+    for (i, _), n in count.items():
+        most[i] = max(most.get(i, 0), n)
+    out = []
+    for (doc, _), groups, held in zip(rows, found, links, strict=True):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        out.append((doc, sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), held.total(), sum(n for p, n in held.items() if count[p] == most[p[0]]), sum(n * count[p] for p, n in held.items()), text))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 24, 300])
+def test_alignment_by_definition(spark, chunk):
+    rnd = random.Random(5)
+    bits = ["the ", "house", " ", "  ", "\n", " \n", "'s", "é", "12", "!! ", "<|endoftext|>", "<s>", "\u2581", "日本 ", "\u3000", "x'll ", "\x1c", "\U0001f600", "\x00", "\u0301", "\ufb01", "\u00a0", "\t", "<0x41>"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(16))) for _ in range(150)] + [r[2] for r in _corpus(60)] + ["the house of the house", " ", "  ", "a", "same", "same"]
+    rows = list(enumerate(texts)) + [(None, "no id"), (3, "same id"), (-1, None)]
+    got = align.align(spark.createDataFrame([(d, "s", t, 1, "clash", 2) for d, t in rows], DOCS).repartition(3), BYTES, PIECES, chunk).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[7], r[1:7])
+    assert sorted(map(tuple, got), key=key) == sorted(_aligned(rows), key=key)
+
+
+def test_alignment_edges(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert align.align(empty, BYTES, PIECES).count() == 0
+    none = align.align(spark.createDataFrame([(1, None, None, 0, "", 0), (2, None, "\u2581", 0, "", 0)], DOCS), BYTES, PIECES).collect()
+    assert sorted(map(tuple, none)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
 def _corpus(n, seed=1):
     rnd = random.Random(seed)
     words = ["".join(rnd.choice("abcdeèñß") for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
