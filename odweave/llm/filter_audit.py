@@ -52,12 +52,14 @@ def _salted_join(rows: DataFrame, classes: DataFrame, key: str, how: str) -> Dat
     spread = spread.withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_hk", "_parts")
     many = (F.col("_n") * HOT_KEYS > total) & (F.col("_n") > ROWS_PER_SALT)
     wide = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(many, parts - 1).otherwise(0)))).drop("_n")
-    return spread.join(wide, [key, "_salt"], how).drop("_salt")
+    return spread.join(wide.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
     """_uid of the rows whose _text stands under a smaller _id too. rows(_uid, _id, _text) has no null texts.
 
+    Joins are merged at every size: left to itself, Spark broadcasts on small tables what it shuffles on large ones.
+
     A null id is never the smaller one, and is after all others; rows that repeat an id are not after each other.
     """
     text = F.col("_text")
@@ -72,8 +74,8 @@ def later_copies(rows: DataFrame) -> DataFrame:
         forget(before)
     # What is left agrees in length and in all hashes; texts decide. A class of several texts (a collision) is gone through once for each.
     open_rows, found = left.select("_uid", "_id", "_class"), None
-    texts = rows.select("_uid", "_text").join(open_rows.select("_uid"), "_uid", "left_semi")
-    open_rows = materialize(open_rows.join(texts, "_uid"), "audit-texts")
+    texts = rows.select("_uid", "_text").join(open_rows.hint("merge"), "_uid")
+    open_rows = materialize(texts, "audit-texts")
     while True:
         first = open_rows.groupBy("_class").agg(F.count("*").alias("_n"), F.min_by(F.struct(F.col("_id").alias("_first"), F.col("_text").alias("_seen")), F.struct(F.col("_id").isNull(), "_id")).alias("_f"))
         first = materialize(first.select("_class", "_n", "_f.*"), "audit-first")
@@ -92,7 +94,7 @@ def masks(docs: DataFrame) -> DataFrame:
     own = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("_text"))
     rows = materialize(own.withColumn("_mask", failures(F.col("_text"))), "audit-rows")
     copies = later_copies(rows.select("_uid", "_id", "_text")).withColumn("_copy", F.lit(16))
-    return rows.drop("_text").join(copies, "_uid", "left").select("_uid", F.col("_id").alias("doc_id"), "part", (F.col("_mask") + F.coalesce("_copy", F.lit(0))).alias("mask"))
+    return rows.drop("_text").join(copies.hint("merge"), "_uid", "left").select("_uid", F.col("_id").alias("doc_id"), "part", (F.col("_mask") + F.coalesce("_copy", F.lit(0))).alias("mask"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, letters: str = LETTERS) -> DataFrame:
