@@ -9,8 +9,10 @@ and partitions alike. Windows follow each other in one stream, which sequences c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,18 +26,25 @@ LENGTH, END = 1024, 0
 #: Windows, and leading hexadecimal digits of a document's hash, in one chunk of a running sum.
 CHUNK, HASH_DIGITS = 65_536, 2
 _IDS = "_uid long, doc_id long, source string, _h string, n long, ids binary"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+
+
+def width(vocabulary: str) -> int:
+    """Bytes by which ids are stored: two where all of them fit, else four."""
+    return 2 if max(subwords.token_bytes(vocabulary)) < 1 << 16 else 4
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
-    """docs(doc_id, source, text) as _uid, doc_id, source, _h, n, ids: whole texts encoded, then `end`; ids are little-endian unsigned 32-bit numbers. Null texts are empty."""
+    """docs(doc_id, source, text) as _uid, doc_id, source, _h, n, ids: whole texts encoded, then `end`; ids are little-endian numbers of width() bytes. Null texts are empty."""
     own = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col("doc_id").cast("long"), F.col("source").cast("string"), F.md5(F.concat_ws("\x1f", F.lit("pack"), F.col("doc_id").cast("string"), F.col("text"))).alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, last = subwords.encoder(vocabulary), end.to_bytes(4, "little")
+        ids, last, size = subwords.encoder(vocabulary), end.to_bytes(4, "little"), width(vocabulary)
+        narrow = (lambda x: np.frombuffer(x, "<u4").astype("<u2").tobytes()) if size == 2 else bytes
         for batch in batches:
             *kept, texts = batch.columns
-            found = [ids(t.as_py()) + last for t in texts]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary())], names=["_uid", "doc_id", "source", "_h", "n", "ids"])
+            found = [narrow(ids(t.as_py()) + last) for t in texts]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(f) // size for f in found], pa.int64()), pa.array(found, pa.binary())], names=["_uid", "doc_id", "source", "_h", "n", "ids"])
 
     path, spark = scratch_path(docs.sparkSession, "pack-ids"), docs.sparkSession
     own.mapInArrow(encode, _IDS).write.option("compression", "zstd").parquet(path)
@@ -74,8 +83,8 @@ def _tail(total: int, length: int) -> list[int]:
     return starts
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END) -> DataFrame:
-    """Pieces of all documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids.
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END, with_ids: bool = True) -> DataFrame:
+    """Pieces of all documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and (with_ids) ids: little-endian unsigned 32-bit numbers.
 
     docs(doc_id, source, text). Null and empty texts hold the ending id alone; a null source is a queue of its own,
     last in order. Repeated rows are packed each; those alike in doc_id and text follow each other. An empty table
@@ -114,7 +123,27 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
 
     # A document's pieces meet its ids in one row, so ids are shuffled once and no piece carries more than its own.
     of_doc = pieces.groupBy("_uid").agg(F.collect_list("_piece").alias("_pieces"))
-    own = lambda x: F.substring(F.col("ids"), (4 * x["start"] + 1).cast("int"), (4 * x["length"]).cast("int"))
-    read = tokens.drop("_h").join(of_doc, "_uid").select("doc_id", "source", "n", F.explode(F.transform("_pieces", lambda x: F.struct(x.alias("p"), own(x).alias("ids")))).alias("_x"))
-    x = F.col("_x.p")
-    return read.select("doc_id", x["start"].alias("start"), x["length"].alias("length"), F.crc32("_x.ids").alias("ids_crc32"), F.col("n").alias("doc_tokens"), x["sequence_id"].alias("sequence_id"), x["offset"].alias("offset"), "source", F.col("_x.ids").alias("ids"))
+    met = tokens.drop("_h").join(of_doc.hint("merge"), "_uid").select("doc_id", "source", "n", "ids", "_pieces")
+    return met.mapInArrow(_cutter(width(vocabulary), with_ids), _PIECES + (", ids binary" if with_ids else ""))
+
+
+def _cutter(size: int, with_ids: bool):  # noqa: ANN202
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, source, n, ids, lists = batch.columns
+            count, pieces = np.diff(np.asarray(lists.offsets)), lists.flatten()
+            start, length, sequence, offset = (pieces.field(i).to_numpy() for i in range(4))
+            row, sums, own = np.repeat(np.arange(len(count)), count), np.empty(len(start), np.int64), []
+            at = 0
+            for k, held in zip(count.tolist(), ids, strict=True):
+                whole = memoryview(np.frombuffer(held.as_buffer(), f"<u{size}").astype("<u4").tobytes())
+                for i in range(at, at + k):
+                    part = whole[4 * start[i] : 4 * (start[i] + length[i])]
+                    sums[i] = zlib.crc32(part)
+                    if with_ids:
+                        own.append(bytes(part))
+                at += k
+            columns = [doc.take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sums), n.take(pa.array(row)), pa.array(sequence), pa.array(offset), source.take(pa.array(row)), *([pa.array(own, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECES.split(", ")] + ["ids"] * with_ids)
+
+    return cut

@@ -106,7 +106,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens, a row for each piece. Null and empty texts are the id 0 alone; a null source is one of its own; repeated rows are packed each."""
-    done = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    done = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 

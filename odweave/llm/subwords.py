@@ -51,13 +51,18 @@ class _Words(dict):
         return found
 
 
-def _direct(path: str, plain_special: bool) -> tuple[Callable[[str], bytes], list]:
+@functools.lru_cache(maxsize=4)
+def _whole(path: str, plain_special: bool) -> object:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = plain_special
-    added = list(whole.get_added_tokens_decoder().values())
-    return (lambda text: np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()), added
+    return whole
+
+
+def _direct(path: str, plain_special: bool) -> Callable[[str], bytes]:
+    """Through the tokenizers library, which is loaded when a text needs it."""
+    return lambda text: np.asarray(_whole(path, plain_special).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=4)
@@ -81,7 +86,7 @@ def raw_encoder(path: str) -> Callable[[str], bytes]:
 
     found = ranks(path)
     if found is None:
-        return _direct(path, True)[0]
+        return _direct(path, True)
     #: The pattern of byte-level BPE files.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=found, special_tokens={})
@@ -93,10 +98,12 @@ def raw_encoder(path: str) -> Callable[[str], bytes]:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, plain_special: bool = False) -> Callable[[str], bytes]:
     """Text -> its ids as little-endian unsigned 32-bit numbers. plain_special: strings of special tokens are ordinary text."""
-    direct, added = _direct(path, plain_special)
-    if ranks(path) is None or any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added):
+    direct = _direct(path, plain_special)
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if ranks(path) is None or any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
         return direct
-    raw, special = raw_encoder(path), [] if plain_special else [t.content for t in added]
+    raw, special = raw_encoder(path), [] if plain_special else [t["content"] for t in added]
     heads, tails = _Words(raw), _Words(lambda w: raw(" " + w))
 
     def by_words(text: str) -> bytes:
