@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
@@ -35,15 +35,8 @@ def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:
     return labels.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
 
 
-def external_indices(labels: DataFrame, truth: str, pred: str) -> DataFrame:
-    """V3-V5: one row of indices from the contingency table of two labellings. ARI is 1 where both are trivial."""
-    t = contingency(labels, truth, pred)
-    rows, cols = t.groupBy(truth).agg(F.sum("n").alias("n"), F.max("n").alias("top")), t.groupBy(pred).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    xlogx = lambda c: F.sum(c * F.log(c))
-    cell = t.agg(F.sum("n").alias("total"), F.sum(_pairs_of(F.col("n"))).alias("tp"), xlogx(F.col("n")).alias("hc"))
-    row = rows.agg(F.sum(_pairs_of(F.col("n"))).alias("pr"), xlogx(F.col("n")).alias("hr"))
-    col = cols.agg(F.sum(_pairs_of(F.col("n"))).alias("pc"), xlogx(F.col("n")).alias("hp"), F.sum("top").alias("top"))
-    one = cell.crossJoin(row).crossJoin(col)  # single rows
+def index_columns() -> list[Column]:
+    """The indices by total, tp, hc, pr, hr, pc, hp and top: sums over cells, rows and columns of a contingency table."""
     c = F.col
     allp = _pairs_of(c("total"))
     fp, fn = c("pc") - c("tp"), c("pr") - c("tp")
@@ -53,12 +46,23 @@ def external_indices(labels: DataFrame, truth: str, pred: str) -> DataFrame:
     h_t, h_p, h_tp = h(c("hr")), h(c("hp")), h(c("hc"))
     mutual = h_t + h_p - h_tp
     safe = lambda a, b: a / F.nullif(b, F.lit(0.0))
-    return one.select(
+    return [
         safe(c("tp") + tn, allp).alias("rand"), F.coalesce(safe(c("tp") - expected, most - expected), F.lit(1.0)).alias("ari"), safe(c("tp"), c("tp") + fp + fn).alias("jaccard"),
         safe(c("tp"), F.sqrt(c("pr") * c("pc"))).alias("fowlkes_mallows"), (2 * (fp + fn)).alias("mirkin"), safe(c("top"), c("total")).alias("purity"),
         safe(h_tp - h_p, h_t).alias("entropy"), safe(mutual, F.sqrt(h_t * h_p)).alias("nmi"), safe(2 * h_tp - h_t - h_p, h_tp).alias("nvi"),
         safe(allp * c("tp") - c("pr") * c("pc"), F.sqrt(c("pr") * c("pc") * (allp - c("pr")) * (allp - c("pc")))).alias("hubert"),
-    )
+    ]
+
+
+def external_indices(labels: DataFrame, truth: str, pred: str) -> DataFrame:
+    """V3-V5: one row of indices from the contingency table of two labellings. ARI is 1 where both are trivial."""
+    t = contingency(labels, truth, pred)
+    rows, cols = t.groupBy(truth).agg(F.sum("n").alias("n"), F.max("n").alias("top")), t.groupBy(pred).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    xlogx = lambda c: F.sum(c * F.log(c))
+    cell = t.agg(F.sum("n").alias("total"), F.sum(_pairs_of(F.col("n"))).alias("tp"), xlogx(F.col("n")).alias("hc"))
+    row = rows.agg(F.sum(_pairs_of(F.col("n"))).alias("pr"), xlogx(F.col("n")).alias("hr"))
+    col = cols.agg(F.sum(_pairs_of(F.col("n"))).alias("pc"), xlogx(F.col("n")).alias("hp"), F.sum("top").alias("top"))
+    return cell.crossJoin(row).crossJoin(col).select(*index_columns())  # single rows
 
 
 def adjusted_rand(labels: DataFrame, truth: str, pred: str) -> DataFrame:

@@ -270,17 +270,6 @@ def batch_labels(spark, d):  # noqa: ANN001, ANN201
     return validation.batch_labels(materialize(_knn(spark, d, 12), "batch-knn"), fx.flows(spark, d), "flow_id", [8, 12])
 
 
-_CHEBYSHEV = o._MEASURES["chebyshev"]
-
-
-@query(f"""WITH s AS ({" UNION ALL ".join(f"SELECT '{m}' AS dist_measure, * FROM ({o._sweep_row(*g).replace(o._D, sql)})" for m, sql in (("manhattan", o._D), ("chebyshev", _CHEBYSHEV)) for g in SWEEP[:2])})
-SELECT *, row_number() OVER (PARTITION BY dist_measure ORDER BY ari DESC, k, eps, minpts)::INT AS place FROM s""")
-def measure_sweep(spark, d):  # noqa: ANN001, ANN201
-    f = fx.flows(spark, d)
-    knns = {m: materialize(knn.nearest_flows(f, K, m), "sweep-knn") for m in ("manhattan", "chebyshev")}
-    return validation.measure_sweep(knns, f, "flow_id", "truth", SWEEP[:2]).withColumn("ari", F.round("ari", 9)).withColumn("place", F.col("place").cast("int"))
-
-
 @query(o._SIL_GEOM + " SELECT id, cluster, round(sil, 7) AS sil FROM s")
 def silhouette_geom(spark, d):  # noqa: ANN001, ANN201
     return validation.silhouette(distance.geometric_pairs(fx.flows(spark, d)), _truth(spark, d)).withColumn("sil", F.round("sil", 7))
