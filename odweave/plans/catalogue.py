@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.calendar import week_iso, week_simple, weekday_monday
-from ..operators import clusterers, distance, explore, knn, network, snn, spatial, synth, temporal, validation, validity
+from ..operators import clusterers, distance, explore, knn, network, network_knn, snn, spatial, sweeps, synth, temporal, validation, validity
 from ..operators.components import connected_components
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
@@ -248,8 +248,8 @@ def parameter_grid(spark, d):  # noqa: ANN001, ANN201, ARG001
 
 @query
 def snn_sweep(spark, d):  # noqa: ANN001, ANN201
-    got = validation.snn_sweep(_knn(spark, d), fx.flows(spark, d), "flow_id", "truth", SWEEP)
-    return got.withColumn("ari", F.round("ari", 9))
+    got = sweeps.Sweep({"manhattan": _knn(spark, d)}, fx.flows(spark, d), "flow_id", SWEEP).indices(fx.flows(spark, d), "truth")
+    return got.select("k", "eps", "minpts", F.round("ari", 9).alias("ari"), "n_cluster", "n_noise")
 
 
 @query
@@ -320,7 +320,16 @@ def flow_network_distance_coalesced(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def snn_clusters_network(spark, d):  # noqa: ANN001, ANN201
-    return snn.snn_clusters(_flow_network(spark, d), fx.flows(spark, d), "flow_id", K, 3, 2)
+    return snn.snn_from_knn(materialize(_knn_network(spark, d, K), "snn-knn"), fx.flows(spark, d), "flow_id", 3, 2)
+
+
+def _knn_network(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return network_knn.nearest_flows_on_network(_on_network(spark, d, "origin"), _on_network(spark, d, "dest"), fx.grid_edges(spark), k, CUTOFF)
+
+
+@query
+def knn_flows_network(spark, d):  # noqa: ANN001, ANN201
+    return _knn_network(spark, d, K)
 
 
 @query

@@ -233,6 +233,7 @@ SELECT distance_measure, clustering_type, min_cluster_size, round(avg((e * 3 % 1
     "flow_network_distance": f"WITH {_FLOW_NET} SELECT i, j, no.d + ne.d AS d FROM no JOIN ne USING (i, j)",
     "flow_network_distance_squared": f"WITH {_FLOW_NET} SELECT i, j, no.d::BIGINT * no.d + ne.d::BIGINT * ne.d AS d FROM no JOIN ne USING (i, j)",
     "flow_network_distance_coalesced": f"WITH {_FLOW_NET}, pq AS (SELECT a.flow_id AS i, b.flow_id AS j FROM flows a JOIN flows b ON a.flow_id < b.flow_id), p AS (SELECT i, j, coalesce(no.d, 0) + coalesce(ne.d, 0) AS d FROM pq LEFT JOIN no USING (i, j) LEFT JOIN ne USING (i, j)) {_sum()}",
+    "knn_flows_network": f"WITH {_FLOW_NET}, p AS (SELECT i, j, no.d + ne.d AS d FROM no JOIN ne USING (i, j)), {_near(K)} SELECT ref, nn, distance, rank::INT AS rank FROM k",
     "snn_clusters_network": f"{_snn(_FLOW_NET + ', p AS (SELECT i, j, no.d + ne.d AS d FROM no JOIN ne USING (i, j))', _near(K), 3, 2)} SELECT id, cluster_pred FROM cl",
     "sampled_network_points": f"WITH {_GRID}, sp AS (SELECT id, x1, y1, x2, y2, unnest(range(5)) AS place FROM ge) SELECT row_number() OVER (ORDER BY id, place) AS id, id AS edge_id, round(x1 + place / 4 * (x2 - x1), 6) AS x, round(y1 + place / 4 * (y2 - y1), 6) AS y, round(place / 4 * 1000, 6) AS dist_to_start, round((1 - place / 4) * 1000, 6) AS dist_to_end FROM sp",
     "edge_clusters": f"""WITH {_FLOWS}, {_GRID}, {_ND}, {_POINTS}, {_snap('fq')}, og AS (SELECT fq.flow_id AS id, sn.* EXCLUDE (id) FROM sn JOIN fq USING (id) WHERE type = 'origin'),
