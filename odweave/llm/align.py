@@ -18,14 +18,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import forget, materialize, parallelism
+from ..plans.storage import forget, parallelism, scratch_path
 from . import subwords
 
 #: Bytes of text in one chunk (or one text).
-CHUNK = 16 << 20
+CHUNK = 32 << 20
+#: Words of documents whose pairs are gone through at a time.
+SLICE = 1 << 20
 #: A lone space between characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The piece model writes spaces so; a text that holds the mark itself can't come back from its pieces.
@@ -67,7 +69,7 @@ def chunks_of(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         if ids:
             yield done()
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(chunk, _CHUNKS), "align-chunks")
+    return _keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(chunk, _CHUNKS), "align-chunks")
 
 
 @functools.lru_cache(maxsize=2)
@@ -101,68 +103,110 @@ def encode_words(words: DataFrame, vocabulary: str, model: str) -> DataFrame:
     return words.mapInArrow(encode, _WORDS)
 
 
-def align_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, links) of texts(tid, a, a_len, b, b_len): groups(tid, group, a_ids, b_ids) in order, and links(tid, group, pair), a row for each pair of token occurrences of one group.
+def align_texts(texts: DataFrame) -> DataFrame:
+    """(tid, group, a_ids, b_ids): the groups of texts(tid, a, a_len, b, b_len), numbered from 0 in their order. Texts without tokens have none.
 
-    tid names a text; a pair is a's id times 2^32 plus b's id. Texts without tokens have neither.
+    Tokens of both sides come out of one row, so texts are dealt by tid once and stay there: the equi-join on
+    text and end is a grouping of both sides' ends, and ends that only one side has fall away.
     """
-    def ends(ids: str, sizes: str) -> DataFrame:
-        tokens = texts.select("tid", F.posexplode(F.col(sizes)).alias("place", "_len"))
-        upto = Window.partitionBy("tid").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return tokens.select("tid", F.col("place").alias(f"{ids}_place"), F.sum("_len").over(upto).alias("end"))
-
-    cuts = ends("a", "a_len").hint("merge").join(ends("b", "b_len"), ["tid", "end"])
+    dealt = texts.repartition(parallelism(texts.sparkSession), "tid")
+    side = lambda n, sizes: F.transform(F.col(sizes), lambda x, i: F.struct(F.lit(n).alias("side"), i.alias("place"), x.alias("len")))
+    tokens = dealt.select("tid", F.explode(F.concat(side(0, "a_len"), side(1, "b_len"))).alias("t")).select("tid", "t.*")
+    upto = Window.partitionBy("tid", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = tokens.select("tid", "side", "place", F.sum("len").over(upto).alias("end"))
+    at = lambda n: F.max(F.when(F.col("side") == n, F.col("place")))
+    cuts = ends.groupBy("tid", "end").agg(at(0).alias("_at"), at(1).alias("_bt")).filter("_at IS NOT NULL AND _bt IS NOT NULL")
     order = Window.partitionBy("tid").orderBy("end")
     before = lambda c: F.coalesce(F.lag(c).over(order) + 1, F.lit(0))
-    spans = cuts.select("tid", (F.row_number().over(order) - 1).alias("group"), before("a_place").alias("_af"), F.col("a_place").alias("_at"), before("b_place").alias("_bf"), F.col("b_place").alias("_bt"))
+    spans = cuts.select("tid", (F.row_number().over(order) - 1).alias("group"), before("_at").alias("_af"), "_at", before("_bt").alias("_bf"), "_bt")
     part = lambda ids, f, t: F.slice(F.col(ids), F.col(f) + 1, F.col(t) - F.col(f) + 1)
-    groups = materialize(spans.hint("merge").join(texts, "tid").select("tid", "group", part("a", "_af", "_at").alias("a_ids"), part("b", "_bf", "_bt").alias("b_ids")), "align-groups")
-    one = groups.select("tid", "group", "b_ids", F.explode("a_ids").alias("_a")).select("tid", "group", "_a", F.explode("b_ids").alias("_b"))
-    return groups, one.select("tid", "group", (F.shiftleft(F.col("_a").cast("long"), 32) + F.col("_b")).alias("pair"))
-
-
-def _told(row: pa.Table, entries: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: its ids, its documents' sizes, the places of their words, and where in `entries` each place's entry is (-1: none)."""
-    ids, sizes = row.column("ids")[0].as_py(), np.asarray(row.column("sizes")[0].as_py(), np.int64)
-    places = np.frombuffer(row.column("places")[0].as_py(), "<i4")
-    at = np.full(int(places.max()) + 1 if len(places) else 0, -1, np.int64)
-    at[entries.column("place").to_numpy()] = np.arange(entries.num_rows)
-    return ids, sizes, places, at
-
-
-def _count_pairs(row: pa.Table, entries: pa.Table) -> pa.Table:
-    """How many documents of a chunk hold each pair."""
-    ids, sizes, places, at = _told(row, entries)
-    doc = np.repeat(np.arange(len(ids)), sizes)
-    entry = at[places]
-    good = np.ones(len(ids), bool)
-    good[doc[entry < 0]] = False
-    keep = good[doc] if len(doc) else np.zeros(0, bool)
-    n = max(1, entries.num_rows)
-    seen = np.unique(doc[keep] * n + entry[keep])
-    doc, entry = seen // n, seen % n
+    return spans.hint("merge").join(dealt.select("tid", "a", "b"), "tid").select("tid", "group", part("a", "_af", "_at").alias("a_ids"), part("b", "_bf", "_bt").alias("b_ids"))
+
+
+def links_of(a_ids: Column, b_ids: Column) -> Column:
+    """All pairs of token occurrences of one group, each as a's id times 2^32 plus b's id."""
+    return F.flatten(F.transform(a_ids, lambda a: F.transform(b_ids, lambda b: F.shiftleft(a.cast("long"), 32) + b)))
+
+
+def _keep(df: DataFrame, label: str) -> DataFrame:
+    """As materialize(), compressed harder: these tables are large beside the texts."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+class _Chunk:
+    """A chunk and the entries of its words, as numbers: `entry` has the row of `entries` for each place of a word (-1: the word has no tokens)."""
+
+    def __init__(self, row: pa.Table, entries: pa.Table) -> None:
+        self.chunk, self.ids = row.column("chunk")[0].as_py(), row.column("ids")[0].as_py()
+        self.sizes = np.asarray(row.column("sizes")[0].as_py(), np.int64)
+        places = np.frombuffer(row.column("places")[0].as_py(), "<i4")
+        at = np.full(int(places.max()) + 1 if len(places) else 0, -1, np.int64)
+        at[entries.column("place").to_numpy()] = np.arange(entries.num_rows)
+        self.entry, self.end = at[places], np.cumsum(self.sizes)
+        bad = np.concatenate([[0], np.cumsum(self.entry < 0)])
+        self.good = bad[self.end] == bad[self.end - self.sizes]
+
+    def sums(self, values: np.ndarray) -> pa.Array:
+        """Per document, the sum of its words' values; 0 for documents without tokens."""
+        total = np.concatenate([[0], np.cumsum(values[self.entry] if len(self.entry) and len(values) else np.zeros(len(self.entry), np.int64))])
+        return pa.array(np.where(self.good, total[self.end] - total[self.end - self.sizes], 0), pa.int64())
+
+
+_FIRST = ("n_a", "n_b", "n_groups", "n_links")
+_FIRST_SCHEMA = f"chunk long, row long, doc_id long, {', '.join(f'{c} long' for c in _FIRST)}, groups string, pair long, n long"
+
+
+def _first(digest: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The documents of a chunk (sums and groups; row is not null), and how many of them hold each pair (pair is not null)."""
+
+    def run(row: pa.Table, entries: pa.Table) -> pa.Table:
+        c = _Chunk(row, entries)
+        texts = entries.column("groups").to_pylist()
+        groups = [";".join(map(texts.__getitem__, c.entry[e - n : e].tolist())) if g else "" for e, n, g in zip(c.end, c.sizes, c.good, strict=True)]
+        if digest:
+            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+        pair, n = _counted(c, entries)
+        docs, nulls = len(c.ids), lambda k, kind: pa.nulls(k, kind)
+        long = pa.int64()
+        columns = [
+            pa.array(np.full(docs + len(pair), c.chunk), long), pa.concat_arrays([pa.array(np.arange(docs), long), nulls(len(pair), long)]), pa.concat_arrays([pa.array(c.ids, long), nulls(len(pair), long)]),
+            *[pa.concat_arrays([c.sums(entries.column(x).to_numpy()), nulls(len(pair), long)]) for x in _FIRST], pa.concat_arrays([pa.array(groups, pa.string()), nulls(len(pair), pa.string())]),
+            pa.concat_arrays([nulls(docs, long), pa.array(pair, long)]), pa.concat_arrays([nulls(docs, long), pa.array(n, long)]),
+        ]
+        return pa.table(columns, names=[x.split()[0] for x in _FIRST_SCHEMA.split(", ")])
+
+    return run
+
+
+def _counted(c: _Chunk, entries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a chunk's documents, and how many of these hold each."""
     lists = entries.column("pairs").combine_chunks()
     start = np.asarray(lists.offsets)
-    values, code = np.unique(np.asarray(lists.values)[: start[-1] if len(start) else 0], return_inverse=True)
-    size = (start[1:] - start[:-1])[entry]
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    held = np.unique(np.repeat(doc, size) * max(1, len(values)) + code[np.repeat(start[:-1][entry], size) + inner])
-    count = np.bincount(held % max(1, len(values)), minlength=len(values))
-    return pa.table({"pair": pa.array(values[count > 0], pa.int64()), "n": pa.array(count[count > 0], pa.int64())})
-
-
-def _put_together(row: pa.Table, entries: pa.Table) -> pa.Table:
-    """The documents of a chunk: sums of their words' figures, and their groups in order."""
-    ids, sizes, places, at = _told(row, entries)
-    end = np.cumsum(sizes)
-    entry = at[places]
-    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    sums = {c: np.concatenate([[0], np.cumsum(entries.column(c).to_numpy()[entry] if len(entry) and entries.num_rows else np.zeros(len(entry), np.int64))]) for c in names}
-    texts, bad = entries.column("groups").to_pylist(), np.concatenate([[0], np.cumsum(entry < 0)])
-    good = bad[end] == bad[end - sizes]
-    groups = [";".join(map(texts.__getitem__, entry[e - n : e].tolist())) if g else "" for e, n, g in zip(end, sizes, good, strict=True)]
-    figures = {c: pa.array(np.where(good, s[end] - s[end - sizes], 0), pa.int64()) for c, s in sums.items()}
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), **figures, "groups": pa.array(groups, pa.string())})
+    values, code = np.unique(np.asarray(lists.values)[start[0] : start[-1]] if len(start) > 1 else np.zeros(0, np.int64), return_inverse=True)
+    start, count, width = start - (start[0] if len(start) else 0), np.zeros(len(values), np.int64), max(1, len(values))
+    doc, good, n = np.repeat(np.arange(len(c.ids)), c.sizes), np.repeat(c.good, c.sizes), max(1, entries.num_rows)
+    bound = np.searchsorted(c.end, np.arange(SLICE, c.end[-1] + SLICE if len(c.end) else 0, SLICE), side="right")  # whole documents of about SLICE words
+    cut = np.unique(np.concatenate([[0], c.end[np.minimum(bound, len(c.end) - 1)]])) if len(c.end) else np.zeros(1, int)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = good[a:b]
+        seen = np.unique(doc[a:b][own] * n + c.entry[a:b][own])
+        d, e = seen // n, seen % n
+        size = start[e + 1] - start[e]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        held = np.unique(np.repeat(d, size) * width + code[np.repeat(start[e], size) + inner])
+        count += np.bincount(held % width, minlength=len(values))
+    return values[count > 0], count[count > 0]
+
+
+def _second(row: pa.Table, entries: pa.Table) -> pa.Table:
+    """The sums over the documents of a chunk that need the counts of all."""
+    c = _Chunk(row, entries)
+    names = ("n_best", "count_sum")
+    return pa.table([pa.array(np.full(len(c.ids), c.chunk), pa.int64()), pa.array(np.arange(len(c.ids)), pa.int64()), *[c.sums(entries.column(x).to_numpy()) for x in names]], names=["chunk", "row", *names])
 
 
 def _by_chunk(chunks: DataFrame, entries: DataFrame, made: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -170,35 +214,32 @@ def _by_chunk(chunks: DataFrame, entries: DataFrame, made: Callable[[pa.Table, p
     return chunks.drop("words").groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(made, schema)
 
 
-def align(docs: DataFrame, vocabulary: str, model: str, chunk: int = CHUNK) -> DataFrame:
+def align(docs: DataFrame, vocabulary: str, model: str, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
     """docs(doc_id, text) aligned: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, one row for each row.
 
     Tokens are those of a space and the text, by a byte-level file (a) and a piece model (b); strings of special
-    tokens are plain text. `groups` is `a1,a2|b1;a3|b2,b3`: ids of each group in order. n_best counts the links
-    whose pair is held by as many documents as any pair of their a id, count_sum sums these numbers over links.
-    Texts that are null, empty, or don't come back from the pieces byte by byte have no tokens: zeros and "".
-    Repeated rows count as documents of their own.
+    tokens are plain text. `groups` is `a1,a2|b1;a3|b2,b3`: ids of each group in order, or with `digest` the SHA-256
+    of that. n_best counts the links whose pair is held by as many documents as any pair of their a id, count_sum
+    sums these numbers over links. Texts that are null, empty, or don't come back from the pieces byte by byte have
+    no tokens: zeros and "". Repeated rows count as documents of their own.
     """
     if subwords.ranks(vocabulary) is None or any(_MARK.encode() in name or b" " in name.lstrip(b" ") for name in piece_bytes(model)[1]):
         raise ValueError("words can't be told apart with these tokenizers")
     chunks = chunks_of(docs, chunk)
     seen = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
     different = seen.select("word").distinct().repartition(parallelism(docs.sparkSession, 4), "word")
-    known = materialize(encode_words(different, vocabulary, model).filter("a IS NOT NULL").withColumn("tid", F.monotonically_increasing_id()), "align-words")
-    groups, links = align_texts(known.select("tid", "a", "a_len", "b", "b_len"))
-    entry_text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", F.concat(F.array_join("a_ids", ","), F.lit("|"), F.array_join("b_ids", ",")).alias("t")))), lambda g: g["t"]), ";")
-    per_text = groups.groupBy("tid").agg(F.count("*").alias("n_groups"), entry_text.alias("groups"))
-    pairs = materialize(links.groupBy("tid").agg(F.collect_list("pair").alias("pairs")), "align-pairs")
-
-    keys = materialize(seen.hint("merge").join(known.select("word", "tid"), "word").select("chunk", "place", "tid"), "align-keys")
-    counted = _by_chunk(chunks, keys.hint("merge").join(pairs, "tid").select("chunk", "place", "pairs"), _count_pairs, "pair long, n long")
-    counts = materialize(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
+    known = _keep(encode_words(different, vocabulary, model).filter("a IS NOT NULL").withColumn("tid", F.monotonically_increasing_id()), "align-words")
+    keys = _keep(seen.hint("merge").join(known.select("word", "tid"), "word").select("chunk", "place", "tid"), "align-keys")
+    told = F.struct("group", F.concat(F.array_join("a_ids", ","), F.lit("|"), F.array_join("b_ids", ",")).alias("t"), links_of(F.col("a_ids"), F.col("b_ids")).alias("p"), F.size("a_ids").alias("a"), F.size("b_ids").alias("b"))
+    lists = align_texts(known.drop("word")).groupBy("tid").agg(F.sort_array(F.collect_list(told)).alias("_g"))  # the tokens of one word
+    total = lambda x: F.aggregate("_g", F.lit(0).cast("long"), lambda n, g: n + g[x])
+    pairs = F.flatten(F.transform("_g", lambda g: g["p"]))
+    words = _keep(lists.select("tid", total("a").alias("n_a"), total("b").alias("n_b"), F.size("_g").cast("long").alias("n_groups"), F.size(pairs).cast("long").alias("n_links"), F.array_join(F.transform("_g", lambda g: g["t"]), ";").alias("groups"), pairs.alias("pairs")), "align-figures")
+    forget(known)
+    first = _keep(_by_chunk(chunks, keys.hint("merge").join(words, "tid").drop("tid"), _first(digest), _FIRST_SCHEMA), "align-first")
+    counts = first.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n"))
     most = counts.groupBy(F.shiftright("pair", 32).alias("_a")).agg(F.max("n").alias("_most"))
-    counts = materialize(counts.join(most, F.shiftright("pair", 32) == F.col("_a")).select("pair", "n", (F.col("n") == F.col("_most")).cast("long").alias("best")), "align-best")
-    figures = pairs.select("tid", F.explode("pairs").alias("pair")).hint("merge").join(counts, "pair").groupBy("tid").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    of_word = known.select("tid", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b")).hint("merge").join(per_text, "tid").hint("merge").join(figures, "tid")
-    entries = keys.hint("merge").join(materialize(of_word, "align-figures"), "tid").drop("tid")
-    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    done = materialize(_by_chunk(chunks, entries, _put_together, f"doc_id long, {', '.join(f'{c} long' for c in names)}, groups string"), "align-documents")
-    forget(groups, pairs, keys, known)
-    return done
+    best = _keep(counts.join(most.hint("merge"), F.shiftright("pair", 32) == F.col("_a")).select("pair", "n", (F.col("n") == F.col("_most")).cast("long").alias("best")), "align-best")
+    figures = words.select("tid", F.explode("pairs").alias("pair")).hint("merge").join(best, "pair").groupBy("tid").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    second = _by_chunk(chunks, keys.hint("merge").join(figures, "tid").drop("tid"), _second, "chunk long, row long, n_best long, count_sum long")
+    return first.filter("row IS NOT NULL").drop("pair", "n").hint("merge").join(second, ["chunk", "row"]).select("doc_id", *_FIRST, "n_best", "count_sum", "groups")

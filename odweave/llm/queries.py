@@ -99,9 +99,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers aligned in every document. Null and empty texts, and those that pieces can't give back, have zeros and an empty digest; repeated rows are documents of their own."""
     vocabulary, model = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    done = align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, model)
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
-    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    done = align.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, model, digest=True)
+    return done.withColumnRenamed("groups", "groups_sha256")
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,26 @@ def test_alignment_by_definition(spark, chunk):
     assert sorted(map(tuple, got), key=key) == sorted(_aligned(rows), key=key)
 
 
+def test_pairs_counted_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    sizes = rnd.integers(0, 9, 40)
+    places = rnd.integers(0, 12, sizes.sum()).astype("<i4")
+    row = pa.table({"chunk": [1], "ids": [list(range(40))], "sizes": [sizes.tolist()], "places": [places.tobytes()]})
+    pairs = [rnd.integers(0, 15, rnd.integers(1, 5)).tolist() for _ in range(11)]
+    entries = pa.table({"place": pa.array(range(11), pa.int64()), "pairs": pa.array(pairs, pa.list_(pa.int64()))})  # the twelfth word has no tokens
+    want, at = collections.Counter(), 0
+    for n in sizes:
+        own = places[at : at + n].tolist()
+        at += n
+        want.update(set() if 11 in own else {p for w in own for p in pairs[w]})
+    for size in (3, 1 << 20):
+        monkeypatch.setattr(align, "SLICE", size)
+        values, n = align._counted(align._Chunk(row, entries), entries)
+        assert dict(zip(values.tolist(), n.tolist(), strict=True)) == want
+
+
 def test_alignment_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert align.align(empty, BYTES, PIECES).count() == 0
