@@ -1,4 +1,4 @@
-"""Road networks, node distances and distances along the network."""
+"""Road networks, node distances and distances along the network."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import closest, distance, end_point, fraction_on, line_length, rounded, start_point
 from ..plans.skew import grouped_prefix, ordered_index
 from ..plans.storage import forget, materialize
+from . import grid, linear
 from .components import connected_components
 
 #: Edges up to which the adjacency is broadcast for searches; beyond it distances are relaxed by joins.
@@ -135,47 +136,6 @@ def path_between(graph: dict[int, list[tuple[int, float]]], a: int, b: int) -> t
     return None
 
 
-def grown_network(graph: dict[int, list[tuple[int, float]]], edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges, and shortest paths that join their components: of all pairs, the shortest first, until one is left or none can be joined."""
-    have = {tuple(sorted(e)) for e in edges}
-    while True:
-        parts: dict[int, set[int]] = {}
-        for a, b in sorted(have):
-            near = {id(p): p for x in (a, b) if (p := parts.get(x)) is not None}
-            one = set().union({a, b}, *near.values())
-            for x in one:
-                parts[x] = one
-        groups = list({id(p): p for p in parts.values()}.values())
-        if len(groups) < 2:
-            return sorted(have)
-        found = []
-        for i, p in enumerate(groups):
-            for q in groups[i + 1 :]:
-                got = [path_between(graph, x, y) for x in sorted(p) for y in sorted(q)]
-                found += [g for g in got if g]
-        if not found:
-            return sorted(have)
-        _, nodes = min(found)
-        have |= {tuple(sorted(e)) for e in zip(nodes[:-1], nodes[1:], strict=True)}
-
-
-def cluster_networks(edges: DataFrame, of_cluster: DataFrame, weight: str = "m", broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """(cluster, source, target) of each cluster's connected sub-network from of_cluster(cluster, source, target)."""
-    near = _adjacent(edges, weight)
-    if near.count() > 2 * broadcast_edges:
-        raise ValueError("the network is too large to search whole")
-    graph: dict[int, list[tuple[int, float]]] = {}
-    for r in near.collect():
-        graph.setdefault(r.u, []).append((r.v, r.w))
-    sent = edges.sparkSession.sparkContext.broadcast(graph)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = grown_network(sent.value, list(zip(pdf["source"], pdf["target"], strict=True)))
-        return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "source": [a for a, _ in rows], "target": [b for _, b in rows]})
-
-    return of_cluster.select(F.col("cluster").cast("long"), "source", "target").groupBy("cluster").applyInPandas(run, "cluster long, source long, target long")
-
-
 def outer_points(networks: DataFrame, points: DataFrame) -> DataFrame:
     """For each cluster and end (node of degree 1) of its network, the points on the edge there that are nearest to it (W7: ties stay).
 
@@ -204,23 +164,23 @@ def trimmed(networks: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def snap(points: DataFrame, edges: DataFrame, radius: float = 500.0, extent: float = 1e7) -> DataFrame:
-    """points(id, x, y) with edge_id, cx, cy, dist, dist_to_start, dist_to_end of their nearest edge (of equal ones the smaller id).
+    """points(id, x, y) with edge_id, cx, cy, dist, dist_to_start, dist_to_end of their nearest edge (of equal ones the smaller id, of its places the first).
 
-    Points and edges meet in grid cells; points without an edge within the radius are tried again with a
-    radius eight times as large, until `extent`. So each point compares a few edges, and the result is exact.
+    Edges have a line of any number of points, or two ends. Points and segments meet in grid cells of the segments' own
+    sizes; points without an edge within the radius are tried again with a radius eight times as large, until
+    `extent`. So each point compares the segments near it, an edge of any length has few rows, and the result is exact.
     """
-    seg = edges.select(F.col("id").alias("edge_id"), "x1", "y1", "x2", "y2")
+    seg = materialize(linear.segments(edges), "snap-segments")
     left, out = points.select("id", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"), None
+    c = F.col
     while radius <= extent:
-        cell = lambda c, r=radius: F.floor(c / r).cast("long")
-        span = lambda a, b, r=radius: F.sequence(cell(F.least(a, b) - r), cell(F.greatest(a, b) + r))
-        cells = seg.withColumn("_cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2"))))
-        p = left.withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
-        cx, cy = closest(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-        near = p.join(cells, ["_cx", "_cy"]).withColumn("cx", cx).withColumn("cy", cy).withColumn("dist", distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).filter(F.col("dist") <= radius)
-        best = near.groupBy("id", "x", "y").agg(F.min(F.struct("dist", "edge_id", "cx", "cy", "x1", "y1", "x2", "y2")).alias("b")).select("id", "x", "y", "b.*")
-        best = best.withColumn("dist_to_start", rounded(distance(F.col("cx"), F.col("cy"), F.col("x1"), F.col("y1")))).withColumn("dist_to_end", rounded(distance(F.col("cx"), F.col("cy"), F.col("x2"), F.col("y2")))).drop("x1", "y1", "x2", "y2")
-        best = materialize(best, "snap")
+        around = grid.box(F.least("x1", "x2") - radius, F.least("y1", "y2") - radius, F.greatest("x1", "x2") + radius, F.greatest("y1", "y2") + radius)
+        cx, cy = closest(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
+        near = grid.points_and_extents(left, "x", "y", seg, around).withColumn("cx", cx).withColumn("cy", cy).withColumn("dist", distance(c("x"), c("y"), c("cx"), c("cy"))).filter(c("dist") <= radius)
+        start, end = c("from_m") + distance(c("cx"), c("cy"), c("x1"), c("y1")), distance(c("cx"), c("cy"), c("x2"), c("y2")) + (c("total") - c("to_m"))
+        near = near.withColumn("dist_to_start", rounded(start)).withColumn("dist_to_end", rounded(end))
+        best = near.groupBy("id", "x", "y").agg(F.min(F.struct("dist", "edge_id", "seq", "cx", "cy", "dist_to_start", "dist_to_end")).alias("b"))
+        best = materialize(best.select("id", "x", "y", "b.dist", "b.edge_id", "b.cx", "b.cy", "b.dist_to_start", "b.dist_to_end"), "snap")
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select("id"), "id", "left_anti")
         if left.isEmpty():
@@ -286,14 +246,23 @@ def flow_distances(origins: DataFrame, dests: DataFrame, nodes: DataFrame, squar
 
 
 def sampled_points(edges: DataFrame, apart: float) -> DataFrame:
-    """Points on edges at most `apart` from each other, both ends included: id (by edge and place), edge_id, x, y, dist_to_start, dist_to_end."""
-    length = distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    e = edges.withColumn("_l", length).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_l") / apart)).cast("int"))
+    """Points along edges at most `apart` from each other, both ends included: id (by edge and place), edge_id, x, y, dist_to_start, dist_to_end.
+
+    Edges have a line of any number of points, or two ends; places are equally far apart along the line, and each segment makes those that it holds.
+    """
+    seg = materialize(linear.segments(edges), "sampled-segments")
+    e = seg.filter("seq = 0").select("edge_id", F.col("total").alias("_l"), F.greatest(F.lit(1), F.ceil(F.col("total") / apart)).cast("int").alias("_n"))
     # A place's number: what earlier edges of its network hold.
-    e = grouped_prefix(e.withColumn("_g", F.lit(0)), ["_g"], F.floor(F.col("id") / PREFIX_CHUNK), [F.col("id")], F.col("_n") + 1, "_s")
-    p = e.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("_n")))).withColumn("_t", F.col("place") / F.col("_n"))
-    x, y = F.col("x1") + F.col("_t") * (F.col("x2") - F.col("x1")), F.col("y1") + F.col("_t") * (F.col("y2") - F.col("y1"))
-    return p.select((F.col("_s") + F.col("place") + 1).alias("id"), F.col("id").alias("edge_id"), x.alias("x"), y.alias("y"), (F.col("_t") * F.col("_l")).alias("dist_to_start"), ((1 - F.col("_t")) * F.col("_l")).alias("dist_to_end"))
+    e = grouped_prefix(e.withColumn("_g", F.lit(0)), ["_g"], F.floor(F.col("edge_id") / PREFIX_CHUNK), [F.col("edge_id")], F.col("_n") + 1, "_s")
+    step = F.col("_l") / F.col("_n")
+    low = F.when(F.col("_l") > 0, F.greatest(F.lit(0), F.floor(F.col("from_m") / step) - 1)).otherwise(F.lit(0)).cast("int")
+    high = F.when(F.col("_l") > 0, F.least(F.col("_n"), F.ceil(F.col("to_m") / step) + 1)).otherwise(F.col("_n")).cast("int")
+    p = seg.join(e, "edge_id").withColumn("place", F.explode(F.sequence(low, high))).withColumn("_t", F.col("place") / F.col("_n")).withColumn("_at", F.col("_t") * F.col("_l"))
+    last = F.col("to_m") >= F.col("total")
+    first_last = last & (F.col("from_m") < F.col("total")) | (F.col("total") == 0) & (F.col("seq") == 0)
+    p = p.filter((F.col("_at") >= F.col("from_m")) & ((F.col("_at") < F.col("to_m")) | first_last))
+    x, y = linear.at_length(F.col("_at"))
+    return p.select((F.col("_s") + F.col("place") + 1).alias("id"), "edge_id", x.alias("x"), y.alias("y"), F.col("_at").alias("dist_to_start"), ((1 - F.col("_t")) * F.col("_l")).alias("dist_to_end"))
 
 
 def edge_clusters(sampled: DataFrame, clustered: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -311,8 +280,19 @@ def edge_clusters(sampled: DataFrame, clustered: DataFrame, nodes: DataFrame, ed
 
 
 def blended(edges: DataFrame, points: DataFrame) -> DataFrame:
-    """Edges cut at points(edge_id, x, y) that lie on them: (id, part, from_t, to_t), parts from 1 and fractions of the edge."""
-    t = points.join(edges.select(F.col("id").alias("edge_id"), "x1", "y1", "x2", "y2"), "edge_id").select(F.col("edge_id").alias("id"), fraction_on(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("t"))
-    cuts = edges.select("id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t")).unionByName(t).distinct()
-    w = Window.partitionBy("id").orderBy("t")
-    return cuts.withColumn("to_t", F.lead("t").over(w)).withColumn("part", F.row_number().over(w)).filter("to_t IS NOT NULL").select("id", "part", F.col("t").alias("from_t"), "to_t")
+    """Edges cut at points(edge_id, x, y) that lie on them: (id, part, from_t, to_t, line), parts from 1, fractions of the edge's length, and the part's own points.
+
+    Edges have a line of any number of points, or two ends. A point cuts its edge at the place nearest to it.
+    """
+    seg, c = materialize(linear.segments(edges), "blended-segments"), F.col
+    on = points.select("edge_id", "x", "y").join(seg, "edge_id")
+    t = fraction_on(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
+    cx, cy = closest(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
+    near = on.groupBy("edge_id", "x", "y").agg(F.min(F.struct(distance(c("x"), c("y"), cx, cy).alias("d"), "seq", (c("from_m") + t * (c("to_m") - c("from_m"))).alias("s"), "total")).alias("b"))
+    ends = seg.filter("seq = 0").select("edge_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    cuts = ends.unionByName(near.select("edge_id", F.when(c("b.total") > 0, c("b.s") / c("b.total")).otherwise(0.0).alias("t"))).distinct()
+    w = Window.partitionBy("edge_id").orderBy("t")
+    parts = materialize(cuts.withColumn("to_t", F.lead("t").over(w)).withColumn("part", F.row_number().over(w)).filter("to_t IS NOT NULL").withColumnRenamed("t", "from_t"), "blended-parts")
+    total = seg.filter("seq = 0").select("edge_id", "total")
+    lines = linear.parts_of(seg, parts.join(total, "edge_id").select("edge_id", "part", (c("from_t") * c("total")).alias("from_t"), (c("to_t") * c("total")).alias("to_t")))
+    return parts.join(lines, ["edge_id", "part"]).select(c("edge_id").alias("id"), "part", "from_t", "to_t", "line")

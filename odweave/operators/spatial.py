@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..plans.storage import materialize
+from . import grid
 
 HULL = "array<struct<x:double,y:double>>"
 
@@ -58,32 +59,13 @@ def hulls(points: DataFrame, cluster: str, batch: int = 4096) -> DataFrame:
     return rings.groupBy("cluster").applyInPandas(whole, f"cluster long, hull {HULL}, area double, cx double, cy double, n_points long")
 
 
-def _in_cells(rings: DataFrame, ring: str, size: float) -> DataFrame:
-    """rings once for each grid cell (u, v) that its extent meets."""
-    e = geo.extent(F.col(ring))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(e[lo] / size).cast("long"), F.floor(e[hi] / size).cast("long")))
-    return rings.filter(F.size(ring) > 0).withColumn("u", span("x_min", "x_max")).withColumn("v", span("y_min", "y_max"))
-
-
-def _cell_size(rings: DataFrame, ring: str) -> float:
-    """The mean of the extents' longer sides: most rings then meet a few cells."""
-    e = geo.extent(F.col(ring))
-    return float(rings.filter(F.size(ring) > 0).agg(F.avg(F.greatest(e["x_max"] - e["x_min"], e["y_max"] - e["y_min"]))).first()[0] or 1.0) or 1.0
-
-
 def hull_overlaps(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """(i, j, shared, jaccard_distance, mean_overlap) of hulls whose extents meet; with one table i < j.
 
-    Hulls meet in grid cells, so no two are compared that are far apart; pairs that aren't listed share nothing.
+    Hulls meet in grid cells of their own sizes, so no two are compared that are far apart; pairs that aren't listed share nothing.
     """
-    size = _cell_size(a, "hull")
-    take = lambda df, s: _in_cells(df.select(F.col("cluster").alias(s), F.col("hull").alias(f"h{s}"), F.col("area").alias(f"a{s}")), f"h{s}", size)
-    left, right = take(a, "i"), take(a if b is None else b, "j")
-    ei, ej = geo.extent(F.col("hi")), geo.extent(F.col("hj"))
-    meet = (ei["x_min"] <= ej["x_max"]) & (ej["x_min"] <= ei["x_max"]) & (ei["y_min"] <= ej["y_max"]) & (ej["y_min"] <= ei["y_max"])
-    # Of the cells that both meet, the pair counts in the first.
-    once = (F.col("u") == F.floor(F.greatest(ei["x_min"], ej["x_min"]) / size)) & (F.col("v") == F.floor(F.greatest(ei["y_min"], ej["y_min"]) / size))
-    pairs = left.join(right, ["u", "v"]).filter(meet & once)
+    take = lambda df, s: df.select(F.col("cluster").alias(s), F.col("hull").alias(f"h{s}"), F.col("area").alias(f"a{s}"))
+    pairs = grid.meeting(take(a, "i"), geo.extent(F.col("hi")), take(a if b is None else b, "j"), geo.extent(F.col("hj")))
     if b is None:
         pairs = pairs.filter("i < j")
 
@@ -97,10 +79,9 @@ def hull_overlaps(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame, key: str = "id") -> DataFrame:
-    """(key, polygon) of points(key, x, y) inside polygons(polygon, ring): simple rings, convex or not, which meet the points in grid cells."""
-    size = _cell_size(polygons, "ring")
-    p = points.select(key, "x", "y", F.floor(F.col("x") / size).cast("long").alias("u"), F.floor(F.col("y") / size).cast("long").alias("v"))
-    return p.join(_in_cells(polygons.select("polygon", "ring"), "ring", size), ["u", "v"]).filter(geo.inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select(key, "polygon")
+    """(key, polygon) of points(key, x, y) inside polygons(polygon, ring): simple rings of any size, convex or not, which meet the points in grid cells."""
+    met = grid.points_and_extents(points.select(key, "x", "y"), "x", "y", polygons.select("polygon", "ring"), geo.extent(F.col("ring")))
+    return met.filter(geo.inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select(key, "polygon")
 
 
 def availability_in_area(snapshots: DataFrame, area: DataFrame, roads: DataFrame) -> DataFrame:

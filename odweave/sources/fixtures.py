@@ -59,3 +59,30 @@ def flow_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = lambda c: F.pmod(F.col(c) * 3 + 9500, F.lit(19001)).cast("double")
     o = f.select("flow_id", (F.col("flow_id") * 2 - 1).alias("id"), F.lit("origin").alias("type"), on("ox").alias("x"), on("oy").alias("y"))
     return o.unionByName(f.select("flow_id", (F.col("flow_id") * 2).alias("id"), F.lit("dest").alias("type"), on("dx").alias("x"), on("dy").alias("y")))
+
+
+#: Columns of the street network, whose rows grow with the table it comes from.
+WIDTH = 50
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets (id, source, target, m, x1, y1, x2, y2, line), one for about every other event: event 2n leads from node n to the next column, event 2n + 1 to the next row; users take some away.
+
+    Lengths are whole numbers, so that sums of them are equal in whatever order. Lines have one bend.
+    """
+    e, u = F.col("event_id"), F.col("user_id")
+    node = F.floor(e / 2).cast("long")
+    rows = table(spark, sf_dir, "events").select(e.alias("id"), u.alias("user_id"), (node + 1).alias("source"), F.when(e % 2 == 0, node + 2).otherwise(node + 1 + WIDTH).alias("target"), (node % WIDTH).alias("c"), F.floor(node / WIDTH).alias("r"))
+    rows = rows.filter((u % 4 != 0) & ((e % 2 == 1) | (F.col("c") < WIDTH - 1)))
+    at = lambda c, d: ((F.col(c) + d) * STEP).cast("double")
+    x1, y1, x2, y2 = at("c", 0), at("r", 0), at("c", (F.col("id") + 1) % 2), at("r", F.col("id") % 2)
+    bend = F.struct(((x1 + x2) / 2 + (u * 37 % 401 - 200)).alias("x"), ((y1 + y2) / 2 + (u * 53 % 401 - 200)).alias("y"))
+    line = F.array(F.struct(x1.alias("x"), y1.alias("y")), bend, F.struct(x2.alias("x"), y2.alias("y")))
+    return rows.select("id", "source", "target", (200 + u * 7 % 800).cast("int").alias("m"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), line.alias("line"))
+
+
+def street_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster, source, target): every 23rd street, by blocks of ten columns and rows."""
+    n = F.col("source") - 1
+    block = F.floor(F.floor(n / WIDTH) / 10) * (WIDTH // 10) + F.floor(n % WIDTH / 10) + 1
+    return streets(spark, sf_dir).filter("id % 23 = 0").select(block.cast("long").alias("cluster"), "source", "target")

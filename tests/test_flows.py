@@ -134,8 +134,6 @@ def test_ari_and_silhouette(spark):
 
 
 def test_network_shapes(spark):
-    graph = {1: [(2, 1.0)], 2: [(1, 1.0), (3, 1.0)], 3: [(2, 1.0), (4, 1.0)], 4: [(3, 1.0)]}
-    assert network.grown_network(graph, [(1, 2), (3, 4)]) == [(1, 2), (2, 3), (3, 4)]
     nets = spark.createDataFrame([(1, 10, 1, 2, 100.0), (1, 11, 2, 3, 100.0)], "cluster long, id long, source long, target long, m double")
     pts = spark.createDataFrame([(1, 5, 10, 40.0, 60.0), (1, 6, 11, 70.0, 30.0)], "cluster long, point long, edge long, to_source double, to_target double")
     outer = network.outer_points(nets, pts)
