@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..plans.storage import materialize
+from ..functions import geo, overlay
+from ..plans.storage import materialize, parallelism
 from . import grid
 
 HULL = "array<struct<x:double,y:double>>"
@@ -78,6 +78,34 @@ def hull_overlaps(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     return pairs.withColumn("shared", shared("hi", "hj")).select("i", "j", "shared", (1 - F.col("shared") / F.nullif(union, F.lit(0.0))).alias("jaccard_distance"), ((F.col("shared") / F.col("ai") + F.col("shared") / F.col("aj")) / 2).alias("mean_overlap"))
 
 
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def polygon_overlaps(a: DataFrame, b: DataFrame | None = None, with_rings: bool = False) -> DataFrame:
+    """(i, j, shared, joined, jaccard_distance) of polygons(polygon, rings) whose extents meet: areas of intersection and union; with one table i < j.
+
+    Polygons are rings with notches, the outer one first, then holes. with_rings: the rings of both, holes after
+    outer ones. Null polygons and those without an area share nothing with others.
+    """
+    take = lambda df, s: df.select(F.col("polygon").alias(s), F.col("rings").alias(f"r{s}")).filter(F.size(f"r{s}") > 0)
+    pairs = grid.meeting(take(a, "i"), geo.extent(F.get("ri", F.lit(0))), take(a if b is None else b, "j"), geo.extent(F.get("rj", F.lit(0))))
+    if b is None:
+        pairs = pairs.filter("i < j")
+    kind = "shared double, joined double" + (f", shared_rings {RINGS}, joined_rings {RINGS}" if with_rings else "")
+
+    @F.pandas_udf(kind)
+    def both(ri: pd.Series, rj: pd.Series) -> pd.DataFrame:
+        plain = lambda rings: [[(p["x"], p["y"]) for p in r] for r in rings]
+        shape = lambda pieces: [[{"x": x, "y": y} for x, y in r] for r in overlay.rings_of(pieces)]
+        found = [overlay.overlay(plain(x), plain(y)) for x, y in zip(ri, rj, strict=True)]
+        out = pd.DataFrame({"shared": [overlay.area_of(x) for x, _ in found], "joined": [overlay.area_of(y) for _, y in found]}, dtype="float64")
+        return out.assign(shared_rings=[shape(x) for x, _ in found], joined_rings=[shape(y) for _, y in found]) if with_rings else out
+
+    pairs = pairs.repartition(parallelism(a.sparkSession))  # few bytes a pair, but much work
+    out = pairs.select("i", "j", both("ri", "rj").alias("o")).select("i", "j", "o.*")
+    return out.withColumn("jaccard_distance", 1 - F.col("shared") / F.nullif("joined", F.lit(0.0)))
+
+
 def in_polygons(points: DataFrame, polygons: DataFrame, key: str = "id") -> DataFrame:
     """(key, polygon) of points(key, x, y) inside polygons(polygon, ring): simple rings of any size, convex or not, which meet the points in grid cells."""
     met = grid.points_and_extents(points.select(key, "x", "y"), "x", "y", polygons.select("polygon", "ring"), geo.extent(F.col("ring")))
