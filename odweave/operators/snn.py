@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import ordered_index
+from ..plans.skew import attach, ordered_index
 from ..plans.storage import materialize
 from .components import connected_components
 from .knn import nearest
@@ -79,13 +79,23 @@ def snn_custom(knn: DataFrame, ids: DataFrame, key: str, k: int) -> DataFrame:
     return snn_from_knn(knn.filter(F.col("rank") <= k), ids, key, eps, minpts)
 
 
-def similarity(knn: DataFrame) -> DataFrame:
+#: Points that share a neighbour and meet in one group at most, on either side.
+HUB = 2048
+
+
+def similarity(knn: DataFrame, hub: int = HUB) -> DataFrame:
     """(i, j, similarity) for i < j: how many neighbours two points share, of pairs that share any; the product of the neighbour matrix with itself.
 
-    A point that is a neighbour of many is shared by all pairs of them; the pairs are made by a join on it.
+    Points meet by the neighbours they share. Those of a hub, a neighbour of more than `hub` points, are dealt into parts
+    that meet two by two, so no group makes more than hub * hub pairs whatever the hub's size; all its pairs are rows of the
+    result by definition.
     """
-    a, b = knn.select(F.col("ref").alias("i"), "nn"), knn.select(F.col("ref").alias("j"), "nn")
-    return a.join(b, "nn").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("similarity"))
+    counts = knn.groupBy("nn").agg(F.count("*").alias("n")).withColumn("_parts", F.ceil(F.col("n") / hub).cast("int"))
+    rows = attach(knn.select("ref", "nn"), counts, "nn", "n", F.xxhash64("ref")).withColumn("_own", F.pmod(F.xxhash64("ref"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    a = rows.select(F.col("ref").alias("i"), "nn", F.col("_own").alias("_a"), every.alias("_b"))
+    b = rows.select(F.col("ref").alias("j"), "nn", F.col("_own").alias("_b"), every.alias("_a"))
+    return a.join(b, ["nn", "_a", "_b"]).filter("i < j").groupBy("i", "j").agg(F.count("*").alias("similarity"))
 
 
 def jarvis_patrick(knn: DataFrame, ids: DataFrame, key: str, eps: int, minpts: int) -> DataFrame:

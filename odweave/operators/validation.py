@@ -119,12 +119,14 @@ def batch_labels(knn: DataFrame, ids: DataFrame, key: str, ks: list[int]) -> Dat
     return out
 
 
-def silhouette_curve(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(k, mean_sil, n_cluster) by batch_labels() rows: the mean over clusters of the mean silhouette; noise is left out. k without clusters that can be compared gives no row."""
+def silhouette_curve(points: DataFrame, key: str, columns: list[str], labels: DataFrame) -> DataFrame:
+    """(k, mean_sil, n_cluster) by batch_labels() rows of points(key, columns): the mean over clusters of the mean silhouette; noise is left out. k without clusters that can be compared gives no row."""
+    from .blocks import silhouette as silhouette_of
+
     out = None
     for (k,) in sorted(labels.select("k").distinct().collect()):  # one row for each run
-        own = labels.filter((F.col("k") == k) & (F.col("cluster_pred") > 0)).select("id", F.col("cluster_pred").alias("cluster"))
-        means = silhouette_means(silhouette(pairs, own))
+        own = points.join(labels.filter((F.col("k") == k) & (F.col("cluster_pred") > 0)).select(F.col("id").alias(key), F.col("cluster_pred").alias("cluster")), key)
+        means = silhouette_means(silhouette_of(own, key, columns, "cluster"))
         row = means.agg(F.avg("mean_sil").alias("mean_sil"), F.count("*").alias("n_cluster")).filter("n_cluster > 0").select(F.lit(k).alias("k"), "mean_sil", "n_cluster")
         out = row if out is None else out.unionByName(row)
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.calendar import week_iso, week_simple, weekday_monday
-from ..operators import clusterers, distance, explore, knn, network, network_knn, snn, spatial, sweeps, synth, temporal, validation, validity
+from ..operators import blocks, clusterers, distance, explore, knn, network, network_knn, snn, spatial, sweeps, synth, temporal, validation, validity
 from ..operators.components import connected_components
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
@@ -161,12 +161,12 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def silhouette_flows(spark, d):  # noqa: ANN001, ANN201
-    return validation.silhouette(_pairs(spark, d), _truth(spark, d)).withColumn("sil", F.round("sil", 9))
+    return blocks.silhouette(_truth(spark, d), "id", distance.FLOW, "cluster").withColumn("sil", F.round("sil", 9))
 
 
 @query
 def silhouette_by_cluster(spark, d):  # noqa: ANN001, ANN201
-    return validation.silhouette_means(validation.silhouette(_pairs(spark, d), _truth(spark, d))).withColumn("mean_sil", F.round("mean_sil", 9))
+    return validation.silhouette_means(blocks.silhouette(_truth(spark, d), "id", distance.FLOW, "cluster")).withColumn("mean_sil", F.round("mean_sil", 9))
 
 
 @query

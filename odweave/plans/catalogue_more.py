@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import distance, knn, network, snn, spatial, synth, tables, validation
+from ..operators import blocks, distance, knn, network, snn, spatial, synth, tables, validation
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
 from . import oracles as o
@@ -272,12 +272,13 @@ def batch_labels(spark, d):  # noqa: ANN001, ANN201
 
 @query(o._SIL_GEOM + " SELECT id, cluster, round(sil, 7) AS sil FROM s")
 def silhouette_geom(spark, d):  # noqa: ANN001, ANN201
-    return validation.silhouette(distance.geometric_pairs(fx.flows(spark, d)), _truth(spark, d)).withColumn("sil", F.round("sil", 7))
+    t = _truth(spark, d)
+    return blocks.silhouette(t, "id", distance.FLOW, "cluster", blocks.geometric(t, "id", distance.FLOW)).withColumn("sil", F.round("sil", 7))
 
 
 @query()
 def silhouette_curve(spark, d):  # noqa: ANN001, ANN201
-    return validation.silhouette_curve(materialize(_pairs(spark, d), "curve-pairs"), materialize(batch_labels(spark, d), "curve-labels"))
+    return validation.silhouette_curve(fx.flows(spark, d), "flow_id", distance.FLOW, materialize(batch_labels(spark, d), "curve-labels"))
 
 
 @query()

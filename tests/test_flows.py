@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from odweave.operators import clusterers, distance, knn, network, snn, spatial, temporal, validation
+from odweave.operators import blocks, clusterers, distance, knn, network, snn, spatial, temporal, validation
 from odweave.operators.components import connected_components
 from odweave.plans.skew import attach, grouped_prefix, ordered_index
 
@@ -228,9 +228,40 @@ def test_matching_table(spark):
 
 
 def test_silhouette_curve(spark):
-    pairs = pairs_of(spark, [(1, 2, 1), (3, 4, 1), (1, 3, 10), (1, 4, 10), (2, 3, 10), (2, 4, 10)])
-    labels = spark.createDataFrame([(5, i, 1 + (i > 2)) for i in range(1, 5)] + [(6, i, 0) for i in range(1, 5)], "k int, id long, cluster_pred int")
-    assert [(r.k, round(r.mean_sil, 6), r.n_cluster) for r in validation.silhouette_curve(pairs, labels).collect()] == [(5, 0.9, 2)]
+    points = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 10.0), (4, 11.0), (5, 30.0)], "id long, x double")
+    labels = spark.createDataFrame([(5, 1, 1), (5, 2, 1), (5, 3, 2), (5, 4, 2), (5, 5, 0), (9, 1, 1), (9, 2, 1)], "k int, id long, cluster_pred int")
+    got = validation.silhouette_curve(points.selectExpr("id", "x AS ox", "0D AS oy", "x AS dx", "0D AS dy"), "id", ["ox", "oy", "dx", "dy"], labels).collect()
+    want = ((21 - 2) / 21 + (19 - 2) / 19) / 2
+    assert [(r.k, round(r.mean_sil, 9), r.n_cluster) for r in got] == [(5, round(want, 9), 2)]  # a partner at 2, the others at 21 or 19 in the mean
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_silhouette_in_blocks(spark, block):
+    """As from the table of pairs, however points fall into blocks; ties, repeated places, a cluster of one and noise included."""
+    rnd = random.Random(6)
+    rows_ = [(i, *(rnd.randrange(40) for _ in range(4)), rnd.choice([0, 1, 2, 3])) for i in range(45)] + [(90, 1, 1, 1, 1, 7), (91, 1, 1, 1, 1, 1), (92, 1, 1, 1, 1, 1), (93, None, 1, 1, 1, 1), (94, 1, 2, 3, 4, None)]
+    f = spark.createDataFrame(rows_, "flow_id long, ox int, oy int, dx int, dy int, c int")
+    sound = f.dropna().persist()
+    labels = sound.selectExpr("flow_id AS id", "c AS cluster")
+    for drop in (True, False):
+        want = {r.id: r.sil for r in validation.silhouette(distance.flow_pairs(sound), labels, drop).collect()}
+        got = {r.id: r.sil for r in blocks.silhouette(f, "flow_id", distance.FLOW, "c", drop_noise=drop, block=block).collect()}
+        assert got == pytest.approx(want)
+    geom = {r.id: r.sil for r in validation.silhouette(distance.geometric_pairs(sound), labels).collect()}
+    assert {r.id: r.sil for r in blocks.silhouette(sound, "flow_id", distance.FLOW, "c", blocks.geometric(sound, "flow_id", distance.FLOW, block), block=block).collect()} == pytest.approx(geom)
+    assert blocks.silhouette(f.filter("c = 1"), "flow_id", distance.FLOW, "c").count() == 0 and blocks.silhouette(f.limit(0), "flow_id", distance.FLOW, "c").count() == 0
+
+
+def test_similarity_at_hubs(spark):
+    rnd = random.Random(8)
+    near = sorted({(a, b) for a in range(40) for b in [99, *rnd.sample(range(40), 4)] if a != b})
+    knn_ = spark.createDataFrame([(a, b, 1, 0) for a, b in near], "ref long, nn long, distance int, rank int")
+    lists = {}
+    for a, b in near:
+        lists.setdefault(a, set()).add(b)
+    want = sorted((i, j, len(lists[i] & lists[j])) for i in lists for j in lists if i < j and lists[i] & lists[j])
+    for hub in (3, 2048):
+        assert rows(snn.similarity(knn_, hub), "i", "j", "similarity") == want
 
 
 def test_lof_by_parts(spark, monkeypatch):

@@ -27,7 +27,7 @@ def test_sweep_labels_and_indices(spark):
         got.setdefault((r.dist_measure, r.k, r.eps, r.minpts), {})[r.id] = r.cluster_pred
     figures = {(r.dist_measure, r.k, r.eps, r.minpts): r for r in done.indices(points, "truth").collect()}
     assert len(figures) == 2 * len(grid)
-    for m, (k, eps, minpts) in itertools.product(near, grid[1:4]):
+    for m, (k, eps, minpts) in itertools.product(["stretched"], grid[1:4]):
         one = snn.snn_from_knn(near[m].filter(f"rank <= {k}"), points, "id", eps, minpts).join(points, "id").persist()
         assert {r.id: r.cluster_pred for r in one.collect() if r.cluster_pred} == got.get((m, k, eps, minpts), {})
         want, found = validation.external_indices(one, "truth", "cluster_pred").first().asDict(), figures[m, k, eps, minpts]
