@@ -29,13 +29,13 @@ def _joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = root[root]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], names: tuple[str, str] = ("u", "v")) -> Iterator[pa.RecordBatch]:
     """Edges of a partition, chunk by chunk, as an edge from each node to the smallest that the chunk joins it to."""
     held: list[pa.RecordBatch] = []
 
     def out() -> Iterator[pa.RecordBatch]:
         u, v = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _joined(u, v)], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _joined(u, v)], names)
 
     for b in batches:
         held.append(b)
@@ -46,7 +46,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", label: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", label: str = "components", small: int = 0) -> DataFrame:
     """(node, component): every end of an edge, with the smallest node of its weak component.
 
     Nodes are integers. Self loops make their node known; edges with a null end are left out; an empty
@@ -54,9 +54,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     a row for each node. Then each round replaces an edge by one to a smaller neighbour: large-star
     joins the larger neighbours of a node to the smallest, small-star the smaller ones, until nothing
     changes; that takes O(log^2 n) rounds whatever the diameter. Rounds are cut by written tables.
+    small (at most CHUNK): where partitions leave no more rows than that, one task joins them and no rounds follow.
     """
     both = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()
     known = materialize(both.mapInArrow(_contract, "u long, v long").distinct(), f"{label}-nodes")
+    if small and known.count() <= min(small, CHUNK):
+        return known.coalesce(1).mapInArrow(lambda b: _contract(b, ("node", "component")), "node long, component long")
     now = known.filter("u <> v")
     print_of = _print_of(now)
     while print_of[0]:

@@ -13,7 +13,7 @@ from ..functions.geo import closest, distance, end_point, fraction_on, line_leng
 from ..plans.skew import grouped_prefix, ordered_index
 from ..plans.storage import forget, materialize
 from . import grid, linear
-from .components import connected_components
+from .components import CHUNK, connected_components
 
 #: Edges up to which the adjacency is broadcast for searches; beyond it distances are relaxed by joins.
 BROADCAST_EDGES = 500_000
@@ -23,12 +23,12 @@ PREFIX_CHUNK = 65_536
 
 def components(edges: DataFrame) -> DataFrame:
     """(component, n_nodes)."""
-    return connected_components(edges, "source", "target").groupBy("component").agg(F.count("*").alias("n_nodes"))
+    return connected_components(edges, "source", "target", small=CHUNK).groupBy("component").agg(F.count("*").alias("n_nodes"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges of the component of most nodes; of equal ones, that with the smallest node."""
-    nodes = materialize(connected_components(edges, "source", "target"), "network-nodes")
+    nodes = materialize(connected_components(edges, "source", "target", small=CHUNK), "network-nodes")
     top = nodes.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
     return edges.join(nodes.join(top, "component").select(F.col("node").alias("source")), "source", "left_semi").select(*edges.columns)
 

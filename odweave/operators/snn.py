@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import attach, ordered_index
 from ..plans.storage import materialize
-from .components import connected_components
+from .components import CHUNK, connected_components
 from .knn import nearest
 
 
@@ -35,7 +35,7 @@ def core_components(edges: DataFrame, cores: DataFrame) -> DataFrame:
     c = cores.select("flow")
     between = edges.join(c.withColumnRenamed("flow", "from"), "from", "left_semi").join(c.withColumnRenamed("flow", "to"), "to", "left_semi")
     between = materialize(between.select("from", "to"), "snn-core")
-    parts = connected_components(between, "from", "to", "snn-components")
+    parts = connected_components(between, "from", "to", "snn-components", CHUNK)
     first = between.join(parts, F.col("from") == F.col("node")).groupBy("component").agg(F.min("from").alias("first"))
     # One row for each cluster.
     number = ordered_index(first, [F.col("first")], "_i", "snn-numbers").select("component", (F.col("_i") + 1).cast("int").alias("label"))
@@ -115,7 +115,7 @@ def density_clusters(near: DataFrame, ids: DataFrame, key: str, minpts: int) ->
     c = cores.withColumnRenamed("id", "from")
     loops = c.select("from", F.col("from").alias("to"))
     between = near.join(c, "from", "left_semi").join(cores.withColumnRenamed("id", "to"), "to", "left_semi").select("from", "to").unionByName(loops)
-    parts = connected_components(between, "from", "to", "density-components")
+    parts = connected_components(between, "from", "to", "density-components", CHUNK)
     number = ordered_index(parts.select("component").distinct(), [F.col("component")], "_i", "density-numbers").select("component", (F.col("_i") + 1).cast("int").alias("label"))
     labels = materialize(parts.join(number, "component").select(F.col("node").alias("id"), "label"), "density-labels")
     border = near.join(labels.withColumnsRenamed({"id": "to", "label": "given"}), "to").groupBy(F.col("from").alias("id")).agg(F.min_by("given", "to").alias("given"))
