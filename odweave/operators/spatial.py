@@ -222,30 +222,3 @@ def matched_ends(points: DataFrame, group: str) -> DataFrame:
         return pd.DataFrame({group: pdf[group].iloc[0], "origin": o["id"].to_numpy(), "dest": d["id"].to_numpy()[at]})
 
     return points.select(F.col(group).cast("long").alias(group), "id", "type", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(group).applyInPandas(run, f"{group} long, origin long, dest long")
-
-
-def density_mode(x: np.ndarray, y: np.ndarray, grid: int = 50) -> tuple[float, float]:
-    """The place of highest Gaussian kernel density on a grid over the points; bandwidths are 0.9 * min(sd, IQR / 1.34) * n^-0.2."""
-
-    def width(a: np.ndarray) -> float:
-        sd = a.std(ddof=1) if len(a) > 1 else 0.0
-        q = np.subtract(*np.percentile(a, [75, 25])) / 1.34
-        return 0.9 * (min(sd, q) or sd or abs(a[0]) or 1.0) * len(a) ** -0.2
-
-    gx, gy = np.linspace(x.min(), x.max(), grid), np.linspace(y.min(), y.max(), grid)
-    kx = np.exp(-0.5 * ((gx[:, None] - x[None, :]) / width(x)) ** 2)
-    ky = np.exp(-0.5 * ((gy[:, None] - y[None, :]) / width(y)) ** 2)
-    i, j = np.unravel_index((kx @ ky.T).argmax(), (grid, grid))
-    return float(gx[i]), float(gy[j])
-
-
-def representative_lines(trips: DataFrame, cluster: str) -> DataFrame:
-    """Q5: (cluster, ox, oy, dx, dy) of the densest places of a cluster's origins and destinations."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = density_mode(pdf["ox"].to_numpy(float), pdf["oy"].to_numpy(float))
-        b = density_mode(pdf["dx"].to_numpy(float), pdf["dy"].to_numpy(float))
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "ox": a[0], "oy": a[1], "dx": b[0], "dy": b[1]})
-
-    rows = trips.select(F.col(cluster).cast("long").alias("cluster"), "ox", "oy", "dx", "dy")
-    return rows.groupBy("cluster").applyInPandas(run, "cluster long, ox double, oy double, dx double, dy double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.calendar import week_iso, week_simple, weekday_monday
-from ..operators import blocks, clusterers, distance, explore, knn, network, network_knn, snn, spatial, sweeps, synth, temporal, validation, validity
+from ..operators import blocks, clusterers, distance, explore, knn, modes, network, network_knn, snn, spatial, sweeps, synth, temporal, validation, validity
 from ..operators.components import connected_components
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
@@ -394,7 +394,8 @@ def central_lines(spark, d):  # noqa: ANN001, ANN201
 
 @query
 def representative_lines(spark, d):  # noqa: ANN001, ANN201
-    return spatial.representative_lines(fx.flows(spark, d), "truth")
+    got = modes.representative_lines(fx.flows(spark, d), "truth")
+    return got.select("cluster", *[F.round(c, 6).alias(c) for c in modes.AXES])
 
 
 @query

@@ -157,6 +157,20 @@ SELECT {k} AS k, {eps} AS eps, {minpts} AS minpts, round((SELECT ari FROM z), 9)
 
 _RK = ", ".join(f"({k}, {expected_ratio(k)!r}::DOUBLE)" for k in range(1, 20))
 
+def _mode(x: str, y: str, out: str) -> str:
+    """out(cluster, gx, gy): the densest of 50 x 50 places over the points (x, y) of each cluster."""
+    side = lambda c: f"min({c}) AS lo_{c}, max({c}) AS hi_{c}, coalesce(stddev_samp({c}), 0) AS sd_{c}, (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.34 AS q_{c}"
+    width = lambda c: f"0.9 * coalesce(nullif(least(sd_{c}, q_{c}), 0), nullif(sd_{c}, 0), nullif(abs(lo_{c}), 0), 1) * pow(n, -0.2) AS w_{c}"
+    kernel = lambda c, g: f"exp(-0.5 * pow(({g} - f.{c}) / w_{c}, 2))"
+    return f"""{out}_s AS (SELECT cluster, count(*)::DOUBLE AS n, {side(x)}, {side(y)} FROM fl GROUP BY cluster), {out}_w AS (SELECT *, {width(x)}, {width(y)} FROM {out}_s),
+{out}_g AS (SELECT w.*, i, j, lo_{x} + i * (hi_{x} - lo_{x}) / 49 AS gx, lo_{y} + j * (hi_{y} - lo_{y}) / 49 AS gy FROM {out}_w w, (SELECT unnest(range(50)) AS i), (SELECT unnest(range(50)) AS j)),
+{out}_d AS (SELECT g.cluster, i, j, any_value(gx) AS gx, any_value(gy) AS gy, sum({kernel(x, "gx")} * {kernel(y, "gy")}) AS p FROM {out}_g g JOIN fl f ON f.cluster = g.cluster GROUP BY g.cluster, i, j),
+{out} AS (SELECT cluster, gx, gy FROM {out}_d QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY p DESC, i, j) = 1)"""
+
+
+_MODES = f"""fl AS (SELECT truth AS cluster, ox::DOUBLE AS ox, oy::DOUBLE AS oy, dx::DOUBLE AS dx, dy::DOUBLE AS dy FROM flows), {_mode("ox", "oy", "mo")}, {_mode("dx", "dy", "md")}
+SELECT mo.cluster, round(mo.gx, 6) AS ox, round(mo.gy, 6) AS oy, round(md.gx, 6) AS dx, round(md.gy, 6) AS dy FROM mo JOIN md USING (cluster)"""
+
 ORACLES: dict[str, str] = {f"flow_pairs_{m}": f"WITH {_pairs(sql)} {_sum({'manhattan_exact': 3, 'direction': 4, 'euclid4d_norm': 3}.get(m))}" for m, sql in _MEASURES.items()}
 ORACLES |= {
     "flow_pairs_geom": f"WITH {_GEOM} {_sum(4)}",
@@ -234,6 +248,7 @@ SELECT distance_measure, clustering_type, min_cluster_size, round(avg((e * 3 % 1
     "flow_network_distance_squared": f"WITH {_FLOW_NET} SELECT i, j, no.d::BIGINT * no.d + ne.d::BIGINT * ne.d AS d FROM no JOIN ne USING (i, j)",
     "flow_network_distance_coalesced": f"WITH {_FLOW_NET}, pq AS (SELECT a.flow_id AS i, b.flow_id AS j FROM flows a JOIN flows b ON a.flow_id < b.flow_id), p AS (SELECT i, j, coalesce(no.d, 0) + coalesce(ne.d, 0) AS d FROM pq LEFT JOIN no USING (i, j) LEFT JOIN ne USING (i, j)) {_sum()}",
     "knn_flows_network": f"WITH {_FLOW_NET}, p AS (SELECT i, j, no.d + ne.d AS d FROM no JOIN ne USING (i, j)), {_near(K)} SELECT ref, nn, distance, rank::INT AS rank FROM k",
+    "representative_lines": f"WITH {_FLOWS}, {_MODES}",
     "snn_clusters_network": f"{_snn(_FLOW_NET + ', p AS (SELECT i, j, no.d + ne.d AS d FROM no JOIN ne USING (i, j))', _near(K), 3, 2)} SELECT id, cluster_pred FROM cl",
     "sampled_network_points": f"WITH {_GRID}, sp AS (SELECT id, x1, y1, x2, y2, unnest(range(5)) AS place FROM ge) SELECT row_number() OVER (ORDER BY id, place) AS id, id AS edge_id, round(x1 + place / 4 * (x2 - x1), 6) AS x, round(y1 + place / 4 * (y2 - y1), 6) AS y, round(place / 4 * 1000, 6) AS dist_to_start, round((1 - place / 4) * 1000, 6) AS dist_to_end FROM sp",
     "edge_clusters": f"""WITH {_FLOWS}, {_GRID}, {_ND}, {_POINTS}, {_snap('fq')}, og AS (SELECT fq.flow_id AS id, sn.* EXCLUDE (id) FROM sn JOIN fq USING (id) WHERE type = 'origin'),

@@ -3,20 +3,22 @@
 import duckdb
 import pytest
 
-from odweave.plans import catalogue, catalogue_hulls, catalogue_more
+from odweave.plans import catalogue, catalogue_hulls, catalogue_more, catalogue_streets, catalogue_sweeps
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.QUERIES | catalogue_more.QUERIES | catalogue_hulls.QUERIES, catalogue.ORACLES | catalogue_more.ORACLES | catalogue_hulls.ORACLES
-#: Each of these runs another query several times over.
-SLOW = {"snn_sweep", "measure_sweep"}
+MODULES = (catalogue, catalogue_more, catalogue_hulls, catalogue_streets, catalogue_sweeps)
+QUERIES, ORACLES = ({k: v for m in MODULES for k, v in getattr(m, name).items()} for name in ("QUERIES", "ORACLES"))
+#: These run another query several times over.
+SLOW = {"snn_sweep"}
+STREETS = ["street_components", "street_node_distances", "grown_networks_induced", "street_snap", "street_samples", "street_cuts", "extents_met", "points_in_extents", "notched_overlaps", "lines_as_text", "polygons_as_text", "sweep_labels"]
 CORE = ["snn_clusters", "knn_flows", "dbscan_flows", "snap_od_points", "flow_network_distance", "trips_per_date_complete", "rel_availability_profile", "internal_indices", "subset_windows", "dangling_edges", "cluster_stats", "flows_in_clusters", "knn_of_flows", "kdist_graph", "jarvis_patrick_flows", "silhouette_flows"]
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 110 and not set(catalogue.QUERIES) & set(catalogue_more.QUERIES)
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == sum(len(m.QUERIES) for m in MODULES) > 140
 
 
-@pytest.mark.parametrize("name", [*CORE, *sorted(set(catalogue_more.ORACLES) - SLOW), *catalogue_hulls.ORACLES])
+@pytest.mark.parametrize("name", [*CORE, *sorted(set(catalogue_more.ORACLES) - SLOW), *catalogue_hulls.ORACLES, *STREETS])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "labels", "region"):

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from odweave.operators import blocks, clusterers, distance, knn, network, snn, spatial, temporal, validation
+from odweave.operators import blocks, clusterers, distance, knn, modes, network, snn, spatial, temporal, validation
 from odweave.operators.components import connected_components
 from odweave.plans.skew import attach, grouped_prefix, ordered_index
 
@@ -150,8 +150,6 @@ def test_assignment_and_modes():
         at = spatial.assignment(c)
         assert len(set(at)) == 5
         assert sum(c[i, j] for i, j in enumerate(at)) == min(sum(c[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(6), 5))
-    x = np.concatenate([rng.normal(0, 1, 200), rng.normal(10, 0.2, 400)])
-    assert abs(spatial.density_mode(x, x)[0] - 10) < 1
 
 
 def test_hdbscan_and_lof(spark):
@@ -276,3 +274,31 @@ def test_lof_by_parts(spark, monkeypatch):
     monkeypatch.setattr(clusterers, "BROADCAST_GROUPS", 0)
     split = dict(rows(clusterers.lof(df, "id", "g", "x", "y"), "id", "lof"))
     assert whole[0] == 1.0 and set(whole) == set(split) and all(whole[i] == pytest.approx(split[i]) for i in whole)
+
+
+def test_modes_in_parts(spark):
+    """The densest places as found over whole clusters, however their rows are parted; one place, one row and nulls included."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, 60), rng.normal(10, 0.2, 120)]).round(3)
+    flows = [(1, float(a), float(b), float(c), 5.0) for a, b, c in zip(x, rng.permutation(x), x[::-1] * 2, strict=True)] + [(2, 3.0, 4.0, 5.0, 6.0)] * 3 + [(3, 0.0, 1.0, 0.0, -2.0), (4, None, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(flows, "c int, ox double, oy double, dx double, dy double")
+
+    def width(a):
+        sd, q = (a.std(ddof=1) if len(a) > 1 else 0.0), np.subtract(*np.percentile(a, [75, 25])) / 1.34
+        return 0.9 * (min(sd, q) or sd or abs(a[0]) or 1.0) * len(a) ** -0.2
+
+    def mode(a, b):
+        gx, gy = np.linspace(a.min(), a.max(), 50), np.linspace(b.min(), b.max(), 50)
+        d = np.exp(-0.5 * ((gx[:, None] - a) / width(a)) ** 2) @ np.exp(-0.5 * ((gy[:, None] - b) / width(b)) ** 2).T
+        i, j = np.unravel_index(d.argmax(), d.shape)
+        return gx[i], gy[j]
+
+    want = {}
+    for c in (1, 2, 3):
+        ox, oy, dx, dy = (np.array([f[i] for f in flows if f[0] == c]) for i in range(1, 5))
+        want[c] = (*mode(ox, oy), *mode(dx, dy))
+    for part in (16, 65_536):
+        got = {r.cluster: (r.ox, r.oy, r.dx, r.dy) for r in modes.representative_lines(df, "c", part=part).collect()}
+        assert got.keys() - want.keys() <= {None} and all(got[c] == pytest.approx(want[c]) for c in want)
