@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import closest, distance, end_point, fraction_on, line_length, rounded, start_point
-from ..plans.skew import grouped_prefix, ordered_index
+from ..plans.skew import attach, grouped_prefix, ordered_index
 from ..plans.storage import forget, materialize
 from . import grid, linear
 from .components import CHUNK, connected_components
@@ -19,6 +19,8 @@ from .components import CHUNK, connected_components
 BROADCAST_EDGES = 500_000
 #: Ids of edges that a chunk of a running sum spans.
 PREFIX_CHUNK = 65_536
+#: Points of an edge in one part.
+HOT = 2_048
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,26 +212,46 @@ def with_nodes(points: DataFrame, edges: DataFrame) -> DataFrame:
     return points.select("id", F.col("edge_id").alias("edge"), F.col("dist_to_start").cast("int").alias("s"), F.col("dist_to_end").cast("int").alias("e")).join(e, "edge")
 
 
+def edge_ways(used: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(edge_i, edge_j, ss, tt, st, ts) of used(edge, src, tgt): distances between the ends of two edges of which all four are in nodes(source, target, m); an edge and itself need none."""
+    a, b = (used.select(*[F.col(c).alias(f"{c}_{s}") for c in ("edge", "src", "tgt")]) for s in ("i", "j"))
+    hop = lambda u, v, name: nodes.select(F.col("source").alias(u), F.col("target").alias(v), F.col("m").alias(name))
+    far = a.join(hop("src_i", "src_j", "ss"), "src_i").join(b, "src_j").filter("edge_i <> edge_j")
+    for u, v, name in (("tgt_i", "tgt_j", "tt"), ("src_i", "tgt_j", "st"), ("tgt_i", "src_j", "ts")):
+        far = far.join(hop(u, v, name), [u, v])
+    ways = ("ss", "tt", "st", "ts")
+    kind = dict(nodes.dtypes)["m"]
+    same = used.select(F.col("edge").alias("edge_i"), F.col("edge").alias("edge_j"), *[F.lit(None).cast(kind).alias(w) for w in ways])
+    return far.select("edge_i", "edge_j", *ways).unionByName(same)
+
+
+def _dealt(points: DataFrame) -> DataFrame:
+    """points with `part`: those of an edge that holds more than HOT of them are dealt into parts, so that no two groups that meet make more than HOT * HOT pairs."""
+    counts = points.groupBy("edge").agg(F.count("*").alias("n")).withColumn("_parts", F.ceil(F.col("n") / HOT).cast("int"))
+    return attach(points, counts, "edge", "n", F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+
+
 def point_distances(points: DataFrame, nodes: DataFrame, other: DataFrame | None = None, squared: bool = False) -> DataFrame:
-    """(i, j, d) along the network, from with_nodes() points and node distances.
+    """(i, j, d) along the network, from with_nodes() points and node distances.
 
     On one edge the difference of their distances to its start; else the shortest of the four ways by their
     edges' ends. Pairs for which one of the four node distances is missing go. With one table i < j; with
     `other` all of points against all of other, save equal ids. squared: squares of these.
+    The four distances are found once for each two edges, and points meet by their edges, those of crowded edges in parts.
     """
-    a = points.select(*[F.col(c).alias(f"{c}_i") for c in ("id", "edge", "s", "e", "src", "tgt")])
-    b = (points if other is None else other).select(*[F.col(c).alias(f"{c}_j") for c in ("id", "edge", "s", "e", "src", "tgt")])
-    keep = F.col("id_i") < F.col("id_j") if other is None else F.col("id_i") != F.col("id_j")
-    same = a.join(b, F.col("edge_i") == F.col("edge_j")).filter(keep).select(F.col("id_i").alias("i"), F.col("id_j").alias("j"), F.abs(F.col("s_j") - F.col("s_i")).alias("d"))
-    hop = lambda u, v, name: nodes.select(F.col("source").alias(u), F.col("target").alias(v), F.col("m").alias(name))
-    # The reach of a point's start node gives its candidates; so pairs out of reach are never made.
-    reach = a.join(hop("src_i", "src_j", "ss"), "src_i").join(b, "src_j").filter(keep & (F.col("edge_i") != F.col("edge_j")))
-    for u, v, name in (("tgt_i", "tgt_j", "tt"), ("src_i", "tgt_j", "st"), ("tgt_i", "src_j", "ts")):
-        reach = reach.join(hop(u, v, name), [u, v])
+    fields = ("id", "edge", "s", "e", "src", "tgt")
+    a = materialize(_dealt(points.select(*fields)), "point-parts")
+    b = a if other is None else materialize(_dealt(other.select(*fields)), "point-parts")
+    used = a.select("edge", "src", "tgt").unionByName(b.select("edge", "src", "tgt")).distinct()
+    held = lambda t, s: t.groupBy(F.col("edge").alias(f"edge_{s}")).agg(F.collect_set("part").alias(f"_p{s}"))
+    ways = edge_ways(materialize(used, "point-edges"), nodes).join(held(a, "i"), "edge_i").join(held(b, "j"), "edge_j")
+    ways = ways.withColumn("part_i", F.explode("_pi")).withColumn("part_j", F.explode("_pj")).drop("_pi", "_pj")
+    side = lambda t, s: t.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "edge", "part", "s", "e")])
+    met = side(a, "i").join(ways, ["edge_i", "part_i"]).join(side(b, "j"), ["edge_j", "part_j"])
+    met = met.filter(F.col("id_i") < F.col("id_j") if other is None else F.col("id_i") != F.col("id_j"))
     c = F.col
-    ways = [c("s_i") + c("s_j") + c("ss"), c("e_i") + c("e_j") + c("tt"), c("s_i") + c("e_j") + c("st"), c("e_i") + c("s_j") + c("ts")]
-    far = reach.select(c("id_i").alias("i"), c("id_j").alias("j"), F.least(*ways).alias("d"))
-    out = same.unionByName(far)
+    over = F.least(c("s_i") + c("s_j") + c("ss"), c("e_i") + c("e_j") + c("tt"), c("s_i") + c("e_j") + c("st"), c("e_i") + c("s_j") + c("ts"))
+    out = met.select(c("id_i").alias("i"), c("id_j").alias("j"), F.when(c("ss").isNull(), F.abs(c("s_j") - c("s_i"))).otherwise(over).alias("d"))
     return out.withColumn("d", F.col("d").cast("long") * F.col("d")) if squared else out
 
 

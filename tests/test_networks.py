@@ -109,3 +109,30 @@ def test_grown_networks(spark):
                 name = [name[i] if n == name[j] else n for n in name]
         assert sum(weight[e] for e in laid - mine) <= tree
     assert network_growth.grown_networks(edges, spark.createDataFrame([], "cluster long, source long, target long")).count() == 0
+
+
+def test_crowded_edges(spark, monkeypatch):
+    """Points of one edge meet in parts: the same pairs, with one table and with two."""
+    rnd = random.Random(9)
+    net = [(1, 1, 2, 50), (2, 2, 3, 30), (3, 3, 1, 40), (4, 3, 4, 20), (5, 8, 9, 10)]
+    edges = spark.createDataFrame(net, "id long, source long, target long, m int")
+    length = {e: m for e, _, _, m in net}
+    on = [(i, e := (2 if i % 2 else rnd.choice(net)[0]), s := rnd.randrange(length[e] + 1), length[e] - s) for i in range(50)]
+    points = network.with_nodes(spark.createDataFrame(on, "id long, edge_id long, dist_to_start int, dist_to_end int"), edges).persist()
+    nodes = network.node_distances(edges, 100).persist()
+    between = {(r.source, r.target): r.m for r in nodes.collect()}
+    ends = {e: (a, b) for e, a, b, _ in net}
+
+    def far(p, q):
+        (_, e, s, t), (_, f, u, v) = p, q
+        if e == f:
+            return abs(s - u)
+        ways = [between.get(k) for k in itertools.product(ends[e], ends[f])]
+        return None if None in ways else min(w + x + y for w, (x, y) in zip(ways, itertools.product((s, t), (u, v)), strict=True))
+
+    want = sorted((p[0], q[0], far(p, q)) for p in on for q in on if p[0] < q[0] and far(p, q) is not None)
+    for hot in (4, 2048):
+        monkeypatch.setattr(network, "HOT", hot)
+        assert rows(network.point_distances(points, nodes), "i", "j", "d") == want
+    got = rows(network.point_distances(points.filter("id < 9"), nodes, points), "i", "j", "d")
+    assert got == sorted((p[0], q[0], far(p, q)) for p in on[:9] for q in on if p[0] != q[0] and far(p, q) is not None)
