@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from .components import CHUNK, connected_components
 BROADCAST_EDGES = 500_000
 #: Ids of edges that a chunk of a running sum spans.
 PREFIX_CHUNK = 65_536
+#: Rows of searches that are given back at a time.
+SEARCHED = 1_000_000
 #: Points of an edge in one part.
 HOT = 2_048
 
@@ -49,31 +52,65 @@ def node_distances(edges: DataFrame, cutoff: float, weight: str = "m", broadcast
     return _by_relaxing(near, cutoff)
 
 
+def _sent(near: DataFrame):  # noqa: ANN202
+    """The adjacency (as many rows as the caller checked) as three sorted arrays, broadcast: 24 bytes an edge and way."""
+    rows = near.select("u", "v", "w").toArrow()
+    u, v, w = (rows.column(c).to_numpy() for c in ("u", "v", "w"))
+    order = np.lexsort((v, u))
+    return near.sparkSession.sparkContext.broadcast((u[order], v[order], w[order]))
+
+
+def _graph(arrays: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[int, list[tuple[int, float]]]:
+    """Node -> its neighbours and their distances, made where a task searches."""
+    u, v, w = arrays
+    nodes, start = np.unique(u, return_index=True)
+    near = list(zip(v.tolist(), w.tolist(), strict=True))
+    ends = [*start[1:].tolist(), len(near)]
+    return {n: near[a:b] for n, a, b in zip(nodes.tolist(), start.tolist(), ends, strict=True)}
+
+
+def _within(graph: dict[int, list[tuple[int, float]]], start: int, cutoff: float) -> dict[int, float]:
+    """Node -> length of the shortest path from start, of those within the cutoff."""
+    best, heap, done = {start: 0.0}, [(0.0, start)], {}
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done[u] = d
+        for v, w in graph.get(u, ()):
+            if d + w <= cutoff and d + w < best.get(v, float("inf")):
+                best[v] = d + w
+                heapq.heappush(heap, (d + w, v))
+    return done
+
+
 def _by_search(near: DataFrame, cutoff: float) -> DataFrame:
-    graph: dict[int, list[tuple[int, float]]] = {}
-    for r in near.collect():  # as many as the caller checked
-        graph.setdefault(r.u, []).append((r.v, r.w))
-    sent = near.sparkSession.sparkContext.broadcast(graph)
+    sent = _sent(near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = sent.value
+        graph, held, size = _graph(sent.value), [], 0
         for pdf in batches:
-            for s in pdf["u"]:
-                best, heap, done = {s: 0.0}, [(0.0, s)], {}
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if u in done:
-                        continue
-                    done[u] = d
-                    for v, w in g.get(u, ()):
-                        if d + w <= cutoff and d + w < best.get(v, float("inf")):
-                            best[v] = d + w
-                            heapq.heappush(heap, (d + w, v))
-                yield pd.DataFrame({"source": s, "target": list(done), "m": [round(x) for x in done.values()]})
+            for s in pdf["u"].tolist():
+                found = _within(graph, s, cutoff)
+                held.append((s, found))
+                size += len(found)
+                if size >= SEARCHED:
+                    yield _frame(held)
+                    held, size = [], 0
+        if held:
+            yield _frame(held)
 
     return near.select("u").distinct().mapInPandas(run, "source long, target long, m int")
 
 
+def _frame(held: list[tuple[int, dict[int, float]]]) -> pd.DataFrame:
+    """Searches as rows; lengths are rounded half-even."""
+    source = np.repeat([s for s, _ in held], [len(f) for _, f in held])
+    target = np.fromiter((t for _, f in held for t in f), np.int64, len(source))
+    m = np.fromiter((d for _, f in held for d in f.values()), float, len(source))
+    return pd.DataFrame({"source": source, "target": target, "m": np.rint(m).astype("int32")})
+
+
 def _by_relaxing(near: DataFrame, cutoff: float) -> DataFrame:
     """Shortest paths by joins: each round extends the paths that the last one improved."""
     known = materialize(near.select(F.col("u").alias("source"), F.col("u").alias("target")).distinct().withColumn("d", F.lit(0.0)), "network-paths")
@@ -106,14 +143,12 @@ def shortest_paths(edges: DataFrame, wanted: DataFrame, weight: str = "m", broad
     near = _adjacent(edges, weight)
     if near.count() > 2 * broadcast_edges:
         raise ValueError("the network is too large to search whole; cut it down by components or extent first")
-    graph: dict[int, list[tuple[int, float]]] = {}
-    for r in near.collect():
-        graph.setdefault(r.u, []).append((r.v, r.w))
-    sent = edges.sparkSession.sparkContext.broadcast(graph)
+    sent = _sent(near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = _graph(sent.value)
         for pdf in batches:
-            rows = [(a, b, *p) for a, b in zip(pdf["start"], pdf["stop"], strict=True) if (p := path_between(sent.value, a, b))]
+            rows = [(a, b, *p) for a, b in zip(pdf["start"].tolist(), pdf["stop"].tolist(), strict=True) if (p := path_between(graph, a, b))]
             yield pd.DataFrame(rows, columns=["start", "stop", "m", "nodes"])
 
     return wanted.select("start", "stop").mapInPandas(run, "start long, stop long, m double, nodes array<long>")
