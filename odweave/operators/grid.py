@@ -1,9 +1,9 @@
 """Extents of any size met in grid cells: each is filed at the level of its own size.
 
-The cells of level L are 2^L wide. An extent's own level is that whose cells are at least as wide as its longer side,
-so it meets at most four of them, however large it is. Two extents meet at the coarser of their two levels: each is
+The cells of level L are 2^L wide. An extent's own level is that whose cells are at least half as wide as its longer
+side, so it meets at most nine of them, however large it is. Two extents meet at the coarser of their two levels: each is
 filed at its own level and looks into those above it that the other table uses. So rows for each extent are bounded
-by four times the number of levels, which is the number of powers of two between the smallest and the largest size.
+by nine times the number of levels, which is the number of powers of two between the smallest and the largest size.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def box(x_min: Column, y_min: Column, x_max: Column, y_max: Column) -> Column:
 
 def level_of(extent: Column) -> Column:
     side = F.greatest(extent["x_max"] - extent["x_min"], extent["y_max"] - extent["y_min"])
-    return F.when(side > 2.0**FINEST, F.ceil(F.log2(side))).otherwise(F.lit(FINEST)).cast("int")
+    return F.when(side > 2.0**FINEST, F.ceil(F.log2(side)) - 1).otherwise(F.lit(FINEST)).cast("int")
 
 
 def levels(rows: DataFrame, extent: Column) -> list[int]:

@@ -23,6 +23,10 @@ def segments(edges: DataFrame) -> DataFrame:
 
     Null lines and those of fewer than two points have none. Segments of no length stay.
     """
+    if "line" not in edges.columns:  # one segment each
+        ends = edges.select(F.col("id").alias("edge_id"), F.lit(0).alias("seq"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+        m = distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+        return ends.withColumns({"to_m": m, "from_m": F.lit(0.0), "total": m})
     own = edges.select(F.col("id").alias("edge_id"), line_of(edges).alias("_line")).filter(F.size("_line") > 1)
     pairs = F.zip_with(F.slice("_line", 1, F.size("_line") - 1), F.slice("_line", 2, F.size("_line") - 1), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
     rows = own.select("edge_id", F.posexplode(pairs).alias("seq", "s")).select("edge_id", "seq", "s.*").withColumn("_m", distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))

@@ -207,7 +207,8 @@ def snap(points: DataFrame, edges: DataFrame, radius: float = 500.0, extent: flo
     sizes; points without an edge within the radius are tried again with a radius eight times as large, until
     `extent`. So each point compares the segments near it, an edge of any length has few rows, and the result is exact.
     """
-    seg = materialize(linear.segments(edges), "snap-segments")
+    seg = linear.segments(edges)
+    seg = materialize(seg, "snap-segments") if "line" in edges.columns else seg
     left, out = points.select("id", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL"), None
     c = F.col
     while radius <= extent:
@@ -260,10 +261,18 @@ def edge_ways(used: DataFrame, nodes: DataFrame) -> DataFrame:
     return far.select("edge_i", "edge_j", *ways).unionByName(same)
 
 
-def _dealt(points: DataFrame) -> DataFrame:
-    """points with `part`: those of an edge that holds more than HOT of them are dealt into parts, so that no two groups that meet make more than HOT * HOT pairs."""
-    counts = points.groupBy("edge").agg(F.count("*").alias("n")).withColumn("_parts", F.ceil(F.col("n") / HOT).cast("int"))
-    return attach(points, counts, "edge", "n", F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+def _crowds(points: DataFrame) -> DataFrame:
+    """(edge, src, tgt, n, parts) of the edges that hold points: those of more than HOT points have several parts."""
+    own = points.groupBy("edge").agg(F.min("src").alias("src"), F.min("tgt").alias("tgt"), F.count("*").alias("n"))
+    return materialize(own.withColumn("parts", F.ceil(F.col("n") / HOT).cast("int")), "point-edges")
+
+
+def _dealt(points: DataFrame, crowds: DataFrame) -> DataFrame:
+    """points with `part`: those of a crowded edge are dealt into parts, so that no two groups that meet make more than HOT * HOT pairs."""
+    if crowds.filter("parts > 1").isEmpty():
+        return points.withColumn("part", F.lit(0))
+    counts = crowds.select("edge", "n", "parts")
+    return materialize(attach(points, counts, "edge", "n", F.xxhash64("id")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "point-parts")
 
 
 def point_distances(points: DataFrame, nodes: DataFrame, other: DataFrame | None = None, squared: bool = False) -> DataFrame:
@@ -275,12 +284,12 @@ def point_distances(points: DataFrame, nodes: DataFrame, other: DataFrame | None
     The four distances are found once for each two edges, and points meet by their edges, those of crowded edges in parts.
     """
     fields = ("id", "edge", "s", "e", "src", "tgt")
-    a = materialize(_dealt(points.select(*fields)), "point-parts")
-    b = a if other is None else materialize(_dealt(other.select(*fields)), "point-parts")
-    used = a.select("edge", "src", "tgt").unionByName(b.select("edge", "src", "tgt")).distinct()
-    held = lambda t, s: t.groupBy(F.col("edge").alias(f"edge_{s}")).agg(F.collect_set("part").alias(f"_p{s}"))
-    ways = edge_ways(materialize(used, "point-edges"), nodes).join(held(a, "i"), "edge_i").join(held(b, "j"), "edge_j")
-    ways = ways.withColumn("part_i", F.explode("_pi")).withColumn("part_j", F.explode("_pj")).drop("_pi", "_pj")
+    held_a = _crowds(points)
+    a, held_b = _dealt(points.select(*fields), held_a), held_a if other is None else _crowds(other)
+    b = a if other is None else _dealt(other.select(*fields), held_b)
+    used = held_a.select("edge", "src", "tgt") if other is None else held_a.select("edge", "src", "tgt").unionByName(held_b.select("edge", "src", "tgt")).distinct()
+    held = lambda t, s: t.select(F.col("edge").alias(f"edge_{s}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{s}"))
+    ways = edge_ways(used, nodes).join(held(held_a, "i"), "edge_i").join(held(held_b, "j"), "edge_j")
     side = lambda t, s: t.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "edge", "part", "s", "e")])
     met = side(a, "i").join(ways, ["edge_i", "part_i"]).join(side(b, "j"), ["edge_j", "part_j"])
     met = met.filter(F.col("id_i") < F.col("id_j") if other is None else F.col("id_i") != F.col("id_j"))
