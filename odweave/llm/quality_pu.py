@@ -12,6 +12,7 @@ no languages, no names.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = SAMPLE_LABELLED, u
     Positives are documents with label 1, at most `labelled` of them; the unlabelled texts are drawn from all
     documents, about `unlabelled`. Both samples are by hash, so reruns agree, and their features are gathered.
     Rows of null doc_id or quality label nothing; a document labelled both 1 and 0 counts as labelled 1; null texts have
-    the features 0; repeated documents are drawn together. Without a positive or without texts (empty tables)
+    the features 0; rows of one id are drawn together. Where ids repeat so often that more than 2 * (labelled + unlabelled)
+    rows are drawn, so many of them are taken by a hash of id and text, and a warning is logged. Without a positive or without texts (empty tables)
     the model scores everything 0.5. Other columns are ignored.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
@@ -172,7 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = SAMPLE_LABELLED, u
     picked = good.filter(draw("_id", F.lit(seed)) < 0.9 * labelled / max(1, n)).orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"), "left")
     rows = rows.withColumn("_u", draw("doc_id", "text", F.lit(seed + 1)) < 0.9 * unlabelled / max(1, n_docs)).filter(F.col("_id").isNotNull() | F.col("_u"))
-    got = rows.select("doc_id", F.col("_id").isNotNull().alias("_p"), "_u", _feature_rows(F.col("text")).alias("x")).orderBy("doc_id", "x").limit(2 * labelled + 2 * unlabelled).collect()
+    bound = 2 * labelled + 2 * unlabelled
+    found = rows.select("doc_id", F.col("_id").isNotNull().alias("_p"), "_u", F.xxhash64("doc_id", "text", F.lit(seed + 2)).alias("_h"), _feature_rows(F.col("text")).alias("x"))
+    got = found.orderBy("_h", "doc_id").limit(bound + 1).collect()
+    if len(got) > bound:
+        got.pop()
+        logging.getLogger(__name__).warning("more than %d rows were drawn, as documents repeat ids; the model learns from %d of them, by hash", bound, bound)
+    got.sort(key=lambda r: (r.doc_id is not None, 0 if r.doc_id is None else r.doc_id, r.x))
     x = np.array([r.x for r in got]) if got else np.zeros((0, N_FEATURES))
     p, u = (np.array([bool(r[c]) for r in got], bool) for c in ("_p", "_u"))
     if not p.any():

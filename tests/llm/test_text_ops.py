@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,19 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><
 <!-- no --><table><tr><td>c1<td>c2</table><section id="comments"><p>nice!</p></section></article><div class="sidebar">side</div><footer>foot</footer></body></html>"""
 
 
+def test_long_conversation(spark):
+    """Thousands of turns of null ids, with characters of one to four bytes and empty texts, come back whole and in time."""
+    said = lambda i: ["", "é</s>", "日本 \\~", "\U0001f600" * 3, "plain " * 15][i % 5]
+    rows = [(None, i, "assistant" if i % 3 else "user", said(i)) for i in range(9_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_conversations(df.select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts")))
+    start = time.time()
+    got = out.select("n_turns", chat_format.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()
+    assert len(got) == 1 and got[0].n_turns == 9_000 and got[0].loss == "".join(said(i) for i in range(9_000) if i % 3) and time.time() - start < 15
+    none = spark.range(1).select(F.lit("abc").alias("f"), F.array().cast("array<struct<n_chars:int,in_loss:boolean>>").alias("m"))
+    assert none.select(chat_format.loss_text(F.col("f"), F.col("m")).alias("s")).first().s == ""
+
+
 def test_html():
     assert html_extract.extract_text(PAGE) == "Title <x> One boldly two Three © &am 4 < 5 c1 c2"
     for empty in (None, "", "<html></html>", "<!-- only", "<nav>menu</nav>"):
@@ -274,6 +288,19 @@ def test_quality(spark):
     assert docs.limit(5).select(quality_pu.score(F.col("text"), flat).alias("s")).first().s == pytest.approx(0.5)
 
 
+def test_repeated_ids_beyond_the_sample(spark, caplog):
+    """An id picked as positive whose rows exceed the bound: the rows of larger ids are still learned from, and the cut is logged."""
+    good, bad = "A clear sentence about rivers and their towns. " * 6, "$$ !! 00 ## " * 20
+    rows = [(1, f"{good}{i}") for i in range(1500)] + [(i, (good if i % 2 else bad) + str(i)) for i in range(2, 202)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 202, 2)], "doc_id long, quality int")
+    caplog.set_level("WARNING")
+    model = quality_pu.train(docs, labels, labelled=200, unlabelled=200)
+    assert "more than 800 rows" in caplog.text
+    s = {r.doc_id: r.s for r in docs.filter("doc_id > 1").select("doc_id", quality_pu.score(F.col("text"), model).alias("s")).collect()}
+    assert min(v for k, v in s.items() if k % 2) > max(v for k, v in s.items() if k % 2 == 0)
+
+
 def test_risk_and_prior_of_known_densities():
     """Two normal densities: the learned score is near the true posterior, its risk near the least, and the prior near the true one."""
     import numpy as np
