@@ -7,10 +7,11 @@
 3. NN-descent over the leaders: neighbour lists start from windows of several cross-polytope orders,
    more of them the more leaders there are, and are refined by comparing the neighbours of each node with
    each other. A list that holds links only is saturated and grows.
-4. The recall of links is audited twice: for a sample of nodes against all nodes, and by fresh orders,
-   whose links should be known already. Both count links. While too few of them are known, what the fresh
-   orders found is added, with more orders and another descent; after TRIES of that, all leaders are compared
-   with all, block by block, which loses nothing.
+4. The recall of links is audited twice: for a sample of nodes against all nodes, which counts the links that
+   the table has, and by vectors planted at the very threshold beside a sample of leaders, which go through
+   orders and descent with the rest; so recall is measured whether or not the table has links. While too few
+   are known, fresh orders are added and another descent follows; after TRIES of that, or where nothing could
+   be planted, all leaders are compared with all, block by block, which loses nothing.
 5. Pairs of balls are settled in double precision: all linked, none linked, or, in between, by blocks of members.
 """
 
@@ -36,9 +37,9 @@ THRESHOLD = 0.9
 #: Neighbours in a list that isn't saturated; rows of a window; neighbours compared with each other at a time.
 LIST, WINDOW, BLOCK = 10, 256, 64
 #: The orders that fill lists (all orders give links), and the share of links that orders alone may miss.
-FILLING, MISS = 2, 0.01
-#: Rounds of NN-descent; nodes audited (a fixed number, not a share); fresh orders of an audit; the recall they must show; tries.
-ROUNDS, AUDITED, FRESH, RECALL, TRIES = 2, 4096, 4, 0.995, 3
+FILLING, MISS = 2, 0.002
+#: Rounds of NN-descent; nodes audited and links planted (fixed numbers, not shares); fresh orders after a failed audit; the recall that audits must show; tries.
+ROUNDS, AUDITED, PLANTED, FRESH, RECALL, TRIES = 2, 4096, 2048, 4, 0.995, 3
 #: Directions and symbols of an order's code. Wider vectors are projected to as many dimensions first.
 DIMENSIONS, SYMBOLS = 64, 3
 #: Similarities in the graph are of half-precision vectors; this is more than they can be off.
@@ -277,10 +278,11 @@ def _from_windows(balls: DataFrame, link: float, size: int, orders: range, filli
 
 
 def _lists(edges: DataFrame, size: int) -> DataFrame:
-    """(v, near): the nearest of each node, best first: `size` of them; if those are links only, all links and `size` more."""
+    """(v, near): links of each node first, then the nearest: `size` of them; if those are links only, all links and `size` more."""
     best = edges.filter("v <> n").groupBy("v", "n").agg(F.max("sim").alias("sim"), F.max("lim").alias("lim"))
-    rows = best.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("sim", "n", "lim")), asc=False).alias("near"))
-    links = F.size(F.filter("near", lambda e: e["sim"] >= e["lim"]))
+    # Links come first: that of a large ball may be less similar than a neighbour that is none.
+    rows = best.groupBy("v").agg(F.sort_array(F.collect_list(F.struct((F.col("sim") >= F.col("lim")).alias("link"), "sim", "n", "lim")), asc=False).alias("near"))
+    links = F.size(F.filter("near", lambda e: e["link"]))
     return rows.select("v", F.slice("near", F.lit(1), F.when(links >= size, links + size).otherwise(F.lit(size))).alias("near"))
 
 
@@ -298,7 +300,7 @@ def _descend(lists: DataFrame, balls: DataFrame, link: float, turn: int) -> Data
     both = materialize(e.unionByName(e.select(F.col("n").alias("v"), F.col("v").alias("n"))).distinct(), "embed-both")
     blocks = both.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     dealt = both.join(blocks, "v").select("v", "n", F.pmod(F.xxhash64("n", F.lit(turn)), F.col("k")).alias("k"))
-    floor = lists.select(F.col("v").alias("n"), F.element_at("near", -1)["sim"].alias("floor"))
+    floor = lists.select(F.col("v").alias("n"), F.array_min("near.sim").alias("floor"))
     known = balls.select(F.col("bid").alias("n"), "half", F.col("radius").cast("float").alias("radius")).join(floor, "n", "left")
     sent = dealt.join(known, "n")
     one = F.struct("n", "half", "radius", F.coalesce("floor", F.lit(-1.0).cast("float")).alias("floor"))
@@ -361,15 +363,31 @@ def _known(links: DataFrame, lists: DataFrame) -> tuple[int, int]:
     return n, ok or 0
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, size: int = LIST, miss: float = MISS, audited: int = AUDITED, recall: float = RECALL, tries: int = TRIES) -> DataFrame:
+def _plants(balls: DataFrame, units: DataFrame, link: float, planted: int) -> DataFrame:
+    """(bid, unit) of vectors at the linking angle from `planted` leaders by hash, in directions drawn for each; their ids are below zero, -1 less the leader's. Vectors of one dimension have none at that angle."""
+    picked = balls.filter("dim > 1").select("bid").orderBy(F.xxhash64("bid", F.lit(_SEED + 1)), "bid").limit(planted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for bid, x in zip(pdf["bid"], pdf["unit"], strict=True):
+                y = np.random.default_rng([_SEED, bid]).standard_normal(len(x))
+                y -= (y @ x) * x
+                out.append(math.cos(link - 1e-9) * x + math.sin(link - 1e-9) * y / np.sqrt(y @ y))
+            yield pd.DataFrame({"bid": -1 - pdf["bid"], "unit": out})
+
+    return picked.join(units, "bid").select("bid", "unit").mapInPandas(run, "bid long, unit array<double>")
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, size: int = LIST, miss: float = MISS, audited: int = AUDITED, planted: int = PLANTED, recall: float = RECALL, tries: int = TRIES) -> DataFrame:
     """One row per vector: key, n_links (other vectors of cosine >= threshold), component_id (smallest key reachable) and kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths with each other; equal vectors link. Rows are told apart even if they
     repeat a key; a null key counts as a vector but names no component. An empty table gives no rows;
     other columns are ignored. Needs threshold >= 0.5. The result's attribute `audit` lists, for each audit, how many
-    links were checked and how many of them the graph held; no links checked means that recall was not measured,
-    and then what holds is `miss`, the probability with which the orders alone miss a pair at the threshold.
+    links were checked and how many of them the graph held: links of a sample of nodes (none where they have
+    none), then planted ones. Where none could be planted, recall isn't measured and the exact way runs.
     """
     link = math.acos(threshold)
     half = link / 2 - 1e-4
@@ -378,7 +396,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "embed-classes")
     n = classes.count()
     orders = orders_for(n, miss)
-    coded = materialize(_codes(classes, range(orders + FRESH), ["cid"]), "embed-codes")
+    coded = materialize(_codes(classes, range(orders), ["cid"]), "embed-codes")
 
     members = materialize(_balls(coded.join(classes.select("cid", "unit"), "cid"), n, half), "embed-members")
     # A leader's members are few enough for one task only by chance, so the leaders' vectors are joined as hot keys are.
@@ -390,34 +408,40 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     radii = member.groupBy("bid").agg(F.max("angle").alias("radius"), F.sum("mult").alias("weight"), F.count("*").alias("n"))
     balls = materialize(radii.join(coded.withColumnRenamed("cid", "bid"), "bid"), "embed-balls")
 
-    links, audit = _neighbour_graph(balls, classes, link, size, orders, audited, recall, tries)
+    links, audit = _neighbour_graph(balls, classes, link, size, orders, audited, planted, recall, tries)
     out = _settle(rows, classes, member, balls, links, threshold, link, key)
     out.audit = audit
     return out
 
 
-def _neighbour_graph(balls: DataFrame, classes: DataFrame, link: float, size: int, orders: int, audited: int, recall: float, tries: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+def _neighbour_graph(balls: DataFrame, classes: DataFrame, link: float, size: int, orders: int, audited: int, planted: int, recall: float, tries: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Edges (v, n, sim, lim) that hold the links between balls, and the audits' counts of links checked and known."""
-    lists = materialize(_lists(_from_windows(balls, link, size, range(orders), FILLING), size), "embed-lists")
-    picked = balls.orderBy(F.xxhash64("bid", F.lit(_SEED)), "bid").limit(audited)
-    checked = materialize(_against_all(balls, picked, link), "embed-audit")
+    units = classes.select(F.col("cid").alias("bid"), "unit")
+    plants = materialize(_plants(balls, units, link, planted), "embed-plants")
+    beside = plants.select("bid", F.expr("-1 - bid").alias("n"))
+    single = _codes(plants, range(orders), ["bid"]).select("bid", F.lit(0.0).alias("radius"), "dim", "half", "codes")
+    nodes = balls.select("bid", "radius", "dim", "half", "codes").unionByName(materialize(single, "embed-planted"))
+    real = lambda edges: edges.filter("v >= 0 AND n >= 0")
+    lists = materialize(_lists(_from_windows(nodes, link, size, range(orders), FILLING), size), "embed-lists")
     audit: list[tuple[int, int]] = []
     for i in range(tries):
+        if i > 0:  # what the last audit found, and what fresh orders find
+            again = nodes.select("bid", "radius").join(units.unionByName(plants), "bid")
+            anew = materialize(_codes(again, range(orders + FRESH * (i - 1), orders + FRESH * i), ["bid", "radius"]), "embed-codes")
+            more = _listed(lists).unionByName(checked).unionByName(_from_windows(anew, link, size, range(FRESH), 0))
+            lists = materialize(_lists(more, size), "embed-lists")
         for k in range(ROUNDS):
-            after = materialize(_lists(_listed(lists).unionByName(_descend(lists, balls, link, i * ROUNDS + k)), size), "embed-lists")
+            after = materialize(_lists(_listed(lists).unionByName(_descend(lists, nodes, link, i * ROUNDS + k)), size), "embed-lists")
             forget(lists)
             lists = after
-        if i == 0:
-            anew, turns = balls, range(orders, orders + FRESH)
-        else:
-            again = balls.select("bid", "radius").join(classes.select(F.col("cid").alias("bid"), "unit"), "bid")
-            anew, turns = materialize(_codes(again, range(orders + FRESH * i, orders + FRESH * (i + 1)), ["bid", "radius"]), "embed-codes"), range(FRESH)
-        fresh = materialize(_from_windows(anew, link, size, turns, 0), "embed-fresh")
-        counts = [_known(checked, lists), _known(fresh, lists)]
+        picked = balls.orderBy(F.xxhash64("bid", F.lit(_SEED + i)), "bid").limit(audited)  # other nodes each time
+        checked = materialize(_against_all(balls, picked, link), "embed-audit")
+        counts = [_known(checked, lists), _known(beside.withColumnRenamed("bid", "v"), lists)]
         audit += counts
-        lists = materialize(_lists(_listed(lists).unionByName(checked).unionByName(fresh), size), "embed-lists")
+        if not counts[-1][0]:
+            break
         if all(known >= recall * n for n, known in counts):
-            return _listed(lists), audit
+            return real(_listed(lists).unionByName(checked)), audit
     every = None
     n = balls.count()
     turn = F.pmod(F.xxhash64("bid", F.lit(1)), F.lit(max(1, -(-n // EXACT))))
