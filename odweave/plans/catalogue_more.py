@@ -13,6 +13,7 @@ from ..sources import fixtures as fx
 from ..sources import readers, sinks
 from . import oracles as o
 from .catalogue import K, SWEEP, _knn, _on_network, _pairs, _truth
+from .skew import ordered_index
 from .storage import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +288,16 @@ def cluster_matching_table(spark, d):  # noqa: ANN001, ANN201
 
     n = fx.trips(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
     return spatial.matching_table(cluster_matching(spark, d), n, n)
+
+
+@query("""SELECT vec_id, len(embedding) AS n, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most,
+       row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64""")
+def matrix_round_trip(spark, d):  # noqa: ANN001, ANN201
+    """All vectors with their ids as .npy matrices, written in parts in the order of ids and read back by ranges of rows."""
+    root = scratch_path(spark, "matrices")
+    rows = fx.table(spark, d, "embeddings").filter("size(embedding) = 64 AND NOT exists(embedding, x -> x IS NULL)")
+    whole = F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>"))
+    sinks.write_vectors(rows.repartitionByRange(8, "vec_id").sortWithinPartitions("vec_id").select(whole.alias("vector")), root)
+    got = ordered_index(readers.read_vectors(spark, root), [F.col("path"), F.col("row")], "place", "matrix-rows")
+    v = F.slice("vector", 2, F.size("vector") - 1)
+    return got.select(F.element_at("vector", 1).cast("long").alias("vec_id"), F.size(v).cast("long").alias("n"), v[0].alias("first"), F.element_at(v, -1).alias("last"), F.array_min(v).alias("least"), F.array_max(v).alias("most"), F.col("place").cast("long").alias("place"))

@@ -28,6 +28,39 @@ def test_text_sources(spark, tmp_path):
     assert [r.vector for r in readers.read_vectors(spark, str(tmp_path / "m.npy")).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
 
 
+def test_matrices_in_parts(spark, tmp_path, monkeypatch):
+    from odweave.sources import matrices
+
+    x = np.random.default_rng(1).standard_normal((1_003, 7))
+    for name, a in (("b.npy", x[600:].astype("<f4")), ("a.npy", x[:600]), ("c.npy", np.zeros((0, 7)))):
+        np.save(tmp_path / name, a)
+    spark.dataSource.register(matrices.NpySource)
+    df = spark.read.format("npy").option("partbytes", 7 * 8 * 50).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 12 + 5
+    got = [r.vector for r in df.orderBy("path", "row").collect()]
+    assert np.array_equal(np.array(got)[:600], x[:600]) and np.array_equal(np.array(got)[600:], x[600:].astype("<f4").astype(float))
+    for bad in (np.zeros(3), np.asfortranarray(np.zeros((3, 4))), np.array([["a"]])):
+        np.save(tmp_path / "bad.npy", bad)
+        with pytest.raises(Exception, match="matrix of numbers"):
+            readers.read_vectors(spark, str(tmp_path / "bad.npy")).count()
+    (tmp_path / "cut.npy").write_bytes((tmp_path / "a.npy").read_bytes()[:-8])
+    with pytest.raises(Exception, match="bytes at row"):
+        readers.read_vectors(spark, str(tmp_path / "cut.npy")).count()
+    out = tmp_path / "out"
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartitionByRange(3, "id").sortWithinPartitions("id")
+    sinks.write_vectors(df, str(out), "v")
+    files = sorted(out.iterdir())
+    assert len(files) == 3 and np.array_equal(np.concatenate([np.load(f) for f in files]), x)
+    uneven = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "vector array<double>").coalesce(1)
+    for odd in (uneven, spark.createDataFrame([(None,)], "vector array<double>"), spark.createDataFrame([([1.0, None],)], "vector array<double>")):
+        with pytest.raises(Exception, match="one length without nulls"):
+            sinks.write_vectors(odd, str(out))
+    sinks.write_vectors(df.limit(0), str(out), "v")
+    assert sorted(out.iterdir()) == files
+    df.select(F.col("v").alias("vector")).write.format("npy").option("dtype", "<f4").mode("overwrite").save(str(out))
+    assert np.array_equal(np.concatenate([np.load(f) for f in sorted(out.iterdir())]), x.astype("<f4"))
+
+
 def test_trip_schemas(spark):
     raw = spark.createDataFrame([("01.02.2023", "10:00:00", "01.02.2023", "10:05:00", 300.0, 900.0, 51.0, 7.0, 51.1, 7.1), (None, None, None, None, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0)], "start_date string, start_time string, end_date string, end_time string, `duration [s]` double, `distance [m]` double, a double, b double, c double, d double")
     got = readers.campaign_trips(raw, ("a", "b"), ("c", "d")).collect()
