@@ -91,7 +91,7 @@ class Written(WriterCommitMessage):
 
 
 class NpyWriter(DataSourceArrowWriter):
-    """Each task writes files of at most FILE bytes beside the target; once all are done they are moved there, so a lost task leaves nothing behind in it."""
+    """Each task writes files of at most FILE bytes beside the target; once all are done they are moved there, so a lost task adds nothing to it. What a task writes after its job was aborted stays in a folder _writing-..., which is not read."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path, self.overwrite, self.dtype = options["path"], overwrite, options.get("dtype", "<f8")
@@ -106,7 +106,6 @@ class NpyWriter(DataSourceArrowWriter):
 
         task = TaskContext.get()
         where, _, folder = self._folders()
-        where.create_dir(folder, recursive=True)
         names: list[str] = []
         held: list[np.ndarray] = []
         size = 0
@@ -114,6 +113,7 @@ class NpyWriter(DataSourceArrowWriter):
         def flush() -> None:
             nonlocal held, size
             if held:
+                where.create_dir(folder, recursive=True)
                 name = f"part-{task.partitionId():05d}-{len(names):05d}-{self.run}-{task.taskAttemptId()}.npy"
                 with where.open_output_stream(f"{folder}/{name}") as out:
                     a = np.concatenate(held)

@@ -49,16 +49,16 @@ def test_matrices_in_parts(spark, tmp_path, monkeypatch):
     out = tmp_path / "out"
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartitionByRange(3, "id").sortWithinPartitions("id")
     sinks.write_vectors(df, str(out), "v")
-    files = sorted(out.iterdir())
+    files = sorted(out.glob("*.npy"))
     assert len(files) == 3 and np.array_equal(np.concatenate([np.load(f) for f in files]), x)
     uneven = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "vector array<double>").coalesce(1)
     for odd in (uneven, spark.createDataFrame([(None,)], "vector array<double>"), spark.createDataFrame([([1.0, None],)], "vector array<double>")):
         with pytest.raises(Exception, match="one length without nulls"):
             sinks.write_vectors(odd, str(out))
     sinks.write_vectors(df.limit(0), str(out), "v")
-    assert sorted(out.iterdir()) == files
+    assert sorted(out.glob("*.npy")) == files
     df.select(F.col("v").alias("vector")).write.format("npy").option("dtype", "<f4").mode("overwrite").save(str(out))
-    assert np.array_equal(np.concatenate([np.load(f) for f in sorted(out.iterdir())]), x.astype("<f4"))
+    assert np.array_equal(np.concatenate([np.load(f) for f in sorted(out.glob("*.npy"))]), x.astype("<f4"))
 
 
 def test_trip_schemas(spark):
