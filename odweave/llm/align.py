@@ -94,7 +94,7 @@ def encode_words(words: DataFrame, vocabulary: str, model: str) -> DataFrame:
             rows = []
             for word, b in zip(words, sp.encode(words, num_threads=1), strict=True):
                 whole = b" " + word.encode()
-                a = np.frombuffer(raw(" " + word), "<u4").tolist()
+                a = raw(" " + word).tolist()
                 x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
                 same = b"".join(x) == whole == b"".join(y)
                 rows.append((a, [len(t) for t in x], b, [len(t) for t in y]) if same else (None,) * 4)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -26,6 +27,23 @@ def test_word_wise_ids(plain):
         assert np.asarray(found.ids, "<u4").tobytes() == ids(text), repr(text)
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_batch_wise_ids(plain, monkeypatch):
+    """Ids of a batch are those of its texts, and its different words are encoded in one call, however often they come."""
+    rnd, whole, slow = random.Random(4), Tokenizer.from_file(BYTES), []
+    whole.encode_special_tokens = plain
+    bits = ["a", "bc", " ", "  ", " \n", "'s", "é", "<|endoftext|>", "日本", "\u3000", "\x1c", "words of ", "mid\nline "]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(14))) for _ in range(800)]
+    monkeypatch.setattr(subwords, "SLICE", 50)
+    ids, bounds = subwords.batch_encoder(BYTES, plain)(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    raw = subwords.raw_encoder(BYTES)
+    monkeypatch.setattr(subwords, "raw_encoder", lambda path: lambda text: (slow.append(text), raw(text))[1])
+    many = pa.array([" ".join(rnd.choice(["house", "ofs", "thé", "x'll"]) for _ in range(50)) for _ in range(20)])
+    ids, bounds = subwords.batch_encoder(BYTES, plain)(many)
+    assert len(slow) == 1 + len(many) and len(bounds) == 21 and bounds[-1] == len(ids)  # and the texts' first words
+
+
 def _aligned(rows):
     """By definition, on whole texts: per row n_a, n_b, n_groups, n_links, n_best, count_sum, groups."""
     whole, (sp, piece) = Tokenizer.from_file(BYTES), align.piece_bytes(PIECES)
