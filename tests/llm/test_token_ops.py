@@ -85,6 +85,22 @@ def test_alignment_by_definition(spark, chunk):
     assert sorted(map(tuple, got), key=key) == sorted(_aligned(rows), key=key)
 
 
+def test_alignment_deals_no_words(spark):
+    """Chunks are made where their documents lie; what is shuffled after that are pairs of ids, a row for each of a chunk's, however many words hold it."""
+    rows = [(i, "s", " ".join(f"house{i % 7}{k % 5}" for k in range(400)), 1, "clash", 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    made = align.chunk_rows(docs, BYTES, PIECES)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    pairs = {p for *_, text in _aligned([(r[0], r[2]) for r in rows]) for g in text.split(";") for p in itertools.product(*(x.split(",") for x in g.split("|")))}
+    got = made.collect()
+    assert sum(r.pair is not None for r in got) == len(pairs) and sum(r.row is not None for r in got) == 40 and sum(r.entry is not None for r in got) == 1
+
+
+def test_alignment_joins_ends():
+    ends, a, b = align.align_tokens(np.array([2, 3, 7, 9, 12]), np.array([3, 5, 9, 12]))
+    assert (ends.tolist(), a.tolist(), b.tolist()) == ([3, 9, 12], [2, 4, 5], [1, 3, 4])
+
+
 def test_pairs_counted_in_slices(monkeypatch):
     import pyarrow as pa
 
