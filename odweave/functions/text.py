@@ -47,12 +47,19 @@ def polygon_from_wkt(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<array<struct<x:double,y:double>>>")).when((inner != "") & F.forall(rings, closed), rings)
 
 
+def _plain(x: Column) -> Column:
+    """The shortest digits of a double, without an exponent where its size is 1e-4 to under 1e16 (or 0)."""
+    text, size = x.cast("string"), F.abs(x)
+    decimal = F.when(size >= 1, text.cast("decimal(28,10)").cast("string")).otherwise(text.cast("decimal(38,24)").cast("string"))
+    return F.when(text.contains("E") & (size >= 1e-4) & (size < 1e16), F.regexp_replace(decimal, r"(\.[0-9]+?)0+$", "$1")).otherwise(text)
+
+
 def _listed(points: Column) -> Column:
-    return F.array_join(F.transform(points, lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))), ", ")
+    return F.array_join(F.transform(points, lambda p: F.concat(_plain(p["x"]), F.lit(" "), _plain(p["y"]))), ", ")
 
 
 def point_to_wkt(point: Column) -> Column:
-    return F.concat(F.lit("POINT ("), point["x"].cast("string"), F.lit(" "), point["y"].cast("string"), F.lit(")"))
+    return F.concat(F.lit("POINT ("), _plain(point["x"]), F.lit(" "), _plain(point["y"]), F.lit(")"))
 
 
 def line_to_wkt(line: Column) -> Column:

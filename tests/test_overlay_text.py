@@ -94,3 +94,10 @@ def test_geojson(spark):
     assert all(got[i].p is None for i in got if i) and all(got[i].l is None for i in got if i not in (2, 10)) and all(got[i].g is None for i in got if i != 4)
     back = df.filter("i IN (0, 2, 4)").select(F.coalesce(text.point_to_geojson(F.col("p")), text.line_to_geojson(F.col("l")), text.polygon_to_geojson(F.col("g"))).alias("t")).collect()
     assert sorted(r.t for r in back) == ['{"type":"LineString","coordinates":[[1.0,2.0],[3.0,4.5]]}', '{"type":"Point","coordinates":[1.0,2.0]}', '{"type":"Polygon","coordinates":[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]]]}']
+
+
+def test_wkt_numbers_have_no_exponent(spark):
+    values = {1e7: "10000000.0", 12345678.25: "12345678.25", -9.876543210987654e8: "-987654321.0987654", 5e-4: "0.0005", 0.0: "0.0", 1234.5: "1234.5", 9007199254740993.0: "9007199254740992.0", 1e16: "1.0E16", 1e-5: "1.0E-5"}
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", "v", text.point_to_wkt(F.struct(F.col("v").alias("x"), F.lit(1.0).alias("y"))).alias("t"))
+    got = df.select("i", "v", "t", text.point_from_wkt(F.col("t"))["x"].alias("back")).orderBy("i").collect()
+    assert [r.t for r in got] == [f"POINT ({t} 1.0)" for t in values.values()] and all(r.v == r.back for r in got)
