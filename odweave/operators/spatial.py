@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,13 +217,65 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Arrangements of a small group that are compared one by one, for many groups at once.
+ARRANGED = 120
+
+
+def _matched(group: pa.Array, id_: np.ndarray, origin: np.ndarray, xy: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """The matchings of whole groups whose rows begin at `starts`, origins before destinations, each by id. Groups of one size that have few arrangements are matched together."""
+    ends = np.append(starts[1:], len(id_))
+    n = np.add.reduceat(origin.astype(int), starts)
+    m, out = ends - starts - n, []
+    for a, b in np.unique(np.column_stack([n, m]), axis=0).tolist():
+        if a == 0:
+            continue
+        at = starts[(n == a) & (m == b)][:, None]
+        o, d = at + np.arange(a), at + a + np.arange(b)
+        step = len(at) if a <= b and math.perm(b, a) <= ARRANGED else 1
+        for lo in range(0, len(at), step):
+            p, q = o[lo : lo + step], d[lo : lo + step]
+            gap = xy[p][:, :, None, :] - xy[q][:, None, :, :]
+            cost = np.hypot(gap[..., 0], gap[..., 1])
+            if len(at) == step and math.perm(b, a) <= ARRANGED:
+                ways = np.array(list(itertools.permutations(range(b), a)))
+                best = ways[cost[:, np.arange(a), ways].sum(axis=2).argmin(axis=1)]
+            else:
+                best = assignment(cost[0])[None, :]
+            out.append((p.ravel(), np.take_along_axis(q, best, axis=1).ravel()))
+    p, q = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, int) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([group.take(pa.array(p)), pa.array(id_[p], pa.int64()), pa.array(id_[q], pa.int64())], names=["group", "origin", "dest"])
+
+
 def matched_ends(points: DataFrame, group: str) -> DataFrame:
-    """(group, origin, dest) of least total distance within each group; points(group, id, type, x, y), as many origins as destinations or fewer."""
+    """(group, origin, dest) of least total distance within each group; points(group, id, type, x, y), as many origins as destinations or fewer.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        o, d = pdf[pdf["type"] == "origin"], pdf[pdf["type"] == "dest"]
-        at = assignment(np.hypot(o["x"].to_numpy()[:, None] - d["x"].to_numpy()[None, :], o["y"].to_numpy()[:, None] - d["y"].to_numpy()[None, :]))
-        return pd.DataFrame({group: pdf[group].iloc[0], "origin": o["id"].to_numpy(), "dest": d["id"].to_numpy()[at]})
+    Rows come sorted by group, so that the groups of a batch are matched at once; a group is one task's work.
+    """
 
-    return points.select(F.col(group).cast("long").alias(group), "id", "type", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(group).applyInPandas(run, f"{group} long, origin long, dest long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            key = pa.concat_arrays(t.column(0).chunks)
+            null = key.is_null().to_numpy(zero_copy_only=False)
+            plain = key.fill_null(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, (plain[1:] != plain[:-1]) | (null[1:] != null[:-1])))
+            end = len(plain) if last else int(starts[-1])
+            held[:] = [] if last else t.slice(end).to_batches()
+            if end:
+                id_, origin, x, y = (t.column(i).to_numpy()[:end] for i in range(1, 5))
+                yield _matched(key.slice(0, end), id_, origin.astype(bool), np.column_stack([x, y]), starts[starts < end])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            if b.column(0)[len(b) - 1] != held[0].column(0)[0]:
+                yield from whole(last=False)
+        if held:
+            yield from whole(last=True)
+
+    kept = points.filter(F.col("type").isin("origin", "dest"))
+    rows = kept.select(F.col(group).cast("long").alias("group"), F.col("id").cast("long").alias("id"), (F.col("type") == "origin").alias("first"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    dealt = rows.repartition(parallelism(points.sparkSession, 4), "group").sortWithinPartitions("group", F.desc("first"), "id")
+    return dealt.mapInArrow(run, "group long, origin long, dest long").withColumnRenamed("group", group)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +303,32 @@ def test_modes_in_parts(spark):
     for part in (16, 65_536):
         got = {r.cluster: (r.ox, r.oy, r.dx, r.dy) for r in modes.representative_lines(df, "c", part=part).collect()}
         assert got.keys() - want.keys() <= {None} and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_groups_are_matched_in_batches(spark, monkeypatch):
+    """Groups of all sizes, across Arrow batches, match as each by itself; what takes a call for each group fails."""
+    rng = np.random.default_rng(4)
+    rows, want, n = [], {}, 0
+    for g in [*range(60), None]:
+        a, b = (0, 2) if g == 7 else (9, 11) if g == 8 else (int(rng.integers(1, 4)), 4)
+        o, d = rng.integers(0, 1000, (a, 2)), rng.integers(0, 1000, (b, 2))
+        own = [(g, n + i, "origin", *map(float, p)) for i, p in enumerate(o)] + [(g, n + 50 + i, "dest", *map(float, p)) for i, p in enumerate(d)]
+        n += 100
+        rows += own
+        want[g] = np.hypot(*(o - d[spatial.assignment(np.hypot(o[:, None, 0] - d[None, :, 0], o[:, None, 1] - d[None, :, 1]))]).T).sum() if a else None
+    df = spark.createDataFrame(rows, "g long, id long, type string, x double, y double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        monkeypatch.setattr(type(df.groupBy("g")), "applyInPandas", None)
+        got = spatial.matched_ends(df, "g").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    place = {r[1]: (r[0], r[3], r[4]) for r in rows}
+    for g in want:
+        own = [r for r in got if r.g == g]
+        if want[g] is None:
+            assert not own
+            continue
+        assert all(place[r.origin][0] == g == place[r.dest][0] for r in own) and len({r.dest for r in own}) == len({r.origin for r in own}) == sum(r[0] == g and r[2] == "origin" for r in rows)
+        assert sum(np.hypot(place[r.origin][1] - place[r.dest][1], place[r.origin][2] - place[r.dest][2]) for r in own) == pytest.approx(want[g])
