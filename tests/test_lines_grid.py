@@ -96,3 +96,27 @@ def test_points_in_rings(spark):
     pts = [(1, 5.0, 8.0), (2, 2.0, 6.0), (3, 5000.0, 0.0), (4, None, 2.0)]
     got = spatial.in_polygons(spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(rings, f"polygon long, ring {linear.LINE}"))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 1), (2, 2)]
+
+
+def test_crowded_cells_are_dealt_and_nothing_is_broadcast(spark, monkeypatch):
+    from odweave.operators import grid
+
+    monkeypatch.setattr(grid, "CROWD", 3)
+    boxes = [(i, (i * 37 % 100) * 1.0, (i * 61 % 100) * 1.0, 200.0 if i % 9 == 0 else 2.0 + i % 5) for i in range(60)]
+    df = spark.createDataFrame(boxes, "id long, x double, y double, side double")
+    take = lambda s: df.select(F.col("id").alias(s), grid.box(F.col("x"), F.col("y"), F.col("x") + F.col("side"), F.col("y") + F.col("side")).alias(f"b{s}"))
+    met = grid.meeting(take("i"), F.col("bi"), take("j"), F.col("bj"))
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[1] <= b[1] + b[3] and b[1] <= a[1] + a[3] and a[2] <= b[2] + b[3] and b[2] <= a[2] + a[3])
+    assert sorted((r.i, r.j) for r in met.collect()) == want and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    points = df.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
+    held = grid.points_and_extents(points, "px", "py", take("j"), F.col("bj"))
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if b[1] <= a[1] <= b[1] + b[3] and b[2] <= a[2] <= b[2] + b[3])
+    assert sorted((r.id, r.j) for r in held.collect()) == want and "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_rings_are_written_out(spark):
+    ring = [(0, 0), (10, 0), (10, 10), (5, 3), (0, 10)]
+    points = [(i, x * 1.0, y + 0.5) for i, (x, y) in enumerate((x, y) for x in range(-1, 12) for y in range(-1, 11))]
+    r = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring])
+    got = spark.createDataFrame(points, "i int, x double, y double").select(geo.inside_ring(F.col("x"), F.col("y"), r).alias("a"), geo.inside_ring(F.col("x"), F.col("y"), r, 5).alias("b"), geo.inside_ring(F.col("x"), F.col("y"), r, 9).alias("c")).collect()
+    assert all(r.a == r.b == r.c for r in got) and 0 < sum(r.a for r in got) < len(got)
