@@ -68,8 +68,8 @@ def adjusted_rand(labels: DataFrame, truth: str, pred: str) -> DataFrame:
     return external_indices(labels, truth, pred).select("ari")
 
 
-def internal_indices(points: DataFrame, columns: list[str], cluster: str, pairs: DataFrame) -> DataFrame:
-    """V6: calinski_harabasz, davies_bouldin, dunn, xie_beni of points(id, columns, cluster) and their pair distances; noise (0) is left out."""
+def internal_indices(points: DataFrame, columns: list[str], cluster: str, pairs: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """V6: calinski_harabasz, davies_bouldin, dunn, xie_beni of points(id, columns, cluster) and their pair distances, or `ends` of these as blocks.cluster_ends() gives them; noise (0) is left out."""
     p = points.filter(F.col(cluster) != 0).select("id", F.col(cluster).alias("c"), *[F.col(x).cast("double").alias(x) for x in columns])
     mean = p.groupBy("c").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m_{x}") for x in columns])
     grand = p.agg(F.count("*").alias("total"), F.countDistinct("c").alias("k"), *[F.avg(x).alias(f"g_{x}") for x in columns])
@@ -84,9 +84,10 @@ def internal_indices(points: DataFrame, columns: list[str], cluster: str, pairs:
     db = cc.groupBy("c").agg(F.max((F.col("spread") + F.col("spread2")) / F.nullif("far", F.lit(0.0))).alias("r")).agg(F.avg("r").alias("db"))
     near = cc.agg(F.min("far").alias("near"))
     w = within.agg(F.sum("ss").alias("w"))
-    l = p.select("id", "c")
-    d = pairs.join(l.withColumnsRenamed({"id": "i", "c": "ci"}), "i").join(l.withColumnsRenamed({"id": "j", "c": "cj"}), "j")
-    ends = d.agg(F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("sep"), F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("diam"))
+    if ends is None:
+        l = p.select("id", "c")
+        d = pairs.join(l.withColumnsRenamed({"id": "i", "c": "ci"}), "i").join(l.withColumnsRenamed({"id": "j", "c": "cj"}), "j")
+        ends = d.agg(F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("sep"), F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("diam"))
     one = between.crossJoin(db).crossJoin(near).crossJoin(w).crossJoin(ends)  # single rows
     c = F.col
     return one.select(
