@@ -42,3 +42,30 @@ def test_empty_and_single(spark):
     for few in (f.limit(0), f.filter("flow_id = 200")):
         assert blocks.pair_summary(few, "flow_id", distance.FLOW, blocks.manhattan).count() == 0
         assert blocks.pair_histogram(few, "flow_id", distance.FLOW, blocks.manhattan).count() == 0
+
+
+def test_cluster_sums_ends_and_cvnn_equal_joined_pairs(spark, monkeypatch):
+    from odweave.operators import validation, validity
+
+    monkeypatch.setattr(blocks, "TILE", (7, 16))
+    f = _flows(spark).dropna().filter("flow_id NOT IN (3, 201)").withColumn("cluster", F.col("flow_id") % 4)
+    labels, pairs = f.select(F.col("flow_id").alias("id"), "cluster"), distance.flow_pairs(f)
+    got, want = validity.cvnn_flows(f, "flow_id", "cluster", 4).first(), validity.cvnn(pairs, labels, 4).first()
+    assert tuple(got) == pytest.approx(tuple(want))
+    p = f.withColumnRenamed("flow_id", "id")
+    ends = blocks.cluster_ends(p.filter("cluster <> 0"), "id", distance.FLOW, "cluster", blocks.manhattan, split=5)
+    assert tuple(validation.internal_indices(p, distance.FLOW, "cluster", ends=ends).first()) == pytest.approx(tuple(validation.internal_indices(p, distance.FLOW, "cluster", pairs).first()))
+
+
+@pytest.mark.parametrize("name", ["distances_melted", "cvnn", "internal_indices"])
+def test_more_queries_join_no_pairs(spark, name, monkeypatch):
+    from odweave.plans import catalogue_more
+
+    monkeypatch.setattr(distance, "half_pairs", None)
+    assert (catalogue.QUERIES | catalogue_more.QUERIES)[name](spark, SF).count() > 0
+
+
+def test_blocks_grow_with_the_points(spark):
+    """What is shuffled stays a multiple of the points: no more than SPLIT blocks."""
+    p = spark.range(3000).select("id", F.lit(1).alias("c"), *[(F.col("id") * a % 97).alias(x) for x, a in zip(distance.FLOW, (7, 31, 53, 11), strict=True)])
+    assert blocks._met(p, "id", distance.FLOW, "c", 10).count() == blocks.SPLIT * (blocks.SPLIT + 1) // 2
