@@ -332,3 +332,12 @@ def test_groups_are_matched_in_batches(spark, monkeypatch):
             continue
         assert all(place[r.origin][0] == g == place[r.dest][0] for r in own) and len({r.dest for r in own}) == len({r.origin for r in own}) == sum(r[0] == g and r[2] == "origin" for r in rows)
         assert sum(np.hypot(place[r.origin][1] - place[r.dest][1], place[r.origin][2] - place[r.dest][2]) for r in own) == pytest.approx(want[g])
+
+
+def test_lof_keeps_no_pairs(spark, monkeypatch):
+    """What LOF writes is a multiple of the points: no table has a row for each pair, and none is shuffled."""
+    sizes, real = [], clusterers.materialize
+    monkeypatch.setattr(clusterers, "materialize", lambda df, label: (sizes.append((out := real(df, label)).count()), out)[1])
+    df = spark.range(300).select("id", (F.col("id") % 2).alias("g"), (F.col("id") * 37 % 101).alias("x"), (F.col("id") * 61 % 103).alias("y"))
+    got = clusterers.lof(df, "id", "g", "x", "y")
+    assert got.count() == 300 and sizes and max(sizes) <= 300 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
