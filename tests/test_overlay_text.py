@@ -101,3 +101,35 @@ def test_wkt_numbers_have_no_exponent(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", "v", text.point_to_wkt(F.struct(F.col("v").alias("x"), F.lit(1.0).alias("y"))).alias("t"))
     got = df.select("i", "v", "t", text.point_from_wkt(F.col("t"))["x"].alias("back")).orderBy("i").collect()
     assert [r.t for r in got] == [f"POINT ({t} 1.0)" for t in values.values()] and all(r.v == r.back for r in got)
+
+
+def test_many_overlays_at_once_equal_single_ones():
+    """Notched squares and squares with holes, turned or not, at steps where sides and corners often fall together."""
+    import numpy as np
+
+    rnd = random.Random(8)
+
+    def shape(x, y, odd, c, s):
+        rings = [[(0, 0), (400, 0), (400, 400), (0, 400)], [(100, 60), (250, 60), (250, 180), (100, 180)]] if odd else [[(0, 0), (400, 0), (400, 280), (250, 280), (250, 400), (0, 400)]]
+        return overlay.sides([[((x + a) * c - (y + b) * s, (x + a) * s + (y + b) * c) for a, b in r] for r in rings])
+
+    for c, s in ((1, 0), (0.6, 0.8)):
+        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            at = [(x := rnd.randrange(9000), y := rnd.randrange(9000), x + rnd.randrange(-42, 43) * 10, y + rnd.randrange(-42, 43) * 10) for _ in range(150)]
+            p, q = [shape(x, y, i, c, s) for x, y, _, _ in at], [shape(x, y, j, c, s) for _, _, x, y in at]
+
+            def single(a, b):
+                eps = 1e-9 * float(np.abs(np.vstack([a, b])).max())
+                (pp, pw), (qp, qw) = overlay._pieces(a, b, eps), overlay._pieces(b, a, eps)
+                return [overlay.area_of(np.vstack([pp[(pw == k) | (pw == 2)], qp[qw == k]])) for k in (1, 0)]
+
+            got = np.column_stack(overlay.overlay_areas(np.array(p), np.array(q)))
+            assert got == pytest.approx(np.array([single(a, b) for a, b in zip(p, q, strict=True)]), abs=1e-6)
+
+
+def test_hulls_with_sides_in_common_share_them_once(spark):
+    """Sides that two hulls have in common, away from both axes, bound what they share once."""
+    ring = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    hulls = [(1, ring((0, 0), (10, 0), (10, 10), (0, 10)), 100.0), (2, ring((4, 2), (10, 2), (10, 8), (4, 8)), 36.0), (3, ring((0, 0), (10, 0), (10, 10), (0, 10)), 100.0)]
+    got = {(r.i, r.j): (r.shared, r.mean_overlap) for r in spatial.hull_overlaps(spark.createDataFrame(hulls, f"cluster long, hull {spatial.HULL}, area double")).collect()}
+    assert got[1, 2] == pytest.approx((36, 0.68)) and got[1, 3] == pytest.approx((100, 1)) and got[2, 3] == pytest.approx((36, 0.68))
